@@ -3,19 +3,21 @@
 Input: one row per (project, build, test) with `build_idx`, `verdict`, `fail`,
 `result`, `duration`.
 
-A test that runs in every build can hold a large share of all rows, so a window over
-a whole test is not safe. The clock is cut into segments of fixed length instead.
-A (test, segment) group has at most one row per build and thus a fixed upper size.
-What a segment needs from the past is small: the totals before it and the last few
-executions. Both are computed from one summary row per segment and added to the
-segment as extra rows, so one window pass over the segment sees the right past:
-
-    carry row   totals before the segment (counts, sums, maxima), sorts first
-    tail rows   the last `TAIL` executions before it, seen by lag and last-n only
-    own rows    the segment's executions, the only ones returned
+Windows run per test, and as there is one row per build, a test has at most as many
+rows as the clock has ticks. While the clock is shorter than `segment`, that is the
+bound on a task's group. Beyond it, tests with more than `segment` executions are cut
+into clock segments of that length, so a group stays bounded whatever the skew. What a
+segment needs from the past is small: the last `TAIL` executions before it, the newest
+of which carries the totals of everything before. They come from one summary row per
+(test, segment) and are added to the segment as extra rows, so the same window pass
+sees the right past; only the segment's own rows are returned.
 
 Run lengths need no islands: the current failure run is the number of executions so
 far minus the position of the last execution that did not fail.
+
+The decayed rate sums weights relative to the start of a short stretch of the clock
+(`600 / alpha` ticks, so no exponent overflows) and adds the stretch before it; older
+ones weigh less than the smallest double.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TEST = ["project", "tc_key"]
-SEGMENT = 4096
+SEGMENT = 1 << 20
 TAIL = 21
 MAX_EXPONENT = 600.0
 
@@ -59,23 +61,68 @@ _RUNS = {
 }
 
 
-def segment_length(alpha: float, wanted: int = SEGMENT) -> int:
-    """Short enough that exp(alpha * segment) stays far from overflow."""
-    return max(1, min(wanted, int(MAX_EXPONENT / alpha))) if alpha > 0 else wanted
+def _stretch(alpha: float) -> int:
+    """Ticks after which a weight is zero in double precision."""
+    return max(1, int(MAX_EXPONENT / alpha))
+
+
+def _hot_tests(df: DataFrame, segment: int, limit: int) -> DataFrame | None:
+    """Tests with more executions than the limit on a clock longer than a segment, or None."""
+    top = df.agg(F.max("build_idx")).first()[0]
+    if top is None or top < segment:
+        return None
+    hot = (
+        df.groupBy(*TEST).agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > limit).select(*TEST)
+    )
+    return None if hot.isEmpty() else hot
+
+
+def _orders():
+    """One sort serves both: a whole segment, and a stretch of the clock inside it."""
+    by_segment = Window.partitionBy(*TEST, "_seg").orderBy("_stretch", "build_idx")
+    by_stretch = Window.partitionBy(*TEST, "_seg", "_stretch").orderBy("build_idx")
+    return by_segment, by_stretch
+
+
+def _decay_parts(rows: DataFrame, alpha: float, own: Column | None = None) -> DataFrame:
+    """Adds `_in_*` (decayed sums of the stretch up to the row, seen from the row) and
+    `_past_*` / `_past_b` (the same at the last row of the stretch before)."""
+    w, ws = _orders()
+    upto = ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rel = F.lit(float(alpha)) * (F.col("build_idx") - F.col("_stretch") * _stretch(alpha))
+    rows = rows.withColumn("_lag_b", F.lag("build_idx").over(w))
+    rows = rows.withColumn("_lag_s", F.lag("_stretch").over(w))
+    sums = {
+        "_in_fail": F.sum(F.exp(rel) * F.col("fail")).over(upto) * F.exp(-rel),
+        "_in_all": F.sum(F.exp(rel)).over(upto) * F.exp(-rel),
+    }
+    if own is not None:
+        sums = {
+            "_in_fail": F.when(own, sums["_in_fail"]).otherwise(F.col("c__d_fail")),
+            "_in_all": F.when(own, sums["_in_all"]).otherwise(F.col("c__d_all")),
+        }
+    rows = rows.withColumns(sums)
+    rows = rows.withColumns({f"_lag_{c}": F.lag(f"_in_{c}").over(w) for c in ("fail", "all")})
+    past = {f"_past_{c}": F.first(f"_lag_{c}").over(upto) for c in ("fail", "all")}
+    return rows.withColumns({**past, "_past_b": F.first("_lag_b").over(upto)})
 
 
-def _with_local(df: DataFrame, segment: int, alpha: float, extra: Sequence[str]) -> DataFrame:
-    base = df.withColumn("_seg", F.floor(F.col("build_idx") / segment).cast("bigint"))
-    rel = F.lit(float(alpha)) * (F.col("build_idx") - F.col("_seg") * segment)
-    return base.withColumn("_w", F.exp(rel))
+def _fade(total: Column, alpha: float, frm: Column, to: Column) -> Column:
+    return F.coalesce(total * F.exp(F.lit(float(alpha)) * (frm - to)), F.lit(0.0))
 
 
-def _summaries(seg: DataFrame, extra: Sequence[str]) -> DataFrame:
+def _summaries(seg: DataFrame, alpha: float, extra: Sequence[str]) -> DataFrame:
     """One row per (test, segment)."""
-    w = Window.partitionBy(*TEST, "_seg").orderBy("build_idx")
+    w, _ = _orders()
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*TEST, "_seg")
-    rows = seg.withColumns({
+    rows = _decay_parts(seg, alpha)
+    end = {
+        c: F.col(f"_in_{c}") + _fade(F.col(f"_past_{c}"), alpha, F.col("_past_b"), F.col("build_idx"))
+        for c in ("fail", "all")
+    }
+    rows = rows.withColumns({
         "_flip": F.coalesce((F.col("fail") != F.lag("fail").over(w)).cast("int"), F.lit(0)),
         "_pos_n": F.row_number().over(w),
         "_size": F.count(F.lit(1)).over(whole),
@@ -110,8 +157,8 @@ def _summaries(seg: DataFrame, extra: Sequence[str]) -> DataFrame:
         F.max_by("verdict", F.when(F.col("_isx") == 1, F.col("build_idx"))).alias("_tail_x"),
         F.min_by("fail", "build_idx").alias("first_fail"),
         F.min_by("verdict", "build_idx").alias("first_verdict"),
-        F.sum(F.col("_w") * F.col("fail")).alias("_dw_fail"),
-        F.sum("_w").alias("_dw_all"),
+        F.max_by(end["fail"], "build_idx").alias("_end_fail"),
+        F.max_by(end["all"], "build_idx").alias("_end_all"),
         F.array_sort(F.collect_list(F.when(
             F.col("_pos_n") > F.col("_size") - TAIL,
             F.struct("build_idx", "fail", "verdict", "result", "duration"),
@@ -130,7 +177,7 @@ def _summaries(seg: DataFrame, extra: Sequence[str]) -> DataFrame:
     return rows.groupBy(*TEST, "_seg").agg(*aggs)
 
 
-def _carries(summary: DataFrame, segment: int, alpha: float, extra: Sequence[str]) -> DataFrame:
+def _carries(summary: DataFrame, alpha: float, extra: Sequence[str]) -> DataFrame:
     """What holds before each segment. At most clock / segment rows per test."""
     order = Window.partitionBy(*TEST).orderBy("_seg")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -163,34 +210,29 @@ def _carries(summary: DataFrame, segment: int, alpha: float, extra: Sequence[str
         s = s.withColumn(
             f"max_{run}", F.max(F.greatest(F.col(f"_max_{run}"), through)).over(past)
         )
-    # decayed sums as seen from the last execution before the segment; a segment more
-    # than `reach` back weighs below the smallest double
-    reach = 2 + (int(MAX_EXPONENT / (alpha * segment)) if alpha > 0 else 0)
+    # decayed sums as seen from the last execution before the segment; a segment is at
+    # least one stretch long, so two back are enough
     recent = F.collect_list(
-        F.struct("_seg", "_dw_fail", "_dw_all")
-    ).over(order.rowsBetween(-reach, -1))
+        F.struct("_seg_last", "_end_fail", "_end_all")
+    ).over(order.rowsBetween(-2, -1))
 
     def decayed(field: str) -> Column:
         return F.aggregate(
             recent, F.lit(0.0),
             lambda acc, x: acc + x[field] * F.exp(
-                F.lit(float(alpha)) * (x["_seg"] * segment - F.col("last_idx"))
+                F.lit(float(alpha)) * (x["_seg_last"] - F.col("last_idx"))
             ),
         )
 
     tails = F.flatten(F.collect_list("_tail").over(order.rowsBetween(-TAIL, -1)))
     s = s.withColumns({
-        "_d_fail": decayed("_dw_fail"), "_d_all": decayed("_dw_all"),
+        "_d_fail": decayed("_end_fail"), "_d_all": decayed("_end_all"),
         "_tails": F.slice(tails, F.greatest(F.size(tails) - TAIL + 1, F.lit(1)), TAIL),
     })
     return s.filter(F.col("n") > 0)
 
 
-def _own_rows(seg: DataFrame, extra: Sequence[str]) -> DataFrame:
-    return seg.withColumns({"_kind": F.lit(2), "_ord": F.col("build_idx")})
-
-
-def history(df: DataFrame, alpha: float = 0.1, segment: int | None = None,
+def history(df: DataFrame, alpha: float = 0.1, segment: int | None = None, hot_rows: int | None = None,
             sums: Sequence[str] = (), rates: Sequence[int] = (2, 3, 5, 10, 20),
             lags: Sequence[int] = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)) -> DataFrame:
     """Input rows plus history columns, all null or 0 where the test has no past.
@@ -201,31 +243,40 @@ def history(df: DataFrame, alpha: float = 0.1, segment: int | None = None,
     first_verdict, decayed_rate, rate_<k>, fail_<k>, verdict_<k>, last_duration,
     raw_flips_10, recent_fails_11, sum_<c>. Unused ones are pruned by the optimizer.
     """
-    seg_len = segment_length(alpha, segment or SEGMENT)
-    seg = _with_local(df, seg_len, alpha, sums)
-    top = df.agg(F.max("build_idx")).first()[0]
-    own = _own_rows(seg, sums)
-    passthrough = [c for c in df.columns]
+    step = _stretch(alpha)
+    seg_len = -(-(segment or SEGMENT) // step) * step
+    hot = _hot_tests(df, seg_len, hot_rows or seg_len)
     carried = [*_SUMS, "exact_n", *[f"sum_{c}" for c in sums], *_MAXES, "first_idx", "first_fail",
                "first_verdict", *[f"stop_{r}" for r in _RUNS], *[f"max_{r}" for r in _RUNS],
                "_d_fail", "_d_all"]
-    if top is None or top < seg_len:
-        rows = own.withColumns({f"c_{c}": F.lit(None).cast("double" if _is_double(c, sums) else "bigint")
-                                for c in carried})
+    rows = df.withColumns({
+        "_stretch": F.floor(F.col("build_idx") / step).cast("bigint"), "_own": F.lit(True),
+    })
+    if hot is None:
+        rows = rows.withColumn("_seg", F.lit(0).cast("bigint"))
     else:
-        carry = _carries(_summaries(seg, sums), seg_len, alpha, sums)
-        totals = carry.select(
-            *TEST, "_seg", F.lit(0).alias("_kind"), F.lit(-1).cast("bigint").alias("_ord"),
-            *[F.col(c).cast("double" if _is_double(c, sums) else "bigint").alias(f"c_{c}") for c in carried],
+        seg = F.when(F.col("_hot"), F.floor(F.col("build_idx") / seg_len)).otherwise(0).cast("bigint")
+        rows = rows.join(hot.withColumn("_hot", F.lit(True)), TEST, "left").withColumn("_seg", seg)
+        split = rows.filter("_hot")
+        carry = _carries(_summaries(split, alpha, sums), alpha, sums)
+        tail = carry.select(*TEST, "_seg", *carried, F.posexplode("_tails").alias("_i", "_t"),
+                            (F.size("_tails") - 1).alias("_newest"))
+        newest = F.col("_i") == F.col("_newest")
+        tail = tail.select(
+            *TEST, "_seg", F.lit(False).alias("_own"),
+            F.floor(F.col("_t.build_idx") / step).cast("bigint").alias("_stretch"),
+            *[F.col(f"_t.{c}").alias(c) for c in ("build_idx", "fail", "verdict", "result", "duration")],
+            *[F.when(newest, F.col(c).cast(_type(c, sums))).alias(f"c_{c}") for c in carried],
         )
-        tail = carry.select(*TEST, "_seg", F.explode("_tails").alias("_t")).select(
-            *TEST, "_seg", F.lit(1).alias("_kind"), F.col("_t.build_idx").alias("_ord"),
-            *[F.col(f"_t.{c}").alias(c) for c in ("fail", "verdict", "result", "duration")],
-        )
-        rows = own.unionByName(totals, allowMissingColumns=True).unionByName(tail, allowMissingColumns=True)
-    out = _window_pass(rows, seg_len, alpha, sums, rates, lags)
-    names = _output_names(sums, rates, lags)
-    return out.filter("_kind = 2").select(*passthrough, *names)
+        rows = rows.drop("_hot").unionByName(tail, allowMissingColumns=True)
+    if hot is None:
+        rows = rows.withColumns({f"c_{c}": F.lit(None).cast(_type(c, sums)) for c in carried})
+    out = _window_pass(rows, alpha, sums, rates, lags)
+    return out.filter("_own").select(*df.columns, *_output_names(sums, rates, lags))
+
+
+def _type(name: str, sums: Sequence[str]) -> str:
+    return "double" if _is_double(name, sums) else "bigint"
 
 
 def _is_double(name: str, sums: Sequence[str]) -> bool:
@@ -240,28 +291,26 @@ def _output_names(sums, rates, lags) -> list[str]:
             "recent_fails_11", *[f"sum_{c}" for c in sums]]
 
 
-def _window_pass(rows, seg_len, alpha, sums, rates, lags) -> DataFrame:
-    w = Window.partitionBy(*TEST, "_seg").orderBy("_ord")
+def _window_pass(rows, alpha, sums, rates, lags) -> DataFrame:
+    w, _ = _orders()
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    is_own = F.col("_kind") == 2
-    seen = F.col("_kind") >= 1
+    is_own = F.col("_own")
 
     def last_n(k):
         return w.rowsBetween(-k, -1)
 
     exact = F.when(F.col("verdict") < 2, F.col("verdict"))
-    step1 = {
+    rows = rows.withColumns({
         "_prev_x": F.last(exact, ignorenulls=True).over(past),
         "_prev_fail": F.lag("fail").over(w),
-        "_prev_result": F.when(F.lag("_kind").over(w) >= 1, F.lag("result").over(w)),
-    }
-    rows = rows.withColumns(step1)
+        "_prev_result": F.lag("result").over(w),
+    })
     rows = rows.withColumns({
         "_flip": F.coalesce((F.col("fail") != F.col("_prev_fail")).cast("int"), F.lit(0)),
         "_xflip": F.coalesce(((F.col("verdict") < 2) & (F.col("verdict") != F.col("_prev_x"))).cast("int"), F.lit(0)),
         "_rflip": F.coalesce((F.col("result") != F.col("_prev_result")).cast("int"), F.lit(0)),
     })
-    weight = F.col("_w")
+    rows = _decay_parts(rows, alpha, is_own)
     cols: dict[str, Column] = {}
     for k, v in _SUMS.items():
         cols[k] = F.coalesce(F.sum(F.when(is_own, v()).otherwise(F.col(f"c_{k}"))).over(past), F.lit(0))
@@ -279,24 +328,22 @@ def _window_pass(rows, seg_len, alpha, sums, rates, lags) -> DataFrame:
                                  ignorenulls=True).over(past)
     cols["first_verdict"] = F.first(F.when(is_own, F.col("verdict")).otherwise(F.col("c_first_verdict")),
                                     ignorenulls=True).over(past)
-    # decay, weights relative to the start of the segment
-    gap = F.exp(F.lit(float(alpha)) * (F.col("c_last_idx") - F.col("_seg") * seg_len))
-    dw_fail = F.sum(F.when(is_own, weight * F.col("fail")).otherwise(F.col("c__d_fail") * gap)).over(past)
-    dw_all = F.sum(F.when(is_own, weight).otherwise(F.col("c__d_all") * gap)).over(past)
-    local_n = F.sum(F.when(is_own, 1)).over(past)
-    carried_rate = F.max(F.col("c__d_fail") / F.col("c__d_all")).over(past)
-    cols["decayed_rate"] = F.when(local_n > 0, dw_fail / dw_all).otherwise(carried_rate)
+    before = {}
+    for c in ("fail", "all"):
+        older = _fade(F.col(f"_past_{c}"), alpha, F.col("_past_b"), F.col("_lag_b"))
+        before[c] = F.col(f"_lag_{c}") + F.when(F.col("_lag_s") == F.col("_stretch"), older).otherwise(0.0)
+    cols["decayed_rate"] = before["fail"] / before["all"]
     for k in rates:
-        cols[f"rate_{k}"] = F.avg(F.when(seen, F.col("fail"))).over(last_n(k))
+        cols[f"rate_{k}"] = F.avg("fail").over(last_n(k))
         if k <= 10:
-            cols[f"exact_rate_{k}"] = F.avg(F.when(seen, exact)).over(last_n(k))
+            cols[f"exact_rate_{k}"] = F.avg(exact).over(last_n(k))
     for k in lags:
         cols[f"fail_{k}"] = F.lag("fail", k).over(w)
         cols[f"verdict_{k}"] = F.lag("verdict", k).over(w)
     cols["last_duration"] = F.lag("duration").over(w)
     cols["raw_flips_10"] = F.coalesce(F.sum("_rflip").over(last_n(9)), F.lit(0))
     cols["fail_flips_5"] = F.coalesce(F.sum("_flip").over(last_n(4)), F.lit(0))
-    cols["recent_fails_11"] = F.coalesce(F.sum(F.when(seen, F.col("fail"))).over(last_n(11)), F.lit(0))
+    cols["recent_fails_11"] = F.coalesce(F.sum("fail").over(last_n(11)), F.lit(0))
     rows = rows.withColumns(cols)
     # run lengths need the position just computed, in the same partitioning and order
     stops = {}

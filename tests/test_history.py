@@ -91,11 +91,11 @@ def frame(spark, rows):
               " fail int, result string, duration double, commits int")
 
 
-@pytest.mark.parametrize("segment", [4096, 7, 1])
-def test_matches_replay(spark, segment):
+@pytest.mark.parametrize("segment,alpha", [(4096, 0.1), (7, 90.0), (20, 40.0)])
+def test_matches_replay(spark, segment, alpha):
     rows = make_rows()
-    want = replay(rows)
-    got = history(frame(spark, rows), segment=segment, sums=["commits"]).collect()
+    want = replay(rows, alpha)
+    got = history(frame(spark, rows), alpha=alpha, segment=segment, sums=["commits"]).collect()
     assert len(got) == len(rows)
     for r in got:
         for k, v in want[(r.tc_key, r.build_idx)].items():
@@ -106,20 +106,23 @@ def test_matches_replay(spark, segment):
                 assert abs(g - v) < 1e-9, (segment, r.tc_key, r.build_idx, k, g, v)
 
 
-def test_long_clock_does_not_overflow(spark):
-    rows = [("p", f"b{i}", "t", i * 5000, i % 2, i % 2, NAMES[i % 2], 1.0, 1) for i in range(40)]
+@pytest.mark.parametrize("hot", [None, 3])
+def test_long_clock_does_not_overflow(spark, hot):
+    ticks = [0, 1, 2, 5999, 6000, 6001, 12000, 18500, 18501, 18502, 29999, 30000, 90000, 90001, 91000]
+    rows = [("p", f"b{i}", "t", b, i % 2, i % 2, NAMES[i % 2], 1.0, 1) for i, b in enumerate(ticks)]
     want = replay(rows)
-    for r in history(frame(spark, rows)).collect():
+    for r in history(frame(spark, rows), segment=6000, hot_rows=hot).collect():
         v = want[("t", r.build_idx)]["decayed_rate"]
         assert (v is None and r.decayed_rate is None) or abs(r.decayed_rate - v) < 1e-12
+        assert r.max_pass_run == want[("t", r.build_idx)]["max_pass_run"]
 
 
 def test_snapshot_is_the_next_look_back(spark):
     rows = make_rows()
     df = frame(spark, rows)
-    snap = {r.tc_key: r for r in snapshot(df, segment=16).collect()}
+    snap = {r.tc_key: r for r in snapshot(df, alpha=40.0, segment=16).collect()}
     probes = [("p", "z", t, 1000, 0, 0, "Pass", 0.0, 0) for t in snap]
-    want = replay(rows + probes)
+    want = replay(rows + probes, 40.0)
     for t, r in snap.items():
         for k in ("n", "failures", "flips", "fail_run", "max_fail_run", "rate_5", "decayed_rate"):
             assert abs(r[k] - want[(t, 1000)][k]) < 1e-9
