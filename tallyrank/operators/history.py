@@ -86,13 +86,11 @@ def _orders():
 
 
 def _decay_parts(rows: DataFrame, alpha: float, own: Column | None = None) -> DataFrame:
-    """Adds `_in_*` (decayed sums of the stretch up to the row, seen from the row) and
-    `_past_*` / `_past_b` (the same at the last row of the stretch before)."""
+    """Adds `_full_*`: decayed sums up to and including the row, as seen from the row."""
     w, ws = _orders()
     upto = ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rel = F.lit(float(alpha)) * (F.col("build_idx") - F.col("_stretch") * _stretch(alpha))
     rows = rows.withColumn("_lag_b", F.lag("build_idx").over(w))
-    rows = rows.withColumn("_lag_s", F.lag("_stretch").over(w))
     sums = {
         "_in_fail": F.sum(F.exp(rel) * F.col("fail")).over(upto) * F.exp(-rel),
         "_in_all": F.sum(F.exp(rel)).over(upto) * F.exp(-rel),
@@ -104,8 +102,15 @@ def _decay_parts(rows: DataFrame, alpha: float, own: Column | None = None) -> Da
         }
     rows = rows.withColumns(sums)
     rows = rows.withColumns({f"_lag_{c}": F.lag(f"_in_{c}").over(w) for c in ("fail", "all")})
-    past = {f"_past_{c}": F.first(f"_lag_{c}").over(upto) for c in ("fail", "all")}
-    return rows.withColumns({**past, "_past_b": F.first("_lag_b").over(upto)})
+    past = {c: F.first(f"_lag_{c}").over(upto) for c in ("fail", "all")}
+    past_b = F.first("_lag_b").over(upto)
+    full = {
+        f"_full_{c}": F.col(f"_in_{c}") + _fade(past[c], alpha, past_b, F.col("build_idx"))
+        for c in ("fail", "all")
+    }
+    if own is not None:
+        full = {k: F.when(own, v).otherwise(F.col(k.replace("_full", "_in"))) for k, v in full.items()}
+    return rows.withColumns(full)
 
 
 def _fade(total: Column, alpha: float, frm: Column, to: Column) -> Column:
@@ -118,10 +123,6 @@ def _summaries(seg: DataFrame, alpha: float, extra: Sequence[str]) -> DataFrame:
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*TEST, "_seg")
     rows = _decay_parts(seg, alpha)
-    end = {
-        c: F.col(f"_in_{c}") + _fade(F.col(f"_past_{c}"), alpha, F.col("_past_b"), F.col("build_idx"))
-        for c in ("fail", "all")
-    }
     rows = rows.withColumns({
         "_flip": F.coalesce((F.col("fail") != F.lag("fail").over(w)).cast("int"), F.lit(0)),
         "_pos_n": F.row_number().over(w),
@@ -157,8 +158,8 @@ def _summaries(seg: DataFrame, alpha: float, extra: Sequence[str]) -> DataFrame:
         F.max_by("verdict", F.when(F.col("_isx") == 1, F.col("build_idx"))).alias("_tail_x"),
         F.min_by("fail", "build_idx").alias("first_fail"),
         F.min_by("verdict", "build_idx").alias("first_verdict"),
-        F.max_by(end["fail"], "build_idx").alias("_end_fail"),
-        F.max_by(end["all"], "build_idx").alias("_end_all"),
+        F.max_by("_full_fail", "build_idx").alias("_end_fail"),
+        F.max_by("_full_all", "build_idx").alias("_end_all"),
         F.array_sort(F.collect_list(F.when(
             F.col("_pos_n") > F.col("_size") - TAIL,
             F.struct("build_idx", "fail", "verdict", "result", "duration"),
@@ -234,21 +235,25 @@ def _carries(summary: DataFrame, alpha: float, extra: Sequence[str]) -> DataFram
 
 def history(df: DataFrame, alpha: float = 0.1, segment: int | None = None, hot_rows: int | None = None,
             sums: Sequence[str] = (), rates: Sequence[int] = (2, 3, 5, 10, 20),
-            lags: Sequence[int] = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)) -> DataFrame:
+            lags: Sequence[int] = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10),
+            want: Sequence[str] | None = None) -> DataFrame:
     """Input rows plus history columns, all null or 0 where the test has no past.
 
     n, failures, exact_failures, exact_passes, flips, exact_flips, duration_sum,
     first_idx, last_idx, last_fail_idx, last_pass_idx (and exact_ forms), max_duration,
     fail_run, pass_run, exact_fail_run, exact_pass_run, their max_ forms,
     first_verdict, decayed_rate, rate_<k>, fail_<k>, verdict_<k>, last_duration,
-    raw_flips_10, recent_fails_11, sum_<c>. Unused ones are pruned by the optimizer.
+    raw_flips_10, fail_flips_5, recent_fails_11, sum_<c>. `want` names the ones to build.
     """
     step = _stretch(alpha)
     seg_len = -(-(segment or SEGMENT) // step) * step
     hot = _hot_tests(df, seg_len, hot_rows or seg_len)
+    names = list(want) if want is not None else _output_names(sums, rates, lags)
+    need = _closure(names)
     carried = [*_SUMS, "exact_n", *[f"sum_{c}" for c in sums], *_MAXES, "first_idx", "first_fail",
                "first_verdict", *[f"stop_{r}" for r in _RUNS], *[f"max_{r}" for r in _RUNS],
                "_d_fail", "_d_all"]
+    carried = [c for c in carried if c in need]
     rows = df.withColumns({
         "_stretch": F.floor(F.col("build_idx") / step).cast("bigint"), "_own": F.lit(True),
     })
@@ -271,8 +276,21 @@ def history(df: DataFrame, alpha: float = 0.1, segment: int | None = None, hot_r
         rows = rows.drop("_hot").unionByName(tail, allowMissingColumns=True)
     if hot is None:
         rows = rows.withColumns({f"c_{c}": F.lit(None).cast(_type(c, sums)) for c in carried})
-    out = _window_pass(rows, alpha, sums, rates, lags)
-    return out.filter("_own").select(*df.columns, *_output_names(sums, rates, lags))
+    out = _window_pass(rows, alpha, sums, rates, lags, need)
+    return out.filter("_own").select(*df.columns, *names)
+
+
+def _closure(names: Sequence[str]) -> set[str]:
+    """The wanted columns and those they are computed from."""
+    need = set(names)
+    for run, (counter, *_rest) in _RUNS.items():
+        if f"max_{run}" in need:
+            need.add(run)
+        if run in need:
+            need |= {counter, f"stop_{run}"}
+    if "decayed_rate" in need:
+        need |= {"_d_fail", "_d_all"}
+    return need
 
 
 def _type(name: str, sums: Sequence[str]) -> str:
@@ -286,97 +304,80 @@ def _is_double(name: str, sums: Sequence[str]) -> bool:
 def _output_names(sums, rates, lags) -> list[str]:
     return [*_SUMS, "exact_n", *_MAXES, "first_idx", "first_fail", "first_verdict",
             *_RUNS, *[f"max_{r}" for r in _RUNS], "decayed_rate", *[f"rate_{k}" for k in rates],
-            *[f"exact_rate_{k}" for k in rates if k <= 10], *[f"fail_{k}" for k in lags],
+            *[f"exact_rate_{k}" for k in rates], *[f"fail_{k}" for k in lags],
             *[f"verdict_{k}" for k in lags], "last_duration", "raw_flips_10", "fail_flips_5",
             "recent_fails_11", *[f"sum_{c}" for c in sums]]
 
 
-def _window_pass(rows, alpha, sums, rates, lags) -> DataFrame:
+def _window_pass(rows, alpha, sums, rates, lags, need) -> DataFrame:
     w, _ = _orders()
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    is_own = F.col("_own")
+    own = F.col("_own")
 
     def last_n(k):
         return w.rowsBetween(-k, -1)
 
+    def own_or_carried(value: Column, name: str) -> Column:
+        return F.when(own, value).otherwise(F.col(f"c_{name}"))
+
     exact = F.when(F.col("verdict") < 2, F.col("verdict"))
-    rows = rows.withColumns({
-        "_prev_x": F.last(exact, ignorenulls=True).over(past),
-        "_prev_fail": F.lag("fail").over(w),
-        "_prev_result": F.lag("result").over(w),
-    })
-    rows = rows.withColumns({
-        "_flip": F.coalesce((F.col("fail") != F.col("_prev_fail")).cast("int"), F.lit(0)),
-        "_xflip": F.coalesce(((F.col("verdict") < 2) & (F.col("verdict") != F.col("_prev_x"))).cast("int"), F.lit(0)),
-        "_rflip": F.coalesce((F.col("result") != F.col("_prev_result")).cast("int"), F.lit(0)),
-    })
-    rows = _decay_parts(rows, alpha, is_own)
-    cols: dict[str, Column] = {}
-    for k, v in _SUMS.items():
-        cols[k] = F.coalesce(F.sum(F.when(is_own, v()).otherwise(F.col(f"c_{k}"))).over(past), F.lit(0))
-    cols["exact_n"] = F.coalesce(
-        F.sum(F.when(is_own, (F.col("verdict") < 2).cast("int")).otherwise(F.col("c_exact_n"))).over(past), F.lit(0)
-    )
-    for c in sums:
-        cols[f"sum_{c}"] = F.coalesce(
-            F.sum(F.when(is_own, F.col(c)).otherwise(F.col(f"c_sum_{c}"))).over(past), F.lit(0)
-        )
-    for k, v in _MAXES.items():
-        cols[k] = F.max(F.when(is_own, v()).otherwise(F.col(f"c_{k}"))).over(past)
-    cols["first_idx"] = F.min(F.when(is_own, F.col("build_idx")).otherwise(F.col("c_first_idx"))).over(past)
-    cols["first_fail"] = F.first(F.when(is_own, F.col("fail")).otherwise(F.col("c_first_fail")),
-                                 ignorenulls=True).over(past)
-    cols["first_verdict"] = F.first(F.when(is_own, F.col("verdict")).otherwise(F.col("c_first_verdict")),
-                                    ignorenulls=True).over(past)
-    before = {}
-    for c in ("fail", "all"):
-        older = _fade(F.col(f"_past_{c}"), alpha, F.col("_past_b"), F.col("_lag_b"))
-        before[c] = F.col(f"_lag_{c}") + F.when(F.col("_lag_s") == F.col("_stretch"), older).otherwise(0.0)
-    cols["decayed_rate"] = before["fail"] / before["all"]
-    for k in rates:
-        cols[f"rate_{k}"] = F.avg("fail").over(last_n(k))
-        if k <= 10:
-            cols[f"exact_rate_{k}"] = F.avg(exact).over(last_n(k))
-    for k in lags:
-        cols[f"fail_{k}"] = F.lag("fail", k).over(w)
-        cols[f"verdict_{k}"] = F.lag("verdict", k).over(w)
-    cols["last_duration"] = F.lag("duration").over(w)
-    cols["raw_flips_10"] = F.coalesce(F.sum("_rflip").over(last_n(9)), F.lit(0))
-    cols["fail_flips_5"] = F.coalesce(F.sum("_flip").over(last_n(4)), F.lit(0))
-    cols["recent_fails_11"] = F.coalesce(F.sum("fail").over(last_n(11)), F.lit(0))
-    rows = rows.withColumns(cols)
+    changed = {}
+    if need & {"flips", "fail_flips_5"}:
+        changed["_flip"] = F.col("fail") != F.lag("fail").over(w)
+    if "exact_flips" in need:
+        changed["_xflip"] = exact != F.last(exact, ignorenulls=True).over(past)
+    if "raw_flips_10" in need:
+        changed["_rflip"] = F.col("result") != F.lag("result").over(w)
+    if changed:
+        rows = rows.withColumns({k: F.coalesce(v.cast("int"), F.lit(0)) for k, v in changed.items()})
+    if "decayed_rate" in need:
+        rows = _decay_parts(rows, alpha, own)
+
+    zero = F.lit(0)
+    totals = {k: v for k, v in _SUMS.items()} | {"exact_n": lambda: (F.col("verdict") < 2).cast("int")}
+    totals |= {f"sum_{c}": (lambda c=c: F.col(c)) for c in sums}
+    build = {k: (lambda k=k, v=v: F.coalesce(F.sum(own_or_carried(v(), k)).over(past), zero))
+             for k, v in totals.items()}
+    build |= {k: (lambda k=k, v=v: F.max(own_or_carried(v(), k)).over(past)) for k, v in _MAXES.items()}
+    build["first_idx"] = lambda: F.min(own_or_carried(F.col("build_idx"), "first_idx")).over(past)
+    build["first_fail"] = lambda: F.first(own_or_carried(F.col("fail"), "first_fail"), True).over(past)
+    build["first_verdict"] = lambda: F.first(own_or_carried(F.col("verdict"), "first_verdict"), True).over(past)
+    build["decayed_rate"] = lambda: F.lag("_full_fail").over(w) / F.lag("_full_all").over(w)
+    build |= {f"rate_{k}": (lambda k=k: F.avg("fail").over(last_n(k))) for k in rates}
+    build |= {f"exact_rate_{k}": (lambda k=k: F.avg(exact).over(last_n(k))) for k in rates}
+    build |= {f"fail_{k}": (lambda k=k: F.lag("fail", k).over(w)) for k in lags}
+    build |= {f"verdict_{k}": (lambda k=k: F.lag("verdict", k).over(w)) for k in lags}
+    build["last_duration"] = lambda: F.lag("duration").over(w)
+    build["raw_flips_10"] = lambda: F.coalesce(F.sum("_rflip").over(last_n(9)), zero)
+    build["fail_flips_5"] = lambda: F.coalesce(F.sum("_flip").over(last_n(4)), zero)
+    build["recent_fails_11"] = lambda: F.coalesce(F.sum("fail").over(last_n(11)), zero)
+    rows = rows.withColumns({k: v() for k, v in build.items() if k in need})
+
     # run lengths need the position just computed, in the same partitioning and order
-    stops = {}
-    for run, (counter, stop, _, _) in _RUNS.items():
-        mine = F.col(counter) + F.expr("1")
-        stops[f"_stop_{run}"] = F.coalesce(
-            F.max(F.when(is_own & F.expr(stop), mine).otherwise(F.col(f"c_stop_{run}"))).over(past), F.lit(0)
-        )
-    rows = rows.withColumns(stops)
-    runs = {run: F.col(counter) - F.col(f"_stop_{run}") for run, (counter, *_r) in _RUNS.items()}
-    rows = rows.withColumns(runs)
-    peaks = {}
-    for run, (_, _, hit, _) in _RUNS.items():
-        now = F.when(is_own & F.expr(hit), F.col(run) + 1).when(is_own, 0).otherwise(F.col(f"c_max_{run}"))
-        peaks[f"max_{run}"] = F.coalesce(F.max(now).over(past), F.lit(0))
-    return rows.withColumns(peaks)
-
-
-def snapshot(df: DataFrame, alpha: float = 0.1, segment: int | None = None,
-             sums: Sequence[str] = (), rates: Sequence[int] = (2, 3, 5, 10, 20),
-             lags: Sequence[int] = (1,)) -> DataFrame:
+    runs = {r: spec for r, spec in _RUNS.items() if r in need}
+    if runs:
+        rows = rows.withColumns({
+            f"_stop_{r}": F.coalesce(
+                F.max(own_or_carried(F.when(F.expr(stop), F.col(counter) + 1), f"stop_{r}")).over(past), zero)
+            for r, (counter, stop, _, _) in runs.items()
+        })
+        rows = rows.withColumns({r: F.col(c) - F.col(f"_stop_{r}") for r, (c, *_x) in runs.items()})
+    peaks = {
+        f"max_{r}": F.coalesce(
+            F.max(own_or_carried(F.when(F.expr(hit), F.col(r) + 1).otherwise(0), f"max_{r}")).over(past), zero)
+        for r, (_, _, hit, _) in runs.items() if f"max_{r}" in need
+    }
+    return rows.withColumns(peaks) if peaks else rows
+
+
+def snapshot(df: DataFrame, want: Sequence[str] | None = None, **options) -> DataFrame:
     """History of each test after its last execution: one row per test.
 
-    The last row's look-back history is advanced by that row, as one more history row.
+    It is the look-back history of one more, empty execution.
     """
     last = df.groupBy(*TEST).agg(F.max("build_idx").alias("_hi"))
-    probe = last.select(*TEST, (F.col("_hi") + 1).alias("build_idx"))
-    missing = [c for c in df.columns if c not in probe.columns]
-    types = dict(df.dtypes)
-    probe = probe.select(
-        *TEST, "build_idx", *[F.lit(None).cast(types[c]).alias(c) for c in missing]
-    ).withColumn("_probe", F.lit(True))
-    both = df.withColumn("_probe", F.lit(False)).unionByName(probe)
-    hist = history(both, alpha, segment, sums, rates, lags)
-    keep = [*TEST, *_output_names(sums, rates, lags)]
-    return hist.filter("_probe").select(*keep)
+    probe = last.select(*TEST, (F.col("_hi") + 1).alias("build_idx"), F.lit(True).alias("_probe"))
+    both = df.withColumn("_probe", F.lit(False)).unionByName(probe, allowMissingColumns=True)
+    hist = history(both, want=want, **options)
+    names = [c for c in hist.columns if c not in both.columns]
+    return hist.filter("_probe").select(*TEST, *names)
