@@ -45,7 +45,7 @@ def temporal_split(df: DataFrame, train: float = 0.8, val: float = 0.1) -> DataF
 def holdout_split(df: DataFrame, ratio: float = 0.8, inner: float = 0.1) -> DataFrame:
     """Last builds are test; the tail of the training builds is inner validation."""
     cut = F.floor(F.col("n_builds") * F.lit(ratio))
-    inner_cut = cut - F.greatest(F.floor(cut * F.lit(inner)), F.lit(1))
+    inner_cut = F.floor(cut * F.lit(1 - inner))
     idx = F.col("build_idx")
     part = F.when(idx >= cut, "test").when(idx >= inner_cut, "val").otherwise("train")
     return df.join(project_sizes(df), "project").withColumn("split", part).drop("n_builds")

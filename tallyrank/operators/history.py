@@ -129,15 +129,11 @@ def _summaries(seg: DataFrame, alpha: float, extra: Sequence[str]) -> DataFrame:
         "_size": F.count(F.lit(1)).over(whole),
         "_isx": (F.col("verdict") < 2).cast("int"),
     })
+    both = (F.col("_isx") == 1) & (F.lag("_isx").over(w) == 1)
     rows = rows.withColumns({
         "_pos_exact_n": F.sum("_isx").over(upto),
-        "_prev_x": F.last(F.when(F.col("_isx") == 1, F.col("verdict")), ignorenulls=True)
-        .over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "_xflip": F.coalesce((both & (F.col("verdict") != F.lag("verdict").over(w))).cast("int"), F.lit(0)),
     })
-    rows = rows.withColumn(
-        "_xflip",
-        F.coalesce(((F.col("_isx") == 1) & (F.col("verdict") != F.col("_prev_x"))).cast("int"), F.lit(0)),
-    )
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     for run, (counter, stop, hit, _) in _RUNS.items():
         pos = F.col(f"_pos_{counter}")
@@ -154,8 +150,8 @@ def _summaries(seg: DataFrame, alpha: float, extra: Sequence[str]) -> DataFrame:
         F.sum("_isx").alias("exact_n"),
         F.min_by("fail", "build_idx").alias("_head_fail"),
         F.max_by("fail", "build_idx").alias("_tail_fail"),
-        F.min_by("verdict", F.when(F.col("_isx") == 1, F.col("build_idx"))).alias("_head_x"),
-        F.max_by("verdict", F.when(F.col("_isx") == 1, F.col("build_idx"))).alias("_tail_x"),
+        F.min_by("verdict", "build_idx").alias("_head_v"),
+        F.max_by("verdict", "build_idx").alias("_tail_v"),
         F.min_by("fail", "build_idx").alias("first_fail"),
         F.min_by("verdict", "build_idx").alias("first_verdict"),
         F.max_by("_full_fail", "build_idx").alias("_end_fail"),
@@ -185,7 +181,7 @@ def _carries(summary: DataFrame, alpha: float, extra: Sequence[str]) -> DataFram
     s = summary.withColumns({
         "_edge": F.coalesce((F.col("_head_fail") != F.lag("_tail_fail").over(order)).cast("int"), F.lit(0)),
         "_xedge": F.coalesce(
-            (F.col("_head_x") != F.last("_tail_x", ignorenulls=True).over(past)).cast("int"), F.lit(0)
+            ((F.col("_head_v") + F.lag("_tail_v").over(order)) == 1).cast("int"), F.lit(0)
         ),
     })
     s = s.withColumns({"flips": F.col("flips") + F.col("_edge"),
@@ -325,7 +321,7 @@ def _window_pass(rows, alpha, sums, rates, lags, need) -> DataFrame:
     if need & {"flips", "fail_flips_5"}:
         changed["_flip"] = F.col("fail") != F.lag("fail").over(w)
     if "exact_flips" in need:
-        changed["_xflip"] = exact != F.last(exact, ignorenulls=True).over(past)
+        changed["_xflip"] = (F.col("verdict") + F.lag("verdict").over(w)) == 1
     if "raw_flips_10" in need:
         changed["_rflip"] = F.col("result") != F.lag("result").over(w)
     if changed:

@@ -30,7 +30,8 @@ def replay(rows, alpha=0.1):
         h = past.setdefault(r[2], [])
         f = [x[5] for x in h]
         raw = [x[6] for x in h]
-        xs = [x[4] for x in h if x[4] < 2]
+        vs = [x[4] for x in h]
+        xs = [x for x in vs if x < 2]
 
         def trail(seq, v):
             n = 0
@@ -53,7 +54,7 @@ def replay(rows, alpha=0.1):
         e = {
             "n": len(h), "failures": sum(f), "exact_passes": xs.count(0), "exact_n": len(xs),
             "flips": sum(a != b for a, b in zip(f, f[1:])),
-            "exact_flips": sum(a != b for a, b in zip(xs, xs[1:])),
+            "exact_flips": sum({a, b} == {0, 1} for a, b in zip(vs, vs[1:])),
             "duration_sum": sum(x[7] for x in h), "sum_commits": sum(x[8] for x in h),
             "max_duration": max((x[7] for x in h), default=None),
             "first_idx": h[0][3] if h else None, "last_idx": h[-1][3] if h else None,
