@@ -252,8 +252,8 @@ def linspace(lo: float, hi: float, n: int) -> list[float]:
     return [lo + (hi - lo) * i / (n - 1) for i in range(n)] if n > 1 else [lo]
 
 
-def best_threshold(df: DataFrame, metric: str = "f1_macro", lo: float = 0.05, hi: float = 0.95,
-                   n: int = 91, minority: int = 1) -> DataFrame:
+def best_threshold(df: DataFrame, metric: str = "f1_macro", lo: float = 0.01, hi: float = 0.99,
+                   n: int = 100, minority: int = 1) -> DataFrame:
     """Best grid threshold; one-class predictions are skipped; the first maximum wins."""
     if metric not in MINORITY_METRICS:
         raise ValueError(f"unknown metric {metric!r}, expected one of {MINORITY_METRICS}")
@@ -262,7 +262,7 @@ def best_threshold(df: DataFrame, metric: str = "f1_macro", lo: float = 0.05, hi
     return m.withColumn("best_score", F.col(metric)).orderBy(F.desc("best_score"), "threshold").limit(1)
 
 
-def best_threshold_two_phase(df: DataFrame, metric: str = "f1_macro", lo: float = 0.05, hi: float = 0.95,
+def best_threshold_two_phase(df: DataFrame, metric: str = "f1_macro", lo: float = 0.01, hi: float = 0.99,
                              coarse: float = 0.02, fine: float = 0.005, window: float = 0.05,
                              minority: int = 1) -> DataFrame:
     """A coarse grid, then a fine one around its winner (one number read by the driver)."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyrank.plans import history_queries
+from tallyrank.plans import graph_queries, history_queries, ranking_queries
 
-_MODULES = (history_queries,)
+_MODULES = (history_queries, ranking_queries, graph_queries)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.Q.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.S.items()}

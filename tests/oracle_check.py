@@ -71,6 +71,7 @@ def main():
         ok = msg is None or msg.startswith("rows only")
         if not ok:
             failed.append(name)
+        msg = msg and msg[:900]
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t:.1f}s {msg or ''}", flush=True)
     print(f"{len(failed)} failed: {failed}")
 
