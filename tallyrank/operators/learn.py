@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyrank.operators.clean import BUILD, TEST
 from tallyrank.operators.graph import add_random_edges, perturb_features, propagate, subgraph
 from tallyrank.operators.similarity import zscore
+from tallyrank.session import materialize
 
 # fixed values: settings of the three models
 _LR = {"maxIter": 50, "regParam": 0.01}
@@ -90,14 +91,15 @@ def fit_ensemble(train: DataFrame, columns: Sequence[str], label: str = "fail")
     when the labels hold one class only, in which case the failure rate is the score."""
     if train.select(label).distinct().limit(2).count() < 2:
         return None
-    own = lambda p: {"probabilityCol": f"_p_{p}", "rawPredictionCol": f"_r_{p}", "predictionCol": f"_y_{p}"}
-    from pyspark.ml.feature import StandardScaler
+    def named(model, tag):
+        return model.setProbabilityCol(f"_p_{tag}").setRawPredictionCol(f"_r_{tag}").setPredictionCol(f"_y_{tag}")
+
     stages = [
         VectorAssembler(inputCols=list(columns), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
-        LogisticRegression(labelCol=label, weightCol="_weight", **_LR, **own("lr")),
-        RandomForestClassifier(labelCol=label, weightCol="_weight", **_RF, **own("rf")),
-        GBTClassifier(labelCol=label, **_GB, **own("gb")),
+        named(LogisticRegression(labelCol=label, weightCol="_weight", **_LR), "lr"),
+        named(RandomForestClassifier(labelCol=label, weightCol="_weight", **_RF), "rf"),
+        named(GBTClassifier(labelCol=label, **_GB), "gb"),
     ]
     return Pipeline(stages=stages).fit(weighted(train, label))
 
@@ -119,6 +121,8 @@ def _forest(df: DataFrame, columns: Sequence[str], label: str, **params) -> Data
 def sensitivity_flags(nodes: DataFrame, edges: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:
     """1 where a model refitted on a changed graph, changed features or other settings
     predicts otherwise than the base model."""
+    # every fit reads these again
+    nodes, edges = materialize(nodes), materialize(edges)
     changed_graph = subgraph(add_random_edges(edges, nodes, 5, seed), nodes)
     spread = nodes.select(*TEST, label).join(propagate(nodes.select(*TEST, *columns), changed_graph, columns), TEST, "left").na.fill(0.0)
     variants = {
@@ -136,7 +140,7 @@ def select_by_holdout(df: DataFrame, columns: Sequence[str], label: str = "fail"
                       candidates: Sequence[dict] = ({"maxDepth": 2}, {"maxDepth": 4})):
     """Fit each candidate on the older part, keep the lowest squared error on the newer
     part, refit on all. Returns (model, settings, errors)."""
-    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
+    rows = materialize(VectorAssembler(inputCols=list(columns), outputCol="features").transform(df))
     errors = []
     for params in candidates:
         model = GBTRegressor(labelCol=label, maxIter=10, seed=42, **params).fit(rows.filter(cut))

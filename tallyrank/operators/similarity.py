@@ -292,5 +292,6 @@ def smote(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label", vec:
     a = small.select(F.col(id_col).alias("query"), F.col(vec).alias("_a"))
     b = small.select(F.col(id_col).alias("neighbor"), F.col(vec).alias("_b"))
     j = picked.join(a, "query").join(b, "neighbor")
-    mix = F.zip_with("_a", "_b", lambda x, y: (x + (y - x) * F.col("step")).cast("float"))
+    wide = lambda v: v.cast("double")
+    mix = F.zip_with("_a", "_b", lambda x, y: (wide(x) + (wide(y) - wide(x)) * F.col("step")).cast("float"))
     return j.select(F.col("query").alias(id_col), "copy", "neighbor", "step", mix.alias(vec), F.lit(minority).alias(label))

@@ -20,8 +20,8 @@ from tallyrank.operators.history import history, snapshot
 from tallyrank.operators.textops import hash_embedding
 from tallyrank.plans import oracle as o
 from tallyrank.plans.fixtures import executions, raw_events, raw_lines, table
-from tallyrank.plans.graph_queries import CF, MEAN_W, VEC, _pairs, emb, hash32, structured
-from tallyrank.plans.ranking_queries import BIN, PER, RANKED, binary, ranked, two_methods, _TWO, _HASH
+from tallyrank.plans.graph_queries import CF, MEAN_W, VEC, _draws, _pairs, emb, hash32, structured
+from tallyrank.plans.ranking_queries import BIN, PER, RANKED, _TWO, binary, ranked, two_methods
 from tallyrank.plans.shape import shaped, sql_select
 from tallyrank.session import checkpoint_dir
 from tallyrank.sources import readers as rd
@@ -80,9 +80,6 @@ add("collapse_executions", lambda spark, sf: shaped(c.collapse_executions(raw_li
     f"{LI} " + sql_select("ex", "project; build_id; tc_key; result", "fail; n_rows", "duration"))
 add("builds_with_failures", lambda spark, sf: shaped(c.builds_with_failures(executions(spark, sf)), *KEY, "fail"),
     f"{EV} " + sql_select("ex", "build_id; tc_key", "fail", where="build_id IN (SELECT build_id FROM ex WHERE fail = 1)"))
-add("filter_projects", lambda spark, sf: shaped(c.label_distribution(c.filter_projects(executions(spark, sf, "li"), 10, 300 if "0.001" in sf else 3000), "project")),
-    None)
-Q.pop("filter_projects")
 
 
 def _projects(spark, sf):
@@ -154,7 +151,9 @@ _EDG = f"{EV}, {CF}, e AS (SELECT project, src, dst, weight FROM cf WHERE weight
 add("split_edges", lambda spark, sf: shaped(s.split_edges(g.co_outcome_edges(executions(spark, sf), 1)), "src", "dst", "split"),
     f"{_EDG}, n AS (SELECT *, row_number() OVER (ORDER BY {hash32('src', 'dst', _Q42)}, src, dst) AS no, floor(count(*) OVER () * 0.1::DOUBLE) AS k FROM e) "
     + sql_select("n", "src; dst; CASE WHEN no <= k THEN 'test' WHEN no <= 2 * k THEN 'val' ELSE 'train' END AS split"))
-add("negative_edges", lambda spark, sf: shaped(s.negative_edges(executions(spark, sf), g.co_failure_edges(executions(spark, sf), 4, 0.1), 200), "src", "dst"))
+add("negative_edges", lambda spark, sf: shaped(s.negative_edges(executions(spark, sf), g.co_failure_edges(executions(spark, sf), 4, 0.1), 200), "src", "dst"),
+    f"{EV}, {_pairs('fail = 1', 'e', MEAN_W)}, {_draws(20000)}, fd AS (SELECT src, dst, min(i) AS i FROM dp GROUP BY ALL) SELECT src, dst FROM fd WHERE (src, dst) NOT IN "
+    "(SELECT (src, dst) FROM e WHERE shared >= 4 AND weight >= 0.1::DOUBLE) ORDER BY i LIMIT 200")
 
 
 def _smote(spark, sf):

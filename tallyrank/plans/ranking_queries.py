@@ -248,7 +248,18 @@ def _two(spark, sf):
     return shaped(m.best_threshold_two_phase(binary(spark, sf), "balanced_accuracy"), *_BEST, "coarse_threshold")
 
 
-add("best_threshold_two_phase", _two)
+_FINE = (", c0 AS (SELECT threshold AS t0 FROM x ORDER BY balanced_accuracy DESC, threshold LIMIT 1), ab AS (SELECT t0, greatest(0.01::DOUBLE, t0 - 0.05::DOUBLE) AS a, "
+         "least(0.99::DOUBLE, t0 + 0.05::DOUBLE) AS b FROM c0), nn AS (SELECT *, trunc((b - a) / 0.005::DOUBLE)::BIGINT + 1 AS n FROM ab), "
+         "ft AS (SELECT t0, a + (b - a) * i / (n - 1) AS threshold FROM nn, range(100) r(i) WHERE i < n), "
+         "fk AS (SELECT t0, threshold, sum((score >= threshold AND label = 1)::INT) AS tp, sum((score >= threshold AND label = 0)::INT) AS fp, "
+         "sum((score < threshold AND label = 0)::INT) AS tn, sum((score < threshold AND label = 1)::INT) AS fn FROM b, ft GROUP BY 1, 2), "
+         "fw AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, "
+         "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1, coalesce(2 * tn / nullif(2 * tn + fp + fn, 0)::DOUBLE, 0) AS f1_neg, "
+         f"coalesce(tn / nullif(tn + fp, 0)::DOUBLE, 0) AS specificity FROM fk), fx AS (SELECT t0, threshold, tp, fp, tn, fn, {_SCORES} FROM fw WHERE tp + fp > 0 AND tn + fn > 0) ")
+_COARSE = m.linspace(0.01, 0.99, int((0.99 - 0.01) / 0.02) + 1)
+add("best_threshold_two_phase", _two, BIN + _grid(_COARSE) + f", x AS (SELECT threshold, tp, fp, tn, fn, {_SCORES} FROM w WHERE tp + fp > 0 AND tn + fn > 0)" + _FINE
+    + sql_select("(SELECT * FROM fx ORDER BY balanced_accuracy DESC, threshold LIMIT 1)", "", "tp; fp; tn; fn",
+                 "threshold; balanced_accuracy AS best_score; f1_macro; f1_minority; recall_minority; precision_minority; balanced_accuracy; t0 AS coarse_threshold"))
 add("best_threshold_youden", lambda spark, sf: shaped(m.best_threshold_youden(binary(spark, sf))),
     BIN + _CURVE + " " + sql_select("(SELECT score AS threshold, tp / pos::DOUBLE - fp / neg::DOUBLE AS youden_j FROM c UNION ALL "
                                     "SELECT 'inf'::DOUBLE, 0 ORDER BY round(youden_j, 12) DESC, threshold DESC LIMIT 1)", "", "", "threshold; youden_j"))
