@@ -12,6 +12,7 @@ from tallyrank.functions.hashing import hash_int, uniform
 from tallyrank.operators.clean import BUILD
 from tallyrank.operators.pairs import HOT_BUCKET, pair_counts
 from tallyrank.operators.scale import number_rows
+from tallyrank.session import materialize
 
 SCOPE = ["project"]
 
@@ -55,7 +56,8 @@ def commit_members(df: DataFrame) -> DataFrame:
 
 def commit_edges(df: DataFrame, min_count: int = 1, threshold: float = 0.1, hot: int = HOT_BUCKET) -> DataFrame:
     """Tests sharing commits or change requests; weight = shared ÷ largest shared."""
-    pairs = pair_counts(commit_members(df), SCOPE, lambda n: F.lit(int(min_count)), hot)
+    # read twice: for the largest count and for the edges
+    pairs = materialize(pair_counts(commit_members(df), SCOPE, lambda n: F.lit(int(min_count)), hot))
     top = pairs.groupBy(*SCOPE).agg(F.max("shared").alias("_top"))
     return _edges(pairs.join(F.broadcast(top), SCOPE), F.col("shared") / F.col("_top"), threshold)
 

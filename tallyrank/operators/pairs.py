@@ -20,72 +20,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyrank.operators.scale import number_rows
 from tallyrank.session import materialize
 
 HOT_BUCKET = 2000
-BLOCK = 1000
+BLOCK = 500
 
 
-def _joined(rows: DataFrame, scope: Sequence[str], block: int) -> DataFrame:
+def partitions(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _joined(rows: DataFrame, block: int) -> DataFrame:
     """Pairs a < b inside each bucket; `_size` is the number of its rows here."""
     parts = F.ceil(F.col("_size") / block).cast("int")
-    mine = F.pmod(F.hash("node"), parts)
+    mine = F.pmod(F.col("id"), parts)
     every = F.explode(F.sequence(F.lit(0), parts - 1))
-    left = rows.select(*scope, "bucket", F.col("node").alias("src"), mine.alias("_i"), every.alias("_j"))
-    right = rows.select(*scope, "bucket", F.col("node").alias("dst"), every.alias("_i"), mine.alias("_j"))
-    # names differ per side, so the join condition can carry the order of the pair
-    on = [*scope, "bucket", "_i", "_j"]
-    right = right.select(*[F.col(c).alias(f"r_{c}") for c in on], "dst")
-    cond = [F.col(c) == F.col(f"r_{c}") for c in on] + [F.col("src") < F.col("dst")]
-    return left.join(right, cond).select(*scope, "bucket", "src", "dst")
-
-
-def _with_sizes(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
-    sizes = rows.groupBy(*scope, "bucket").agg(F.count(F.lit(1)).alias("_size"))
-    return rows.join(sizes, [*scope, "bucket"])
+    left = rows.select("bucket", F.col("id").alias("a"), mine.alias("_i"), every.alias("_j"))
+    right = rows.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), every.alias("_ri"), mine.alias("_rj"))
+    # few input bytes make many pairs, so the partition count is set, not coalesced by size
+    n = partitions(rows)
+    left, right = left.repartition(n, "bucket", "_i", "_j"), right.repartition(n, "_bucket", "_ri", "_rj")
+    same = (F.col("bucket") == F.col("_bucket")) & (F.col("_i") == F.col("_ri")) & (F.col("_j") == F.col("_rj"))
+    return left.join(right, same & (F.col("a") < F.col("b"))).select("a", "b")
 
 
 def pair_counts(members: DataFrame, scope: Sequence[str] = ("project",),
                 need: Callable[[Column], Column] | None = None,
                 hot: int = HOT_BUCKET, block: int = BLOCK) -> DataFrame:
     """Columns scope, src, dst, shared, n_src, n_dst for every pair that shares at least
-    `need(n)` buckets for both of its node sizes n; other pairs may be missing."""
+    `need(n)` buckets for both of its node sizes n; other pairs may be missing.
+
+    Nodes are numbered in name order first, so the many pair rows hold two numbers.
+    """
     scope = list(scope)
     need = need or (lambda n: F.lit(1))
     totals = members.groupBy(*scope, "node").agg(F.count(F.lit(1)).alias("n"))
-    sizes = members.groupBy(*scope, "bucket").agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.filter(F.col("_size") > hot)
-    if large.isEmpty():
-        pairs = _joined(members.join(sizes, [*scope, "bucket"]), scope, max(hot, 1))
-        counts = pairs.groupBy(*scope, "src", "dst").agg(F.count(F.lit(1)).alias("shared"))
+    nodes = number_rows(totals, [], [F.col(c) for c in [*scope, "node"]], "id")
+    rows = members.join(nodes, [*scope, "node"]).select(
+        F.struct(*scope, "bucket").alias("bucket") if scope else F.col("bucket"), "id", "n")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"))
+    tagged = materialize(rows.join(sizes, "bucket"))
+    if tagged.filter(F.col("_size") > hot).isEmpty():
+        counts = _joined(tagged, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     else:
-        counts = _split_counts(members, sizes, totals, scope, need, hot, block)
-    left = totals.select(*scope, F.col("node").alias("src"), F.col("n").alias("n_src"))
-    right = totals.select(*scope, F.col("node").alias("dst"), F.col("n").alias("n_dst"))
-    out = counts.join(left, [*scope, "src"]).join(right, [*scope, "dst"])
+        counts = _split_counts(tagged, need, hot, block)
+    left = nodes.select(*scope, F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("id").alias("a"))
+    right = nodes.select(F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("id").alias("b"))
+    out = counts.join(left, "a").join(right, "b")
     enough = F.greatest(need(F.col("n_src")), need(F.col("n_dst")))
     return out.filter(F.col("shared") >= enough).select(*scope, "src", "dst", "shared", "n_src", "n_dst")
 
 
-def _split_counts(members, sizes, totals, scope, need, hot, block) -> DataFrame:
-    tagged = members.join(sizes, [*scope, "bucket"])
+def _split_counts(tagged, need, hot, block) -> DataFrame:
     small = tagged.filter(F.col("_size") <= hot)
-    big = materialize(tagged.filter(F.col("_size") > hot).join(totals, [*scope, "node"]))
-    cold = materialize(
-        _joined(small, scope, hot).groupBy(*scope, "src", "dst").agg(F.count(F.lit(1)).alias("cold")))
-    order = Window.partitionBy(*scope, "node").orderBy("_size", "bucket")
+    big = tagged.filter(F.col("_size") > hot)
+    cold = materialize(_joined(small, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("cold")))
+    order = Window.partitionBy("id").orderBy("_size", "bucket")
     ranked = big.withColumns({
-        "_pos": F.row_number().over(order), "_h": F.count(F.lit(1)).over(Window.partitionBy(*scope, "node")),
+        "_pos": F.row_number().over(order), "_h": F.count(F.lit(1)).over(Window.partitionBy("id")),
     })
-    prefix = ranked.filter(F.col("_pos") <= F.col("_h") - need(F.col("n")) + 1)
-    prefix = _with_sizes(prefix.select(*scope, "bucket", "node"), scope)
-    found = _joined(prefix, scope, block).select(*scope, "src", "dst").distinct()
-    candidates = cold.select(*scope, "src", "dst").unionByName(found).distinct()
-    # exact hot count: the hot buckets of src that dst is in as well
-    mine = big.select(*scope, F.col("node").alias("src"), "bucket")
-    theirs = big.select(*scope, F.col("node").alias("dst"), "bucket")
-    both = candidates.join(mine, [*scope, "src"]).join(theirs, [*scope, "dst", "bucket"])
-    hot_counts = both.groupBy(*scope, "src", "dst").agg(F.count(F.lit(1)).alias("hot"))
-    out = candidates.join(cold, [*scope, "src", "dst"], "left").join(hot_counts, [*scope, "src", "dst"], "left")
-    shared = F.coalesce("cold", F.lit(0)) + F.coalesce("hot", F.lit(0))
-    return out.select(*scope, "src", "dst", shared.alias("shared"))
+    prefix = ranked.filter(F.col("_pos") <= F.col("_h") - need(F.col("n")) + 1).select("bucket", "id")
+    prefix = prefix.join(prefix.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")), "bucket")
+    found = _joined(prefix, block).distinct()
+    candidates = materialize(cold.select("a", "b").unionByName(found).distinct())
+    # exact hot count: the hot buckets of a that b is in as well
+    mine = big.select(F.col("id").alias("a"), "bucket")
+    theirs = big.select(F.col("id").alias("b"), "bucket")
+    both = candidates.join(mine, "a").join(theirs, ["b", "bucket"])
+    hot_counts = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hot"))
+    out = candidates.join(cold, ["a", "b"], "left").join(hot_counts, ["a", "b"], "left")
+    return out.select("a", "b", (F.coalesce("cold", F.lit(0)) + F.coalesce("hot", F.lit(0))).alias("shared"))

@@ -56,9 +56,18 @@ def encode_distinct(df: DataFrame, text: str, encoder: Callable[[list[str]], np.
     return df.join(vectors, text, "left")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it in a lambda; a plain reference is recomputed there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def hash_embedding(text: Column, dim: int = 64, seed: int = 42) -> Column:
     """The same unit vector for the same text, whatever the run."""
-    key = F.md5(F.coalesce(text, F.lit("")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: hash_int(key, i, seed) / 2147483648.0 - 1.0)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    def numbers(key):
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: hash_int(key, i, seed) / 2147483648.0 - 1.0)
+
+    def unit(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return _let(norm, lambda n: F.transform(v, lambda x: x / n))
+
+    return _let(F.md5(F.coalesce(text, F.lit(""))), lambda key: _let(numbers(key), unit))

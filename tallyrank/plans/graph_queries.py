@@ -304,7 +304,7 @@ def two_scores(spark, sf):
 
 add("blend_scores", lambda spark, sf: shaped(two_scores(spark, sf).withColumn("score", sim.blend(F.col("score_a"), F.col("score_b"), 0.7)),
                                              "build_id", "tc_key", "score"),
-    o.ev_history() + sql_select("h", "build_id; tc_key", "", f"0.7::DOUBLE * {o.RATE} + 0.3::DOUBLE * coalesce(rate_5, 0) AS score"))
+    o.ev_history() + sql_select("h", "build_id; tc_key", "", f"0.7::DOUBLE * {o.RATE} + (1.0::DOUBLE - 0.7::DOUBLE) * coalesce(rate_5, 0) AS score"))
 add("sweep_alpha", lambda spark, sf: shaped(sim.sweep_alpha(two_scores(spark, sf), ALPHAS), "n_builds", "alpha", "mean_apfd"),
     o.ev_history().rstrip() + ", al AS (SELECT unnest([" + ", ".join(f"{a}::DOUBLE" for a in ALPHAS) + "]) AS alpha), "
     f"rk AS (SELECT alpha, project, build_id, tc_key, fail, row_number() OVER (PARTITION BY alpha, project, build_id ORDER BY alpha * {o.RATE} + (1 - alpha) * "

@@ -10,7 +10,7 @@ from tallyrank.functions import text as t
 from tallyrank.operators import textops as x
 from tallyrank.operators.learn import build_commit_vector
 from tallyrank.plans import oracle as o
-from tallyrank.plans.fixtures import raw_events, table
+from tallyrank.plans.fixtures import raw_events, spread, table
 from tallyrank.plans.shape import shaped, sql_select
 
 Q, S = {}, {}
@@ -23,7 +23,7 @@ def add(name, fn, sql=None):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def digest(df, *columns, keys=("doc_id",)):
