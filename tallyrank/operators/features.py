@@ -11,6 +11,7 @@ from tallyrank.functions.verdict import fail_from_code
 from tallyrank.operators.clean import BUILD
 from tallyrank.operators.history import TEST, history, snapshot
 from tallyrank.operators.scale import exact_quantiles
+from tallyrank.session import materialize
 
 # fixed values: column names and order of the published feature layouts
 V1_NAMES = ["test_age", "failure_rate", "recent_failure_rate", "flakiness_rate", "commit_count",
@@ -322,12 +323,12 @@ _SNAP_WANT = ["n", "failures", "flips", "decayed_rate", "first_idx", "last_idx",
 def _snapshot_features(train: DataFrame, rows: DataFrame, names: Sequence[str], defaults: dict) -> DataFrame:
     """History of the whole training split put on any rows. Training rows would see
     their own future, so use it for later rows; look-back features are the other kind."""
-    snap = snapshot(not_pass(train), want=_SNAP_WANT)
+    snap = materialize(snapshot(not_pass(train), want=_SNAP_WANT))  # one row per test, read several times
     clock = train.groupBy("project").agg((F.max("build_idx") + 1).alias("_train_builds"))
 
     def apply(target: DataFrame) -> DataFrame:
         j = target.drop(*[c for c in _SNAP_WANT if c in target.columns])
-        j = j.join(snap, TEST, "left").join(F.broadcast(clock), "project", "left")
+        j = j.join(snap, TEST, "left").join(clock, "project", "left")
         return j.select(*KEYS, *[c.alias(k) for k, c in _snap_exprs().items() if k in names])
 
     stats = default_row(apply(train), defaults["means"], defaults["medians"])
@@ -372,11 +373,11 @@ def features_v2_snapshot(train: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def features_v3_snapshot(train: DataFrame, rows: DataFrame) -> DataFrame:
-    snap = snapshot(not_pass(train), want=_V3_HISTORY)
+    snap = materialize(snapshot(not_pass(train), want=_V3_HISTORY))
     clock = train.groupBy("project").agg((F.max("build_idx") + 1).alias("_train_builds"))
 
     def apply(target: DataFrame) -> DataFrame:
-        j = target.join(snap, TEST, "left").join(F.broadcast(clock), "project", "left")
+        j = target.join(snap, TEST, "left").join(clock, "project", "left")
         now = F.least("build_idx", "_train_builds")
         cols = {k: F.when(F.col("n") > 0, _d(v)) for k, v in _v3_seen(now).items()}
         cols |= {"test_novelty": F.when(now == F.col("first_idx"), 1.0).when(F.col("n").isNull(), 1.0).otherwise(0.0),

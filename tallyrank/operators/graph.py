@@ -59,7 +59,7 @@ def commit_edges(df: DataFrame, min_count: int = 1, threshold: float = 0.1, hot:
     # read twice: for the largest count and for the edges
     pairs = materialize(pair_counts(commit_members(df), SCOPE, lambda n: F.lit(int(min_count)), hot))
     top = pairs.groupBy(*SCOPE).agg(F.max("shared").alias("_top"))
-    return _edges(pairs.join(F.broadcast(top), SCOPE), F.col("shared") / F.col("_top"), threshold)
+    return _edges(pairs.join(top, SCOPE), F.col("shared") / F.col("_top"), threshold)
 
 
 def component_edges(df: DataFrame, threshold: float = 0.05, hot: int = HOT_BUCKET) -> DataFrame:
@@ -80,7 +80,7 @@ def temporal_edges(df: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     c = j.groupBy(*SCOPE, F.least("tc_key", "_next").alias("src"), F.greatest("tc_key", "_next").alias("dst")).agg(
         F.count(F.lit(1)).alias("shared"))
     top = c.groupBy(*SCOPE).agg(F.max("shared").alias("_top"))
-    return c.join(F.broadcast(top), SCOPE).select(*SCOPE, "src", "dst", "shared", (F.col("shared") / F.col("_top")).alias("weight"))
+    return c.join(top, SCOPE).select(*SCOPE, "src", "dst", "shared", (F.col("shared") / F.col("_top")).alias("weight"))
 
 
 def hybrid_edges(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyrank.operators.clean import BUILD
 from tallyrank.operators.ranking import rank_in_build
 from tallyrank.operators.scale import exact_quantiles, running_sums
+from tallyrank.session import materialize
 
 MINORITY_METRICS = ("f1_macro", "f1_minority", "recall_minority", "precision_minority", "balanced_accuracy")
 
@@ -59,6 +60,7 @@ def mean_apfd(per_build: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def apfd_summary(per_build: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, exact median, sample std, extremes, totals and score buckets."""
+    per_build = materialize(per_build)  # one row per build, read for the mean and the median
     a = F.col("apfd")
     count_if = lambda c: F.sum(c.cast("bigint"))
     out = per_build.groupBy(*by).agg(
@@ -135,7 +137,7 @@ def evaluate_strategies(rankings: DataFrame) -> DataFrame:
     """Mean, median and sample std of APFD for each strategy; lower `index` runs earlier."""
     scored = rankings.withColumn("score", -F.col("index").cast("double")).drop("rank")
     by_build = scored.withColumn("build_id", F.concat_ws("|", "strategy", "build_id"))
-    per = apfd_plain(rank_in_build(by_build), ["strategy"])
+    per = materialize(apfd_plain(rank_in_build(by_build), ["strategy"]))
     stats = per.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("n_builds"), F.avg("apfd").alias("mean_apfd"), F.stddev_samp("apfd").alias("std_apfd"))
     return stats.join(exact_quantiles(per, ["strategy"], "apfd", {"median_apfd": 0.5}), "strategy")
@@ -372,7 +374,7 @@ def upper_tail(z: Column) -> Column:
 
 def grand_mean(per_build: DataFrame) -> DataFrame:
     """Unweighted mean, population std and median of the project means."""
-    per = per_build.groupBy("project").agg(F.avg("apfd").alias("m"), F.count(F.lit(1)).alias("c"))
+    per = materialize(per_build.groupBy("project").agg(F.avg("apfd").alias("m"), F.count(F.lit(1)).alias("c")))
     out = per.agg(F.count(F.lit(1)).alias("n_projects"), F.sum("c").alias("n_builds"),
                   F.avg("m").alias("grand_mean"), F.stddev_pop("m").alias("std"))
     return out.crossJoin(exact_quantiles(per, [], "m", {"median": 0.5}))
@@ -380,6 +382,7 @@ def grand_mean(per_build: DataFrame) -> DataFrame:
 
 def variant_deltas(per_build: DataFrame, full: str = "full") -> DataFrame:
     """Mean, median, sample std of every variant and its distance from the full one."""
+    per_build = materialize(per_build)
     g = per_build.groupBy("variant").agg(
         F.count(F.lit(1)).alias("n_builds"), F.avg("apfd").alias("mean_apfd"), F.stddev_samp("apfd").alias("std_apfd"))
     g = g.join(exact_quantiles(per_build, ["variant"], "apfd", {"median_apfd": 0.5}), "variant")

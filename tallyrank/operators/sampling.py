@@ -77,7 +77,7 @@ def split_edges(edges: DataFrame, val: float = 0.1, test: float = 0.1, seed: int
     n = edges.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("_n"))
     n_test, n_val = F.floor(F.col("_n") * F.lit(float(test))), F.floor(F.col("_n") * F.lit(float(val)))
     part = F.when(F.col("_no") <= n_test, "test").when(F.col("_no") <= n_test + n_val, "val").otherwise("train")
-    return rows.join(F.broadcast(n), SCOPE).withColumn("split", part).drop("_n", "_no")
+    return rows.join(n, SCOPE).withColumn("split", part).drop("_n", "_no")
 
 
 def negative_edges(nodes: DataFrame, edges: DataFrame, n: int, seed: int = 42, node: str = "tc_key") -> DataFrame:

@@ -49,11 +49,14 @@ def encode_distinct(df: DataFrame, text: str, encoder: Callable[[list[str]], np.
     """Encode each distinct text once, in Arrow batches, and join the vectors back."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            vectors = np.asarray(encoder(list(b[text])), dtype=np.float32)
-            yield pd.DataFrame({text: b[text], out: list(vectors)})
-
-    vectors = df.select(text).filter(F.col(text).isNotNull()).distinct().mapInPandas(run, f"{text} string, {out} array<float>")
-    return df.join(vectors, text, "left")
+            vectors = np.asarray(encoder(list(b["text"])), dtype=np.float32)
+            yield pd.DataFrame({"_key": b["_key"], out: list(vectors)})
+
+    # grouped and joined by digest, so that the long text is not a sort key
+    keyed = df.withColumn("_key", F.sha2(text, 256))
+    once = keyed.filter(F.col(text).isNotNull()).groupBy("_key").agg(F.first(text).alias("text"))
+    vectors = once.mapInPandas(run, f"_key string, {out} array<float>")
+    return keyed.join(vectors, "_key", "left").drop("_key")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from tallyrank.operators.metrics import apfd_summary, grand_mean
 from tallyrank.operators.scale import exact_quantiles
+from tallyrank.session import materialize
 
 # fixed values: column order of the stored ranking
 PRIORITIZED = ("build_id", "tc_key", "result", "label", "probability", "diversity_score", "priority_score", "rank")
@@ -40,6 +41,7 @@ def per_project(per_build: DataFrame) -> DataFrame:
 
 def write_apfd_reports(per_build: DataFrame, path: str) -> None:
     """Per build and per project as CSV, the aggregate as JSON."""
+    per_build = materialize(per_build)
     _write(per_build, f"{path}/per_build", "csv")
     _write(per_project(per_build), f"{path}/per_project", "csv")
     _write(apfd_summary(per_build).crossJoin(grand_mean(per_build).drop("n_builds")), f"{path}/aggregate", "json")
