@@ -79,6 +79,7 @@ def temporal_edges(df: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     j = pos.join(nxt, [*BUILD, "_i"]).filter(F.col("tc_key") != F.col("_next"))
     c = j.groupBy(*SCOPE, F.least("tc_key", "_next").alias("src"), F.greatest("tc_key", "_next").alias("dst")).agg(
         F.count(F.lit(1)).alias("shared"))
+    c = materialize(c)  # read twice: for the largest count and for the edges
     top = c.groupBy(*SCOPE).agg(F.max("shared").alias("_top"))
     return c.join(top, SCOPE).select(*SCOPE, "src", "dst", "shared", (F.col("shared") / F.col("_top")).alias("weight"))
 
@@ -218,7 +219,7 @@ def commit_dag(df: DataFrame, max_commits: int = 1000, window: int = 10, min_wei
     The look-back is an equi-join on each of the `window` clock positions. Where the cap
     on edges per commit bites, nearer builds come first, then the commit text.
     """
-    cb = _commit_builds(df, frequent_commits(df, max_commits))
+    cb = materialize(_commit_builds(df, frequent_commits(df, max_commits)))
     first = cb.groupBy(*SCOPE, "commit").agg(F.min("build_idx").alias("first"))
     reach = min(window, int(1.0 / min_weight - 1.0 + 1e-9)) if min_weight > 0 else window
     back = first.withColumn("distance", F.explode(F.sequence(F.lit(1), F.lit(max(reach, 1))))).select(

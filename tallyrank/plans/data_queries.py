@@ -159,7 +159,7 @@ add("negative_edges", lambda spark, sf: shaped(s.negative_edges(executions(spark
 def _smote(spark, sf):
     e = emb(spark, sf).withColumn("label", (F.col("label") == 0).cast("int"))
     made = sim.smote(e)
-    return shaped(made.select("vec_id", "copy", "neighbor", "step", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)]))
+    return shaped(made.select("vec_id", "copy", "neighbor", "step", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(64)]))
 
 
 def _smote_sql():
@@ -172,7 +172,7 @@ def _smote_sql():
             f"{h('vec_id', q, _Q42)}, vec_id) AS o FROM sm), cp AS (SELECT vec_id AS query, unnest(range(1, (missing // small + (o <= missing % small)::INT + 1)::BIGINT)) AS copy FROM od, ct), "
             f"dr AS (SELECT query, copy, {h('query', 'copy', qn, _Q42)} % 5 + 1 AS rank, {h('query', 'copy', qs, _Q42)} / 4294967296.0::DOUBLE AS step FROM cp) "
             + sql_select("dr JOIN nn USING (query, rank) JOIN sm a ON a.vec_id = query JOIN sm b ON b.vec_id = neighbor", "", "query AS vec_id; copy; neighbor",
-                         "step; " + "; ".join(f"CAST(a.e[{i}] + (b.e[{i}] - a.e[{i}]) * step AS FLOAT) AS v{i - 1}" for i in range(1, 5))))
+                         "step; " + "; ".join(f"CAST(a.e[{i}] + (b.e[{i}] - a.e[{i}]) * step AS FLOAT) AS v{i - 1}" for i in range(1, 65))))
 
 
 add("smote", _smote, _smote_sql())
