@@ -37,6 +37,8 @@ def _advance(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         last_fail = int(idx) if fail else last_fail
         recent = [*recent, int(fail)][-LAST:]
     state.update((n, failures, fail_run, pass_run, last_idx, last_fail, late, recent))
+    if not out:
+        return
     names = [c.split()[0] for c in OUTPUT.split(", ")]
     frame = pd.DataFrame(out, columns=names)
     yield frame.astype({"last_idx": "Int64", "last_fail_idx": "Int64", "rate_5": "float64", "rate_10": "float64"})

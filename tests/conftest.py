@@ -13,7 +13,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("tests", 4)
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
+    # tables are tiny here: compiling a plan costs more than interpreting it
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
