@@ -17,13 +17,14 @@ from tallyrank.operators import metrics as m
 from tallyrank.operators import sampling as s
 from tallyrank.operators import similarity as sim
 from tallyrank.operators.history import history, snapshot
+from tallyrank.operators.ranking import rank_in_build
 from tallyrank.operators.textops import hash_embedding
 from tallyrank.plans import oracle as o
 from tallyrank.plans.fixtures import executions, raw_events, raw_lines, table
 from tallyrank.plans.graph_queries import CF, MEAN_W, VEC, _draws, _pairs, emb, hash32, structured
-from tallyrank.plans.ranking_queries import BIN, PER, RANKED, _TWO, binary, ranked, two_methods
+from tallyrank.plans.ranking_queries import BIN, PER, RANKED, STRATEGY_NAMES, STRATEGY_SQL, _TWO, binary, ranked, strategies, two_methods
 from tallyrank.plans.shape import shaped, sql_select
-from tallyrank.session import checkpoint_dir
+from tallyrank.session import checkpoint_dir, materialize
 from tallyrank.sources import readers as rd
 from tallyrank.sources import writers as wr
 from tallyrank.streaming.history_stream import stream_history, stream_rank
@@ -240,20 +241,18 @@ add("read_executions_parquet", _read_back("parquet"), _RB)
 
 
 def _project_files(spark, sf):
-    """Order lines as raw project files, one folder per project."""
+    """Order lines in the raw layout, one `<project>/<project>.csv` per project."""
     path = folder(spark, "projects")
     r = raw_lines(spark, sf, "l_partkey")
     rows = r.select("project", F.col("build_id").cast("bigint").alias("travisJobId"), F.concat(F.lit("org.acme."), "component", F.lit(".Part"), F.initcap("tc_key"), F.lit("Test")).alias("testName"),
                     F.lit(0).alias("index"), "duration", F.lit(1).alias("count"), (F.col("result") == "Fail").cast("int").alias("failures"), F.lit(0).alias("errors"), F.lit(0).alias("skipped"))
-    rows.withColumn("_p", F.col("project")).drop("project").write.partitionBy("_p").option("header", True).csv(path)
+    for (name,) in rows.select("project").distinct().collect():  # few names, one folder each
+        rows.filter(F.col("project") == name).drop("project").write.option("header", True).csv(f"{path}/{name}/{name}.csv")
     return path
 
 
 def _raw_projects(spark, sf):
-    """The writer cannot choose file names, so the rows are read with the reader's schema and
-    the project from the folder; the file-name rule itself is tested on a small tree."""
-    df = spark.read.schema(rd.PROJECT_SCHEMA).option("header", True).csv(f"{_project_files(spark, sf)}/*")
-    return df.withColumn("project", F.regexp_extract(F.url_decode("_metadata.file_path"), r"_p=([^/]+)/", 1))
+    return rd.read_projects(spark, _project_files(spark, sf))
 
 
 add("project_rows", lambda spark, sf: shaped(_raw_projects(spark, sf), "project", "travisJobId", "testName", "duration", "failures"),
@@ -264,6 +263,26 @@ add("to_canonical", lambda spark, sf: shaped(rd.to_canonical(_raw_projects(spark
     "project || '::Part' || tc_key || 'Test' AS TC_Key, 'part ' || lower(tc_key) AS TE_Summary, CASE WHEN result = 'Fail' THEN 'Fail' ELSE 'Pass' END AS TE_Test_Result FROM raw")
 
 
+def _strategy_files(spark, sf):
+    """Rankings of four strategies in the stored layout, read back."""
+    path = folder(spark, "strategies")
+    rows = strategies(spark, sf).withColumns({
+        "score": -F.col("index"), "build_key": F.col("build_id"), "build_id": F.concat_ws("|", "strategy", "build_id")})
+    clock = executions(spark, sf).select(F.col("build_id").alias("build_key"), "build_idx").distinct()
+    r = rank_in_build(rows.drop("index")).join(clock, "build_key")
+    out = materialize(r.select(
+        "strategy", F.col("build_idx").alias("travisJobId"), F.col("tc_key").alias("testName"), F.col("rank").alias("index"), F.lit(1.0).alias("duration"),
+        F.lit(1).alias("count"), F.col("fail").alias("failures"), F.lit(0).alias("errors"), F.lit(0).alias("skipped")))
+    for name in STRATEGY_NAMES:
+        out.filter(F.col("strategy") == name).drop("strategy").write.option("header", True).csv(f"{path}/ev/baseline/ev@{name}.csv")
+    back = rd.read_strategy_rankings(spark, path)
+    return shaped(back, "project", "strategy", "travisJobId", "testName", "index", "failures")
+
+
+add("read_strategy_rankings", _strategy_files, STRATEGY_SQL + " " + sql_select(
+    "ranked", "project; strategy; tc_key AS testName", 'build_idx AS travisJobId; rank AS "index"; fail AS failures'))
+
+
 def _prioritized(spark, sf):
     path = folder(spark, "prioritized")
     r = ranked(spark, sf).withColumns({"probability": F.col("score"), "label": F.col("fail")})

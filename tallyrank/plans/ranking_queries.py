@@ -145,6 +145,7 @@ _STRAT = (H.rstrip() + ", st AS (SELECT *, 'untreated' AS strategy, epoch_us(exe
           f"SELECT *, 'recently-failed', ({o.SINCE})::DOUBLE FROM h UNION ALL SELECT *, 'matrix-naive', -{o.RATE} FROM h UNION ALL "
           "SELECT *, 'optimal-failure', -fail::DOUBLE FROM h), ranked AS (SELECT *, row_number() OVER (PARTITION BY strategy, project, "
           "build_id ORDER BY idx, tc_key) AS rank FROM st), " + o.apfd(by="strategy, project, build_id", plain=True))
+STRATEGY_SQL, STRATEGY_NAMES = _STRAT, ("untreated", "recently-failed", "matrix-naive", "optimal-failure")
 add("evaluate_strategies", lambda spark, sf: shaped(m.evaluate_strategies(strategies(spark, sf))),
     _STRAT + " " + sql_select("per", "strategy", "count(*) AS n_builds",
                               "avg(apfd) AS mean_apfd; stddev_samp(apfd) AS std_apfd; median(apfd) AS median_apfd") + " GROUP BY strategy")

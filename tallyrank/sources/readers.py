@@ -57,20 +57,20 @@ def to_executions(df: DataFrame, project: str = "industry") -> DataFrame:
 
 
 def read_projects(spark: SparkSession, root: str) -> DataFrame:
-    """All `<project>/<project>.csv` files under the root in one table; other files and
-    folders are skipped. The project comes from the file path."""
+    """All `<project>/<project>.csv` under the root in one table; other files and folders
+    are skipped. Each may be one file or a folder of parts. The project comes from the path."""
     df = _csv(spark, PROJECT_SCHEMA, f"{root}/*/*.csv").withColumn("_path", F.col("_metadata.file_path"))
     path = F.url_decode("_path")
-    df = df.withColumns({"project": F.regexp_extract(path, r"([^/]+)/[^/]+\.csv$", 1),
-                         "_stem": F.regexp_extract(path, r"([^/]+)\.csv$", 1)})
+    df = df.withColumns({"project": F.regexp_extract(path, r"([^/]+)/[^/]+\.csv(/part-[^/]*)?$", 1),
+                         "_stem": F.regexp_extract(path, r"([^/]+)\.csv(/part-[^/]*)?$", 1)})
     return df.filter(F.col("project") == F.col("_stem")).drop("_path", "_stem")
 
 
 def read_strategy_rankings(spark: SparkSession, root: str, strategies: Sequence[str] = STRATEGIES) -> DataFrame:
     """Stored rankings `<project>/baseline/<project>@<strategy>.csv`; missing files are fine."""
     df = _csv(spark, PROJECT_SCHEMA, f"{root}/*/baseline/*.csv").withColumn("_path", F.url_decode("_metadata.file_path"))
-    df = df.withColumns({"project": F.regexp_extract("_path", r"([^/]+)/baseline/[^/]+$", 1),
-                         "strategy": F.regexp_extract("_path", r"@([^@/]+)\.csv$", 1)})
+    df = df.withColumns({"project": F.regexp_extract("_path", r"([^/]+)/baseline/", 1),
+                         "strategy": F.regexp_extract("_path", r"@([^@/]+)\.csv(/part-[^/]*)?$", 1)})
     return df.filter(F.col("strategy").isin(*strategies)).drop("_path")
 
 
