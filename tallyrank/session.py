@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: list[str] = []
+
 
 def local_session(app: str = "tallyrank", cores: int | str = "*") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -26,23 +31,54 @@ def local_session(app: str = "tallyrank", cores: int | str = "*") -> SparkSessio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh one only for local runs."""
+    """The folder named by spark.checkpoint.dir, which all executors share.
+
+    Only a local session without that setting gets a folder of its own, since its driver
+    and executors are one process.
+    """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = configured or sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tallyrank-ckpt-")
-    sc.setCheckpointDir(configured)
-    return configured
+        configured = "file://" + tempfile.mkdtemp(prefix="tallyrank-shared-")
+        sc.setCheckpointDir(configured)
+    return configured.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str = "cut") -> str:
+    """A new path in the shared folder; `discard` or the end of the program removes it."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+def discard(path: str) -> None:
+    """Delete a scratch path through the file system that Spark itself uses."""
+    if path in _folders:
+        _folders.remove(path)
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jvm is not None:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_cut(df: DataFrame, path: str) -> DataFrame:
+    """Write `df` as Parquet at `path` and read it back: later plans read only the columns
+    they use, and no lost executor makes them start again from the source."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+    return write_cut(df, scratch_path(df.sparkSession, name))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@atexit.register
+def _discard_all() -> None:
+    for path in list(_folders):
+        try:
+            discard(path)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            return
