@@ -2,8 +2,8 @@
 
 A word is the bag of its own hash and of its character n-grams (3 to 5, with marks for both ends),
 and its embedding is their average; a misspelt or compounded word shares most of them. A document
-is cut into segments of `segment` words; a segment's embedding is the average of its words', a
-linear softmax gives its two classes, and the document is as toxic as its most toxic segment, so
+is cut into segments of `SEGMENT` words, the last filled up with zero vectors; a segment's
+embedding is the average of its words', a linear softmax gives its two classes, and the document is as toxic as its most toxic segment, so
 one insult counts the same in a short and in a long text. Embeddings and softmax are fitted
 together in numpy on a bounded sample of labelled rows (`most`); gradients flow through the
 segment that decides. Early epochs look at the average of all segments to find a direction.
@@ -29,8 +29,8 @@ from tallyrank.llm.common import crc_mod
 from tallyrank.llm.labelled import labelled_sample, one_class
 
 ROWS, DIM = 1 << 17, 8
-SEGMENT = 16
-MOST = 5000
+SEGMENT = 2
+MOST = 4000
 KEPT_WORDS = 300_000
 #: Cut off both ends of a word.
 MARKS = ".,;:!?\"'()[]{}|*#$%&"
@@ -48,52 +48,59 @@ def grams(word: str) -> list[int]:
 
 
 class SubwordSoftmax:
-    def __init__(self, texts: list[str], y: np.ndarray, epochs: int = 150, warm: int = 30, seed: int = 5,
-                 rate: float = 0.3, decay: float = 1e-6) -> None:
+    """`rows` holds one number per hash row, `offset` the softmax's offset. Adagrad over all rows of
+    the sample in every epoch; a fifth of the texts is held back to choose the epoch."""
+
+    def __init__(self, texts: list[str], y: np.ndarray, epochs: int = 80, warm: int = 15, seed: int = 5,
+                 rate: float = 0.5, decay: float = 1e-6) -> None:
         number: dict[str, int] = {}
-        docs, words, seg_of = [], [], []
-        for t in texts:
-            ids = [number.setdefault(w, len(number)) for w in words_of(t)]
-            docs.append(max(1, -(-len(ids) // SEGMENT)))
-            words.append(np.array(ids, np.int64))
-        seg_doc = np.repeat(np.arange(len(texts)), docs)
+        words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+        # rows of SEGMENT words; number len(number) is the zero vector
+        blank = len(number)
+        docs = np.array([max(1, -(-len(w) // SEGMENT)) for w in words])
+        padded = np.full(int(docs.sum()) * SEGMENT, blank, np.int64)
         first = np.concatenate(([0], np.cumsum(docs)))
-        seg_of = np.concatenate([first[d] + np.arange(len(w)) // SEGMENT for d, w in enumerate(words)]) if words else np.empty(0, np.int64)
-        word = np.concatenate(words) if words else np.empty(0, np.int64)
+        for w, at in zip(words, first):
+            padded[at * SEGMENT:at * SEGMENT + len(w)] = w
+        word = padded.reshape(-1, SEGMENT)
+        seg_doc = np.repeat(np.arange(len(texts)), docs)
         lists = [grams(w) for w in number]
         count = np.array([len(g) for g in lists], np.int64)
         gram = np.fromiter((x for g in lists for x in g), np.int64, int(count.sum()))
-        gram_word = np.repeat(np.arange(len(lists)), count)
-        n_seg = len(seg_doc)
-        seg_size = np.maximum(np.bincount(seg_of, minlength=n_seg), 1)
+        start = np.cumsum(count) - count
         rng = np.random.default_rng(seed)
         back = rng.random(len(texts)) < 0.2
         weight = np.where(y > 0, (y < 1).sum() / max(1, (y > 0).sum()), 1.0) ** 0.5
-        weight = np.where(back, 0.0, weight) / weight[~back].sum()
+        weight = np.where(back, 0.0, weight) / max(weight[~back].sum(), 1e-9)
         table, soft = rng.normal(0, 0.05, (ROWS, DIM)), rng.normal(0, 1, DIM)
         offset, state_t, state_s, state_o = 0.0, np.full((ROWS, 1), 1e-8), np.full(DIM, 1e-8), 1e-8
         best = (np.inf, None)
         for epoch in range(epochs):
-            u = table @ soft
-            s_word = np.bincount(gram_word, u[gram], len(lists)) / np.maximum(count, 1)
-            s_seg = np.bincount(seg_of, s_word[word], n_seg) / seg_size
+            u = (table @ soft).astype(np.float32)
+            s_word = np.zeros(blank + 1, np.float32)
+            if blank:
+                s_word[:-1] = np.add.reduceat(u[gram], start) / count
+            s_seg = s_word[word].sum(axis=1)
             if epoch < warm:
-                share = 1 / np.array(docs)[seg_doc]
+                share = 1 / docs[seg_doc]
             else:
-                top = np.maximum.reduceat(s_seg, first[:-1])
-                share = (s_seg == top[seg_doc]).astype(float)
-                share /= np.bincount(seg_doc, share, len(texts))[seg_doc]
-            a = np.bincount(seg_doc, share * s_seg, len(texts)) * SEGMENT + offset
+                share = (s_seg == np.maximum.reduceat(s_seg, first[:-1])[seg_doc]).astype(float)
+                share /= np.add.reduceat(share, first[:-1])[seg_doc]
+            a = np.add.reduceat(share * s_seg, first[:-1]) + offset
             p = 1 / (1 + np.exp(-np.clip(a, -40, 40)))
-            if epoch > warm + 10 and back.any():
+            if epoch > warm + 5 and back.any():
                 q = p[back].clip(1e-6, 1 - 1e-6)
                 loss = -(y[back] * np.log(q) + (1 - y[back]) * np.log(1 - q)).mean()
                 if loss < best[0]:
-                    best = (loss, (u.copy(), offset))
+                    best = (loss, (u, offset))
             e = (p - y) * weight
-            d_seg = (e[seg_doc] * share) * SEGMENT / seg_size
-            d_word = np.bincount(word, d_seg[seg_of], len(lists)) / np.maximum(count, 1)
-            d_u = np.bincount(gram, d_word[gram_word], ROWS)
+            d_seg = e[seg_doc] * share
+            used = np.flatnonzero(d_seg)
+            d_word = np.bincount(word[used].ravel(), np.repeat(d_seg[used], SEGMENT), blank + 1)[:-1]
+            hit = np.flatnonzero(d_word)
+            at = np.repeat(start[hit] - np.concatenate(([0], np.cumsum(count[hit])[:-1])), count[hit]) + np.arange(int(count[hit].sum())) \
+                if len(hit) else np.empty(0, np.int64)
+            d_u = np.bincount(gram[at], np.repeat(d_word[hit] / count[hit], count[hit]), ROWS)
             d_soft = table.T @ d_u
             d_table = d_u[:, None] * soft[None, :] + decay * table
             state_t += (d_table ** 2).mean(axis=1, keepdims=True)
@@ -102,8 +109,7 @@ class SubwordSoftmax:
             table -= rate * d_table / np.sqrt(state_t)
             soft -= 0.1 * rate * d_soft / np.sqrt(state_s)
             offset -= rate * e.sum() / np.sqrt(state_o)
-        self.rows, self.offset = best[1] if best[1] else (table @ soft, offset)
-        self.rows = self.rows.astype(np.float32)
+        self.rows, self.offset = best[1] if best[1] else ((table @ soft).astype(np.float32), offset)
 
     def scorer(self):
         """A function from text to probability, with a bounded table of known words."""
@@ -124,8 +130,8 @@ class SubwordSoftmax:
                 found.append(of_word(w) if s is None else s)
             if not found:
                 return float(1 / (1 + np.exp(-self.offset)))
-            top = max(sum(found[i:i + SEGMENT]) / len(found[i:i + SEGMENT]) for i in range(0, len(found), SEGMENT))
-            return float(1 / (1 + np.exp(-np.clip(top * SEGMENT + self.offset, -40, 40))))
+            top = max(sum(found[i:i + SEGMENT]) for i in range(0, len(found), SEGMENT))
+            return float(1 / (1 + np.exp(-np.clip(top + self.offset, -40, 40))))
 
         return score
 
