@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import crc_mod
+from tallyrank.llm.common import crc_mod, fresh
 from tallyrank.llm.decontaminate import find_contamination
 from tallyrank.llm.near_join import near_classes
 from tallyrank.llm.packing import pack, pieces
@@ -23,24 +23,27 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below TOXIC. Labels train on the same rows as the toxicity query."""
     score = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 3) != 1)
-    return docs.withColumn("_toxicity", score).filter(F.col("_toxicity") < TOXIC).select(docs.columns)
+    name = fresh(docs, "_toxicity")
+    return docs.withColumn(name, score).filter(F.col(name) < TOXIC).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows that share that id are told apart by their text's hash; equal rows become one. A document
-    without an id is kept, since no group can name it.
+    Of rows that repeat that id one stays. A document without an id is kept, since no group can
+    name it.
     """
-    named = near_classes(docs).select("class_id").distinct()
-    first = docs.filter(F.col("doc_id").isNotNull()).join(named, docs["doc_id"] == named["class_id"], "left_semi")
+    name = fresh(docs, "_class_id")
+    named = near_classes(docs).select(F.col("class_id").alias(name)).distinct()
+    first = docs.filter(F.col("doc_id").isNotNull()).join(named, F.col("doc_id") == F.col(name), "left_semi")
     return first.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; n_chars follows where the text changed."""
-    out = remove_repeats(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    before = fresh(docs, "_before")
+    out = remove_repeats(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
@@ -48,8 +51,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), result="_contamination")
-    return found.filter(F.col("_contamination.n_hit") == 0).select(docs.columns)
+    name = fresh(docs, "_contamination")
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), result=name)
+    return found.filter(F.col(name)["n_hit"] == 0).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

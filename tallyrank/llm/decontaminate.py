@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrank.llm.common import fresh
 from tallyrank.session import materialize
 
 WINDOW = 10
@@ -128,9 +129,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     part = F.pmod(F.xxhash64("pattern"), F.lit(shards))
     load = lambda k: [(p, i) for p, i in patterns.filter(part == k).collect()]  # noqa: E731  at most pattern_bytes or so
     out = docs.withColumn(result, _scanner(load(0), spark)(F.col(text)))
+    more = fresh(out, "_more")
     for k in range(1, shards):
-        out = materialize(out, "scanned").withColumn("_more", _scanner(load(k), spark)(F.col(text)))
-        out = out.withColumn(result, F.arrow_udf(_merged, RESULT)(F.col(text), F.col(result), F.col("_more"))).drop("_more")
+        out = materialize(out, "scanned").withColumn(more, _scanner(load(k), spark)(F.col(text)))
+        out = out.withColumn(result, F.arrow_udf(_merged, RESULT)(F.col(text), F.col(result), F.col(more))).drop(more)
     return out
 
 

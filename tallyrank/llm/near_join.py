@@ -7,7 +7,8 @@ enough is met in some tree with at least the target recall. The texts of one nod
 its smallest, which needs one row per text and tree, not per pair, and tied texts form candidate
 groups. Inside a group every pair is verified on exact shingle sets: large groups are cut
 into blocks and each pair of blocks is one small task, in which pairs are counted by matrix
-products and only a text's number of links and one link to its smallest partner leave the task.
+products, and only each text's number of links and the smallest text it is connected to leave the
+task.
 
 Equal texts are one text throughout; the result repeats it for every document. A text with fewer
 words than a shingle has one shingle, all its words; a text without words (null, empty) has no
@@ -117,6 +118,17 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: fl
     return found
 
 
+def connected(found: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id among all that the found links connect, for rows and for columns."""
+    of_row, of_col, none = rows.copy(), cols.copy(), np.iinfo(np.int64).max
+    while True:
+        new_row = np.minimum(of_row, np.where(found, of_col[None, :], none).min(axis=1))
+        new_col = np.minimum(of_col, np.where(found, new_row[:, None], none).min(axis=0))
+        if (new_row == of_row).all() and (new_col == of_col).all():
+            return new_row, new_col
+        of_row, of_col = new_row, new_col
+
+
 def _verify(rows: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """Rows (root, i, j, block, cid, text) of block pairs; gives (cid, links, peer)."""
     def pairs(group: dict[int, tuple[int, str]], i: int, j: int):
@@ -125,21 +137,13 @@ def _verify(rows: DataFrame, threshold: float, shingle: int) -> DataFrame:
         if not left or right == []:
             return []
         found = linked([s for _, s in left], [s for _, s in right] if right else None, threshold)
-        out = []
-        if right is None:
-            ids = np.array([c for c, _ in left])
-            for k, c in enumerate(ids):
-                mates = ids[found[k]]
-                if len(mates):
-                    out.append((int(c), len(mates), int(min(mates.min(), c))))
-            return out
-        for (own, other, hit) in ((left, right, found), (right, left, found.T)):
-            ids = np.array([c for c, _ in other])
-            for k, (c, _) in enumerate(own):
-                mates = ids[hit[k]]
-                if len(mates):
-                    out.append((int(c), len(mates), int(mates.min())))
-        return out
+        rows = np.array([c for c, _ in left])
+        cols = np.array([c for c, _ in right]) if right else rows
+        of_row, of_col = connected(found, rows, cols)
+        out = list(zip(rows.tolist(), found.sum(axis=1).tolist(), of_row.tolist()))
+        if right:
+            out += zip(cols.tolist(), found.sum(axis=0).tolist(), of_col.tolist())
+        return [x for x in out if x[1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = None, {}

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import list_column, map_batches, text_key, texts_of, window_hashes, word_hashes
+from tallyrank.llm.common import fresh, list_column, map_batches, text_key, texts_of, window_hashes, word_hashes
 from tallyrank.session import materialize
 
 WINDOW, GRAM = 35, 8
@@ -241,9 +241,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """`docs` with the repeated passages cut out of their texts; all rows and columns stay."""
     _, edits = find_repeats(docs, **options)
-    edits = edits.select(F.col("key").alias("_key"), F.col("text").alias("_text"))
-    joined = docs.withColumn("_k", text_key()).join(edits, F.col("_k") == F.col("_key"), "left")
-    return joined.withColumn("text", F.coalesce("_text", "text")).drop("_k", "_key", "_text")
+    own, key, new = (fresh(docs, c) for c in ("_own_key", "_edit_key", "_edit_text"))
+    edits = edits.select(F.col("key").alias(key), F.col("text").alias(new))
+    joined = docs.withColumn(own, text_key()).join(edits, F.col(own) == F.col(key), "left")
+    return joined.withColumn("text", F.coalesce(new, "text")).select(docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
