@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEP = " [SEP] "
 # fixed values: patterns and templates of the published text preparation
+SEP = " [SEP] "
 SPACES = r"(?U)[\s\x{1c}-\x{1f}]+"
 CONTROLS = r"[\x00-\x1f\x7f-\x{9f}]"
 COMMIT_PREFIX = r"(?i)^(Merge|Revert|Fix|Add|Update|Remove|Refactor):\s*"
 ISSUE = r"#\d+|\b[A-Z]+-\d+\b"
 NO_TC, NO_COMMIT = "No test case information", "No commit information"
-DIFF_CHARS = 2000
 # end of fixed values
 
 
@@ -45,17 +44,22 @@ def list_items(c: Column) -> Column:
     return F.when(F.trim(c).startswith("["), arr)
 
 
-def parse_list_literal(c: Column, first: int = 3, max_chars: int = 512) -> Column:
-    """First items joined by the separator and cut; bad input gives the empty string."""
-    joined = F.array_join(F.slice(list_items(c), 1, first), SEP)
-    return F.coalesce(F.substring(joined, 1, max_chars), F.lit(""))
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
+def parse_list_literal(c: Column, first: int | None = None, max_chars: int | None = None) -> Column:
+    """Items joined by the separator, all of them unless a number of items or characters is given;
+    bad input gives the empty string."""
+    joined = F.array_join(_first(list_items(c), first), SEP)
+    return F.coalesce(joined if max_chars is None else F.substring(joined, 1, max_chars), F.lit(""))
 
 
 def first_of_list(c: Column) -> Column:
     return F.coalesce(F.get(list_items(c), 0), F.lit(""))
 
 
-def parse_commits(c: Column, keep: int = 10) -> Column:
+def parse_commits(c: Column, keep: int | None = None) -> Column:
     """Structs (message, author, files_changed) from a JSON list of strings or objects;
     any other text is one message. Empty text gives an empty list."""
     text = F.trim(_text(c))
@@ -68,7 +72,7 @@ def parse_commits(c: Column, keep: int = 10) -> Column:
                         F.try_variant_get(v, "$.files_changed", "array<string>"))))
     plain = F.array(_commit(text, F.lit(None), F.lit(None)))
     is_list = text.startswith("[") & text.endswith("]") & items.isNotNull()
-    return F.when(text == "", F.slice(plain, 1, 0)).when(is_list, F.slice(parsed, 1, keep)).otherwise(plain)
+    return F.when(text == "", F.slice(plain, 1, 0)).when(is_list, _first(parsed, keep)).otherwise(plain)
 
 
 def _commit(message, author, files) -> Column:
@@ -82,11 +86,11 @@ def clean_commit(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(flat, COMMIT_PREFIX, ""), ISSUE, ""))
 
 
-def commit_text(commit: Column, metadata: bool = True) -> Column:
-    """Message, author and up to five base file names."""
+def commit_text(commit: Column, metadata: bool = True, files: int | None = None) -> Column:
+    """Message, author and base file names, all of them unless `files` is given."""
     parts = [F.nullif(clean_commit(commit["message"]), F.lit(""))]
     if metadata:
-        names = F.transform(F.slice(commit["files_changed"], 1, 5), lambda f: F.element_at(F.split(f, "/"), -1))
+        names = F.transform(_first(commit["files_changed"], files), lambda f: F.element_at(F.split(f, "/"), -1))
         parts += [
             F.when(F.coalesce(commit["author"], F.lit("")) != "", F.concat(F.lit("Author: "), F.trim(commit["author"]))),
             F.when(F.size(commit["files_changed"]) > 0, F.concat(F.lit("Files: "), F.array_join(names, ", "))),
@@ -94,7 +98,7 @@ def commit_text(commit: Column, metadata: bool = True) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def commits_text(c: Column, keep: int = 10, metadata: bool = True) -> Column:
+def commits_text(c: Column, keep: int | None = None, metadata: bool = True) -> Column:
     """`Commit 1: … | Commit 2: …` over the non-empty commit texts."""
     texts = F.filter(F.transform(parse_commits(c, keep), lambda x: commit_text(x, metadata)), lambda t: t != "")
     return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("Commit "), (i + 1).cast("string"), F.lit(": "), t)), " | ")
@@ -162,8 +166,8 @@ def tc_text(summary: Column, steps: Column) -> Column:
             .when(s != "", F.concat(F.lit("Summary: "), s)).when(t != "", F.concat(F.lit("Steps: "), t)).otherwise(NO_TC))
 
 
-def commit_template(message: Column, diff: Column) -> Column:
-    m, d = _text(message), F.substring(_text(diff), 1, DIFF_CHARS)
+def commit_template(message: Column, diff: Column, diff_chars: int | None = None) -> Column:
+    m, d = _text(message), _text(diff) if diff_chars is None else F.substring(_text(diff), 1, diff_chars)
     body = F.concat(F.lit("Diff:\n"), d)
     return (F.when((m != "") & (d != ""), F.concat(F.lit("Commit Message: "), m, F.lit("\n\n"), body))
             .when(m != "", F.concat(F.lit("Commit Message: "), m)).when(d != "", body).otherwise(NO_COMMIT))

@@ -10,9 +10,14 @@ PASS, FAIL, OTHER = 0, 1, 2
 FAIL_RULES = ("fail_only", "not_pass", "counts")
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end, line breaks and tabs included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def verdict_code(result: Column) -> Column:
     """Exact `Pass` / `Fail` after trimming; every other verdict, and null, is OTHER."""
-    r = F.trim(result)
+    r = strip(result)
     return (
         F.when(r == "Fail", F.lit(FAIL)).when(r == "Pass", F.lit(PASS)).otherwise(F.lit(OTHER))
     )
@@ -22,9 +27,9 @@ def is_failure(rule: str = "fail_only", result: Column | None = None,
                failures: Column | None = None, errors: Column | None = None) -> Column:
     """The three failure rules in use: exact `Fail`, anything but pass, or counters."""
     if rule == "fail_only":
-        flag = F.trim(result) == "Fail"
+        flag = strip(result) == "Fail"
     elif rule == "not_pass":
-        flag = F.upper(F.trim(result)) != "PASS"
+        flag = F.upper(strip(result)) != "PASS"
     elif rule == "counts":
         flag = (F.coalesce(failures, F.lit(0)) > 0) | (F.coalesce(errors, F.lit(0)) > 0)
     else:

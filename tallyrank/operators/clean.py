@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyrank.functions.hashing import hash_int
-from tallyrank.functions.verdict import FAIL, PASS, fail_from_code, verdict_code
+from tallyrank.functions.verdict import FAIL, PASS, fail_from_code, strip, verdict_code
 from tallyrank.operators.scale import number_rows
 
 BUILD = ["project", "build_id"]
@@ -18,33 +20,33 @@ TEST = ["project", "tc_key"]
 
 def clean_strict(df: DataFrame, summary: str = "summary", result: str = "result",
                  steps: str | None = "steps", min_share: float = 0.1) -> DataFrame:
-    """Drop rows without summary or verdict; steps count as required only when
-    more than `min_share` of the rows have them."""
+    """Drop rows without summary or verdict; steps count as required only when more than
+    `min_share` of the rows have some (other than white space). `steps=None` never requires them."""
     required = [summary, result]
     if steps and steps in df.columns:
-        share = df.agg(F.avg(F.col(steps).isNotNull().cast("double"))).first()[0] or 0.0
+        share = df.agg(F.avg(F.when(strip(F.col(steps)) != "", 1.0).otherwise(0.0))).first()[0] or 0.0
         if share > min_share:
             required.append(steps)
     out = df.na.drop(subset=required)
     text = [c for c in (summary, steps, result) if c and c in df.columns]
-    return out.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in text})
+    return out.withColumns({c: strip(F.coalesce(F.col(c), F.lit(""))) for c in text})
 
 
 def clean_lenient(df: DataFrame, text_columns: Sequence[str] = ("summary", "steps", "commit"),
                   result: str = "result") -> DataFrame:
     """Keep every row; missing text becomes the empty string, absent columns are made."""
     cols = {
-        c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
+        c: strip(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
         for c in text_columns
     }
     if result in df.columns:
-        cols[result] = F.trim(F.coalesce(F.col(result), F.lit("")))
+        cols[result] = strip(F.coalesce(F.col(result), F.lit("")))
     return df.withColumns(cols)
 
 
 def encode_binary(df: DataFrame, strategy: str = "pass_vs_all", result: str = "result") -> DataFrame:
     """`label` = 1 for pass (`pass_vs_all`, `pass_vs_fail`) or for fail (`fail_vs_all`)."""
-    r = F.trim(F.col(result))
+    r = strip(F.col(result))
     if strategy == "pass_vs_all":
         return df.withColumn("label", (r == "Pass").cast("int"))
     if strategy == "pass_vs_fail":
@@ -55,9 +57,10 @@ def encode_binary(df: DataFrame, strategy: str = "pass_vs_all", result: str = "r
 
 
 def encode_multiclass(df: DataFrame, column: str = "result") -> DataFrame:
-    """`label` numbers the distinct values in sorted order from 0."""
+    """`label` numbers the distinct values in sorted order from 0; null is a value and comes first."""
     names = number_rows(df.select(column).distinct(), [], [F.col(column)], "_rn")
-    return df.join(names.select(column, (F.col("_rn") - 1).alias("label")), column)
+    names = names.select(F.col(column).alias("_name"), (F.col("_rn") - 1).alias("label"))
+    return df.join(names, F.col(column).eqNullSafe(F.col("_name"))).drop("_name")
 
 
 def class_weights(df: DataFrame, label: str = "label", classes: Sequence[int] = (0, 1)) -> DataFrame:
@@ -150,5 +153,13 @@ def label_distribution(df: DataFrame, *by: str) -> DataFrame:
     tests = pairs.select(*by, *[c for c in TEST if c not in by]).distinct()
     nb = builds.groupBy(*by).agg(F.count(F.lit(1)).alias("n_builds"))
     nt = tests.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tests"))
-    out = rows.join(nb, list(by)).join(nt, list(by)) if by else rows.crossJoin(nb).crossJoin(nt)
+    if not by:
+        out = rows.crossJoin(nb).crossJoin(nt)
+    else:
+        # a null value is a group like any other
+        out = rows
+        for side in (nb, nt):
+            named = side.select(*[F.col(c).alias(f"_{c}") for c in by], side.columns[-1])
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+            out = out.join(named, same).drop(*[f"_{c}" for c in by])
     return out.withColumn("failure_rate", F.col("n_failures") / F.col("n_rows"))

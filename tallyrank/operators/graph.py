@@ -198,10 +198,12 @@ def orphans(df: DataFrame, edges: DataFrame, score: str = "score", node: str = "
 
 # ---- commits --------------------------------------------------------------
 
-def frequent_commits(df: DataFrame, max_commits: int = 1000) -> DataFrame:
-    """The most frequent commits; ties by text. This bounds every table below."""
+def frequent_commits(df: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """Commits with their frequency; with `max_commits`, only the most frequent (ties by text)."""
     c = df.select(*SCOPE, F.explode("commits").alias("commit")).filter(F.trim("commit") != "")
     freq = c.groupBy(*SCOPE, F.trim("commit").alias("commit")).agg(F.count(F.lit(1)).alias("freq"))
+    if max_commits is None:
+        return freq
     return number_rows(freq, SCOPE, [F.col("freq").desc(), F.col("commit")], "_r").filter(
         F.col("_r") <= max_commits).drop("_r")
 
@@ -211,8 +213,8 @@ def _commit_builds(df: DataFrame, commits: DataFrame) -> DataFrame:
     return rows.join(commits.select(*SCOPE, "commit"), [*SCOPE, "commit"], "left_semi").distinct()
 
 
-def commit_dag(df: DataFrame, max_commits: int = 1000, window: int = 10, min_weight: float = 0.1,
-               max_edges: int | None = None, sibling_cap: int | None = None) -> DataFrame:
+def commit_dag(df: DataFrame, max_commits: int | None = None, window: int = 10, min_weight: float = 0.1,
+               max_edges: int | None = None) -> DataFrame:
     """Edges from commits of the previous `window` builds to a commit first seen now, and
     both ways between commits of one build.
 
@@ -233,8 +235,6 @@ def commit_dag(df: DataFrame, max_commits: int = 1000, window: int = 10, min_wei
     other = cb.select(*SCOPE, "build_idx", F.col("commit").alias("dst"))
     siblings = cb.withColumnRenamed("commit", "src").join(other, [*SCOPE, "build_idx"]).filter("src <> dst").select(
         *SCOPE, "src", "dst", "build_idx", F.lit("sibling").alias("kind"), F.lit(0.8).alias("weight"))
-    if sibling_cap is not None:
-        siblings = siblings.orderBy("build_idx", F.least("src", "dst"), F.greatest("src", "dst"), "src").limit(sibling_cap)
     return temporal.unionByName(siblings)
 
 

@@ -239,14 +239,17 @@ def threshold_metrics(df: DataFrame, thresholds: Sequence[float], label: str = "
         "specificity": spec, "balanced_accuracy": (rec + spec) / 2})
 
 
-def with_minority(m: DataFrame, minority: int = 1) -> DataFrame:
-    """The five selectable scores, for minority class 1 or 0."""
+def with_minority(m: DataFrame, minority: int | None = None) -> DataFrame:
+    """The five selectable scores. The minority is the class with fewer rows, 0 where both have
+    as many, unless it is named."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     f1_pos = _share(2 * tp, 2 * tp + fp + fn)
     f1_neg = _share(2 * tn, 2 * tn + fp + fn)
-    hit, miss, false = (tp, fn, fp) if minority == 1 else (tn, fp, fn)
+    positive = F.lit(minority == 1) if minority is not None else tp + fn < tn + fp
+    pick = lambda a, b: F.when(positive, a).otherwise(b)
+    hit, miss, false = pick(tp, tn), pick(fn, fp), pick(fp, fn)
     return m.withColumns({
-        "f1_macro": (f1_pos + f1_neg) / 2, "f1_minority": f1_pos if minority == 1 else f1_neg,
+        "f1_macro": (f1_pos + f1_neg) / 2, "f1_minority": pick(f1_pos, f1_neg),
         "recall_minority": _share(hit, hit + miss), "precision_minority": _share(hit, hit + false)})
 
 
@@ -255,7 +258,7 @@ def linspace(lo: float, hi: float, n: int) -> list[float]:
 
 
 def best_threshold(df: DataFrame, metric: str = "f1_macro", lo: float = 0.01, hi: float = 0.99,
-                   n: int = 100, minority: int = 1) -> DataFrame:
+                   n: int = 100, minority: int | None = None) -> DataFrame:
     """Best grid threshold; one-class predictions are skipped; the first maximum wins."""
     if metric not in MINORITY_METRICS:
         raise ValueError(f"unknown metric {metric!r}, expected one of {MINORITY_METRICS}")
@@ -266,7 +269,7 @@ def best_threshold(df: DataFrame, metric: str = "f1_macro", lo: float = 0.01, hi
 
 def best_threshold_two_phase(df: DataFrame, metric: str = "f1_macro", lo: float = 0.01, hi: float = 0.99,
                              coarse: float = 0.02, fine: float = 0.005, window: float = 0.05,
-                             minority: int = 1) -> DataFrame:
+                             minority: int | None = None) -> DataFrame:
     """A coarse grid, then a fine one around its winner (one number read by the driver)."""
     first = best_threshold(df, metric, lo, hi, int((hi - lo) / coarse) + 1, minority).first()
     t0 = float(first["threshold"]) if first else (lo + hi) / 2

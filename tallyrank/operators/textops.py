@@ -67,7 +67,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def hash_embedding(text: Column, dim: int = 64, seed: int = 42) -> Column:
     """The same unit vector for the same text, whatever the run."""
     def numbers(key):
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: hash_int(key, i, seed) / 2147483648.0 - 1.0)
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: hash_int(key, i, seed, digits=8) / 2147483648.0 - 1.0)
 
     def unit(v):
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))

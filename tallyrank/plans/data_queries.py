@@ -55,9 +55,9 @@ def _with_text(spark, sf):
 
 _TXT = ("WITH d AS (SELECT doc_id, CASE WHEN lang <> 'fr' THEN ' ' || source || ' ' END AS summary, CASE WHEN toxic = 0 THEN text END AS steps, "
         "CASE quality WHEN 1 THEN 'Pass' WHEN 0 THEN 'Fail' END AS result FROM documents LEFT JOIN labels USING (doc_id))")
-_TS = "doc_id, trim(coalesce(summary, ''), ' ') AS summary, md5(trim(coalesce(steps, ''), ' ')) AS steps, coalesce(result, '') AS result"
+_TS = "doc_id, trim(coalesce(summary, ''), ' ') AS summary, md5(regexp_replace(coalesce(steps, ''), '^\\s+|\\s+$', '', 'g')) AS steps, coalesce(result, '') AS result"
 add("clean_strict", lambda spark, sf: c.clean_strict(_with_text(spark, sf)).withColumn("steps", F.md5("steps")),
-    _TXT + f" SELECT {_TS} FROM d WHERE summary IS NOT NULL AND result IS NOT NULL AND (steps IS NOT NULL OR (SELECT count(steps) / count(*)::DOUBLE FROM d) <= 0.1::DOUBLE)")
+    _TXT + f" SELECT {_TS} FROM d WHERE summary IS NOT NULL AND result IS NOT NULL AND (steps IS NOT NULL OR (SELECT avg((regexp_replace(coalesce(steps, ''), '\\s+', '', 'g') <> '')::INT) FROM d) <= 0.1::DOUBLE)")
 add("clean_lenient", lambda spark, sf: c.clean_lenient(_with_text(spark, sf)).withColumn("steps", F.md5("steps")),
     _TXT + f" SELECT {_TS}, '' AS commit FROM d")
 
@@ -136,7 +136,7 @@ def _balanced(spark, sf):
 add("balanced_sample", _balanced, BIN + f", k AS (SELECT label, count(*) AS n FROM b GROUP BY 1), mi AS (SELECT label AS c, n FROM k ORDER BY n, label LIMIT 1), "
     "ma AS (SELECT k.label AS c, k.n FROM k, mi WHERE k.label <> mi.c), sh AS (SELECT mi.c AS mic, mi.n AS min_n, ma.c AS mac, ma.n AS maj_n, mi.n * 10.0::DOUBLE / "
     "(mi.n * 10.0::DOUBLE + ma.n) AS share FROM mi, ma), no AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY "
-    f"{hash32('doc_id', _Q42)}, doc_id) AS no FROM b), dr AS (SELECT i AS draw, CASE WHEN {hash32('i', chr(39) + 'class' + chr(39), _Q42)} / 4294967296.0::DOUBLE < share THEN mic ELSE mac END "
+    f"{hash32('doc_id', _Q42)}, doc_id) AS no FROM b), dr AS (SELECT i AS draw, CASE WHEN {hash32('i', chr(39) + 'class' + chr(39), _Q42)} / 1152921504606846976.0::DOUBLE < share THEN mic ELSE mac END "
     f"AS label, {hash32('i', chr(39) + 'row' + chr(39), _Q42)} AS h, min_n, maj_n, mic FROM range(2000) t(i), sh) "
     + sql_select("dr JOIN no ON no.label = dr.label AND no.no = h % (CASE WHEN dr.label = mic THEN min_n ELSE maj_n END) + 1", "", "draw; doc_id; dr.label AS label"))
 _SH = f"{hash32('project', 'build_id', 'tc_key', _Q42)}"
@@ -171,7 +171,7 @@ def _smote_sql():
     return (VEC + f", sm AS (SELECT * FROM v WHERE label = 0), nn AS (SELECT * FROM ({knn}) WHERE rank <= 5), ct AS (SELECT count(*) FILTER (label = 0) AS small, "
             "count(*) FILTER (label <> 0) - count(*) FILTER (label = 0) AS missing FROM v), od AS (SELECT vec_id, row_number() OVER (ORDER BY "
             f"{h('vec_id', q, _Q42)}, vec_id) AS o FROM sm), cp AS (SELECT vec_id AS query, unnest(range(1, (missing // small + (o <= missing % small)::INT + 1)::BIGINT)) AS copy FROM od, ct), "
-            f"dr AS (SELECT query, copy, {h('query', 'copy', qn, _Q42)} % 5 + 1 AS rank, {h('query', 'copy', qs, _Q42)} / 4294967296.0::DOUBLE AS step FROM cp) "
+            f"dr AS (SELECT query, copy, {h('query', 'copy', qn, _Q42)} % 5 + 1 AS rank, {h('query', 'copy', qs, _Q42)} / 1152921504606846976.0::DOUBLE AS step FROM cp) "
             + sql_select("dr JOIN nn USING (query, rank) JOIN sm a ON a.vec_id = query JOIN sm b ON b.vec_id = neighbor", "", "query AS vec_id; copy; neighbor",
                          "step; " + "; ".join(f"CAST(a.e[{i}] + (b.e[{i}] - a.e[{i}]) * step AS FLOAT) AS v{i - 1}" for i in range(1, 65))))
 

@@ -133,7 +133,7 @@ add("propagate_features", _spread, f"{EV}, {CF}, f AS (SELECT tc_key, avg(fail)
 
 
 def hash32(*parts):
-    return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::BIGINT"
+    return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 15))::BIGINT"
 
 
 _NODES = "nn AS (SELECT tc_key, row_number() OVER (ORDER BY tc_key) AS no, count(*) OVER () AS sz FROM (SELECT DISTINCT tc_key FROM ex))"
@@ -158,7 +158,7 @@ def _perturbed(spark, sf):
 
 
 def _pert(expr, name):
-    u = hash32("build_id", "tc_key", f"'{name}'", "'42'") + " / 4294967296.0::DOUBLE"
+    u = hash32("build_id", "tc_key", f"'{name}'", "'42'") + " / 1152921504606846976.0::DOUBLE"
     return f"{expr} + 0.1::DOUBLE * abs({expr}) * ({u} * 2 - 1) AS {name}"
 
 
@@ -179,25 +179,25 @@ def clocked(spark, sf):
 
 
 _CDAG = (f"{EV}, ck AS (SELECT DISTINCT project, build_id, build_idx FROM ex), rc AS (SELECT raw.*, ck.build_idx FROM raw JOIN ck USING (project, build_id)), "
-         "fq AS (SELECT 'k' || k AS c, count(*) AS freq FROM raw GROUP BY 1 ORDER BY freq DESC, c LIMIT 1000), "
+         "fq AS (SELECT 'k' || k AS c, count(*) AS freq FROM raw GROUP BY 1 ORDER BY freq DESC, c), "
          "cb AS (SELECT DISTINCT build_idx, 'k' || k AS c FROM rc WHERE 'k' || k IN (SELECT c FROM fq)), fs AS (SELECT c, min(build_idx) AS f FROM cb GROUP BY 1), "
          "cd AS (SELECT cb.c AS src, fs.c AS dst, cb.build_idx, 'temporal' AS kind, 1 / (1 + f - build_idx)::DOUBLE AS weight FROM fs JOIN cb ON build_idx "
          "BETWEEN f - 5 AND f - 1 UNION ALL SELECT a.c, b.c, a.build_idx, 'sibling', 0.8::DOUBLE FROM cb a JOIN cb b ON a.build_idx = b.build_idx AND a.c <> b.c), "
          "cdw AS (SELECT * FROM cd WHERE kind = 'sibling' OR weight >= 0.2::DOUBLE)")
-add("commit_dag", lambda spark, sf: shaped(g.commit_dag(clocked(spark, sf), 1000, 5, 0.2), "src", "dst", "build_idx", "kind", "weight"),
+add("commit_dag", lambda spark, sf: shaped(g.commit_dag(clocked(spark, sf), None, 5, 0.2), "src", "dst", "build_idx", "kind", "weight"),
     _CDAG + " " + sql_select("cdw", "src; dst; kind", "build_idx", "weight"))
-add("commit_path_lengths", lambda spark, sf: shaped(g.commit_path_lengths(g.commit_dag(clocked(spark, sf), 1000, 5, 0.2)),
+add("commit_path_lengths", lambda spark, sf: shaped(g.commit_path_lengths(g.commit_dag(clocked(spark, sf), None, 5, 0.2)),
                                                     "src", "dst", "build_idx", "kind", "path_length", "merge"),
     _CDAG + " " + sql_select("cdw", "src; dst; kind", "build_idx; (weight <= 0.7::DOUBLE)::INT AS merge", "1 / (weight + 1e-6::DOUBLE) AS path_length"))
 
 
 def _t2c(spark, sf):
     raw = raw_events(spark, sf)
-    m = g.test_to_commits(raw, g.frequent_commits(raw, 1000))
+    m = g.test_to_commits(raw, g.frequent_commits(raw))
     return shaped(m.select("tc_key", F.array_join("commits", ",").alias("commits"), F.size("commits").alias("n")))
 
 
-add("test_to_commits", _t2c, f"{EV}, fq AS (SELECT 'k' || k AS c, count(*) AS freq FROM raw GROUP BY 1 ORDER BY freq DESC, c LIMIT 1000) "
+add("test_to_commits", _t2c, f"{EV}, fq AS (SELECT 'k' || k AS c, count(*) AS freq FROM raw GROUP BY 1 ORDER BY freq DESC, c) "
     "SELECT tc_key, string_agg(DISTINCT 'k' || k, ',' ORDER BY 'k' || k) AS commits, count(DISTINCT k) AS n FROM raw WHERE 'k' || k IN (SELECT c FROM fq) GROUP BY 1")
 
 # ---- vectors

@@ -47,7 +47,7 @@ add("apfd_per_build", lambda spark, sf: shaped(m.apfd_per_build(ranked(spark, sf
     PER + sql_select(" per", "build_id", "count_tc; n_failures", "apfd"))
 add("rank_in_build", lambda spark, sf: shaped(ranked(spark, sf), "build_id", "tc_key", "rank", "score"),
     RANKED + sql_select(" ranked", BT, "rank", "score"))
-_HASH = "('0x' || substr(md5(project || '|' || build_id || '|' || tc_key || '|42'), 1, 8))::BIGINT"
+_HASH = "('0x' || substr(md5(project || '|' || build_id || '|' || tc_key || '|42'), 1, 15))::BIGINT"
 add("rank_random", lambda spark, sf: shaped(r.rank_random(executions(spark, sf), 42), "build_id", "tc_key", "rank"),
     f"WITH {o.EV}, q AS (SELECT *, row_number() OVER (PARTITION BY project, build_id ORDER BY {_HASH} DESC, tc_key) AS rank FROM ex) "
     + sql_select("q", BT, "rank"))
@@ -230,7 +230,10 @@ add("threshold_metrics", lambda spark, sf: shaped(m.threshold_metrics(binary(spa
     BIN + _grid(_TS) + sql_select("w", "", "tp; fp; tn; fn", "threshold; precision; recall; f1; specificity; "
                                   "(recall + specificity) / 2 AS balanced_accuracy"))
 _BEST = ("threshold", "best_score", "f1_macro", "f1_minority", "recall_minority", "precision_minority", "balanced_accuracy", "tp", "fp", "tn", "fn")
-_SCORES = ("(f1 + f1_neg) / 2 AS f1_macro, f1 AS f1_minority, recall AS recall_minority, precision AS precision_minority, "
+# class 1 is the rarer one where it has fewer rows than class 0
+_SCORES = ("(f1 + f1_neg) / 2 AS f1_macro, CASE WHEN tp + fn < tn + fp THEN f1 ELSE f1_neg END AS f1_minority, "
+           "CASE WHEN tp + fn < tn + fp THEN recall ELSE coalesce(tn / nullif(tn + fp, 0)::DOUBLE, 0) END AS recall_minority, "
+           "CASE WHEN tp + fn < tn + fp THEN precision ELSE coalesce(tn / nullif(tn + fn, 0)::DOUBLE, 0) END AS precision_minority, "
            "(recall + specificity) / 2 AS balanced_accuracy")
 
 

@@ -67,9 +67,9 @@ def literal(c):
     return F.concat(F.lit("['"), F.regexp_replace(esc, "\n", "', '"), F.lit("']"))
 
 
-add("parse_list_literal", lambda spark, sf: digest(docs(spark, sf).select("doc_id", t.parse_list_literal(literal(F.col("text")), 1000, 1_000_000).alias("head"),
+add("parse_list_literal", lambda spark, sf: digest(docs(spark, sf).select("doc_id", t.parse_list_literal(literal(F.col("text"))).alias("head"),
                                                                           t.first_of_list(literal(F.col("text"))).alias("first")), "head", "first"),
-    "WITH c AS (SELECT doc_id, left(array_to_string(string_split(text, chr(10))[1:1000], ' [SEP] '), 1000000) AS head, string_split(text, chr(10))[1] AS first "
+    "WITH c AS (SELECT doc_id, array_to_string(string_split(text, chr(10)), ' [SEP] ') AS head, string_split(text, chr(10))[1] AS first "
     "FROM documents) " + digest_sql("c", "head", "first"))
 
 
@@ -99,13 +99,13 @@ def _numbered(items):
     return f"coalesce(array_to_string(list_transform({_joined(items)}, lambda m, i: 'Commit ' || i || ': ' || m), ' | '), '')"
 
 
-add("commits_text", lambda spark, sf: digest(docs(spark, sf).select("doc_id", t.commits_text(_commit_json(True), 1000).alias("commits")), "commits"),
+add("commits_text", lambda spark, sf: digest(docs(spark, sf).select("doc_id", t.commits_text(_commit_json(True)).alias("commits")), "commits"),
     "WITH c AS (SELECT doc_id, " + _numbered(
-        f"list_transform(string_split(text, chr(10))[1:1000], lambda l: trim({clean_commit_sql('l')} || ' Author: ' || source || ' Files: ' || source || ', ' || lang, ' '))")
+        f"list_transform(string_split(text, chr(10)), lambda l: trim({clean_commit_sql('l')} || ' Author: ' || source || ' Files: ' || source || ', ' || lang, ' '))")
     + " AS commits FROM documents) " + digest_sql("c", "commits"))
 add("parse_commits", lambda spark, sf: digest(docs(spark, sf).select("doc_id", F.array_join(F.transform(
-    t.parse_commits(_commit_json(False), 1000), lambda c: c["message"]), "|").alias("messages")), "messages"),
-    "WITH c AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:1000], '|') AS messages FROM documents) " + digest_sql("c", "messages"))
+    t.parse_commits(_commit_json(False)), lambda c: c["message"]), "|").alias("messages")), "messages"),
+    "WITH c AS (SELECT doc_id, array_to_string(string_split(text, chr(10)), '|') AS messages FROM documents) " + digest_sql("c", "messages"))
 add("commits_text_plain", lambda spark, sf: digest(docs(spark, sf).select("doc_id", t.commits_text(F.col("text")).alias("commits")), "commits"),
     f"WITH c AS (SELECT doc_id, CASE WHEN {clean_commit_sql('text')} = '' THEN '' ELSE 'Commit 1: ' || {clean_commit_sql('text')} END AS commits FROM documents) "
     + digest_sql("c", "commits"))
@@ -154,8 +154,8 @@ add("embedding_texts", lambda spark, sf: digest(docs(spark, sf).select(
     "doc_id", t.tc_text(F.when(F.col("lang") != "de", F.col("source")), F.when(F.col("lang") != "es", F.col("text"))).alias("tc"),
     t.commit_template(F.when(F.col("lang") != "fr", F.col("source")), F.when(F.col("lang") != "es", F.col("text"))).alias("cm")), "tc", "cm"),
     "WITH c AS (SELECT doc_id, CASE WHEN lang = 'de' AND text <> '' THEN 'Steps: ' || text WHEN lang = 'es' THEN 'Summary: ' || source "
-    "ELSE 'Summary: ' || source || chr(10) || 'Steps: ' || text END AS tc, CASE WHEN lang = 'fr' THEN 'Diff:' || chr(10) || left(text, 2000) WHEN lang = 'es' THEN "
-    "'Commit Message: ' || source ELSE 'Commit Message: ' || source || chr(10) || chr(10) || 'Diff:' || chr(10) || left(text, 2000) END AS cm FROM documents) "
+    "ELSE 'Summary: ' || source || chr(10) || 'Steps: ' || text END AS tc, CASE WHEN lang = 'fr' THEN 'Diff:' || chr(10) || text WHEN lang = 'es' THEN "
+    "'Commit Message: ' || source ELSE 'Commit Message: ' || source || chr(10) || chr(10) || 'Diff:' || chr(10) || text END AS cm FROM documents) "
     + digest_sql("c", "tc", "cm"))
 
 
