@@ -19,6 +19,7 @@ itself. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -54,19 +55,23 @@ class SubwordSoftmax:
     def __init__(self, texts: list[str], y: np.ndarray, epochs: int = 80, warm: int = 15, seed: int = 5,
                  rate: float = 0.5, decay: float = 1e-6) -> None:
         number: dict[str, int] = {}
-        words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+        words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
         # rows of SEGMENT words; number len(number) is the zero vector
         blank = len(number)
         docs = np.array([max(1, -(-len(w) // SEGMENT)) for w in words])
-        padded = np.full(int(docs.sum()) * SEGMENT, blank, np.int64)
+        padded = np.full(int(docs.sum()) * SEGMENT, blank, np.int32)
         first = np.concatenate(([0], np.cumsum(docs)))
         for w, at in zip(words, first):
             padded[at * SEGMENT:at * SEGMENT + len(w)] = w
         word = padded.reshape(-1, SEGMENT)
         seg_doc = np.repeat(np.arange(len(texts)), docs)
-        lists = [grams(w) for w in number]
-        count = np.array([len(g) for g in lists], np.int64)
-        gram = np.fromiter((x for g in lists for x in g), np.int64, int(count.sum()))
+        gram, count = array("i"), array("i")
+        for w in number:
+            own = grams(w)
+            gram.extend(own)
+            count.append(len(own))
+        del number, words
+        gram, count = np.frombuffer(gram, np.int32) if gram else np.empty(0, np.int32), np.array(count, np.int64)
         start = np.cumsum(count) - count
         rng = np.random.default_rng(seed)
         back = rng.random(len(texts)) < 0.2
