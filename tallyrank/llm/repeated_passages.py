@@ -220,7 +220,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     profile = materialize(_profile(docs, window, gram), "profile")
     places = profile.select(_short("key").alias("k"), F.explode(F.arrays_zip("anchors", "places")).alias("x"))
     places = places.select("k", F.col("x.anchors").alias("a"), F.col("x.places").alias("at"))
-    again = places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join below has a plain exchange on either side and a hot anchor can be split
+    again = materialize(places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "recurring")
     marked = F.when(F.col("n") > hot, -F.col("at") - 1).otherwise(F.col("at"))
     suspects = places.join(again, "a").groupBy("k").agg(F.collect_set(marked).alias("places"))
     copies = profile.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"))
