@@ -265,14 +265,15 @@ def features_v3_temporal(df: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean, population std, min, max and exact median, one row per feature."""
+    """Mean, population std, min, max and exact median, one row per feature; nulls where a
+    feature has no values."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), _d(c).alias("value")) for c in columns
     ])).alias("x")).select("x.feature", "x.value")
     basic = long.groupBy("feature").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    return basic.join(exact_quantiles(long, ["feature"], "value", {"median": 0.5}), "feature")
+    return basic.join(exact_quantiles(long, ["feature"], "value", {"median": 0.5}), "feature", "left")
 
 
 def cold_start_defaults(features: DataFrame, train: DataFrame, means: Sequence[str] = (),

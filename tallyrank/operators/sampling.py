@@ -22,41 +22,44 @@ def _shuffled(df: DataFrame, group: Sequence[str], key: Sequence[str], seed: int
 
 def balanced_sample(df: DataFrame, n: int, key: Sequence[str], w_min: float = 10.0, w_maj: float = 1.0,
                     seed: int = 42, label: str = "label") -> DataFrame:
-    """n draws with replacement, rows weighted by class (rarer class `w_min`).
+    """n draws with replacement from all classes, rows weighted by class (the rarest weighs `w_min`).
 
     Rows of a class weigh the same, so a draw picks a class by weight and then a row
-    number in it; rows are looked up by an equi-join, not by cumulative weight.
+    number in it; rows are looked up by an equi-join, not by cumulative weight. Rows
+    without a label are never drawn.
     """
+    df = df.filter(F.col(label).isNotNull())
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    minority = min(counts, key=lambda c: (counts[c], c))
-    weights = {c: k * (w_min if c == minority else w_maj) for c, k in counts.items()}
-    share = weights[minority] / sum(weights.values())
-    other = next((c for c in sorted(counts) if c != minority), minority)
+    classes = sorted(counts, key=lambda c: (counts[c], c))
+    classes = classes[:1] + sorted(classes[1:])
+    weights = [counts[c] * (w_min if i == 0 else w_maj) for i, c in enumerate(classes)]
     rows = _shuffled(df, [label], key, seed, "_no")
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
-    pick = F.when(uniform(F.col("draw"), "class", seed) < share, F.lit(minority)).otherwise(F.lit(other))
-    draws = draws.withColumn(label, pick.cast(dict(df.dtypes)[label]))
-    size = F.when(F.col(label) == minority, F.lit(counts[minority])).otherwise(F.lit(counts[other]))
-    draws = draws.withColumn("_no", F.pmod(hash_int(F.col("draw"), "row", seed), size) + 1)
+    draws = df.sparkSession.range(n if counts else 0).select(F.col("id").alias("draw"))
+    u = uniform(F.col("draw"), "class", seed)
+    bounds = [sum(weights[:i + 1]) / sum(weights) for i in range(len(classes))]
+    pick, size = F.lit(classes[-1] if classes else None), F.lit(counts[classes[-1]] if classes else 1)
+    for c, bound in list(zip(classes, bounds))[-2::-1]:
+        pick, size = F.when(u < bound, F.lit(c)).otherwise(pick), F.when(u < bound, F.lit(counts[c])).otherwise(size)
+    draws = draws.withColumns({label: pick.cast(dict(df.dtypes)[label]), "_no": F.pmod(hash_int(F.col("draw"), "row", seed), size) + 1})
     return draws.join(rows, [label, "_no"]).drop("_no")
 
 
 def stratified_batches(df: DataFrame, size: int = 32, min_pos: int = 4, key: Sequence[str] = ("project", "build_id", "tc_key"),
                        seed: int = 42, label: str = "fail") -> DataFrame:
     """Batches of `size` rows with exactly `min_pos` failures. Failures are used once; the
-    other rows are reused from the start when they run out, in the same order."""
+    other rows follow each other in one order, over and over, from batch to batch, so that
+    all are used alike. With fewer of them than a batch takes, each batch has all of them once."""
     min_pos = min(min_pos, size // 2)
     rest = size - min_pos
     rows = _shuffled(df.withColumn("_pos", (F.col(label) == 1).cast("int")), ["_pos"], key, seed, "_no")
     n = df.agg(F.sum((F.col(label) == 1).cast("bigint")).alias("_np"), F.sum((F.col(label) != 1).cast("bigint")).alias("_nn"))
-    rows = rows.crossJoin(F.broadcast(n)).withColumn("_batches", F.floor(F.col("_np") / min_pos))
+    rows = rows.crossJoin(F.broadcast(n)).withColumn("_places", F.floor(F.col("_np") / min_pos) * rest)
     i = F.col("_no") - 1
-    pos = rows.filter("_pos = 1").withColumn("batch", F.floor(i / min_pos)).filter("batch < _batches")
-    turns = F.greatest(F.floor(F.col("_nn") / rest), F.lit(1))
-    slot = F.floor(i / rest)
-    neg = rows.filter("_pos = 0").withColumns({"_turns": turns, "_slot": slot}).filter(
-        "_slot < _turns and _slot < _batches")
-    neg = neg.withColumn("batch", F.explode(F.sequence(F.col("_slot"), F.col("_batches") - 1, F.col("_turns"))))
+    pos = rows.filter("_pos = 1").withColumn("batch", F.floor(i / min_pos)).filter(F.col("batch") * rest < F.col("_places"))
+    turn = F.greatest(F.col("_nn"), F.lit(rest))
+    neg = rows.filter("_pos = 0").withColumn("_i", i.cast("bigint")).filter("_i < _places")
+    place = F.explode(F.sequence(F.col("_i"), (F.col("_places") - 1).cast("bigint"), turn.cast("bigint")))
+    neg = neg.withColumn("_place", place).withColumn("batch", F.floor(F.col("_place") / rest))
     return pos.select(*df.columns, "batch").unionByName(neg.select(*df.columns, "batch"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyrank.functions.hashing import hash_int, uniform
+from tallyrank.operators.scale import exact_quantiles
 
 BLOCK = 4096
 
@@ -143,13 +144,25 @@ def minmax(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ---- imputation and scoring of unseen tests --------------------------------
 
+def conservative_defaults(base: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row of features for a test that nothing is like: a new and novel test with the
+    median flakiness, and base means for the rest."""
+    fixed = {"test_age": 0.0, "test_novelty": 1.0}
+    row = base.agg(*[(F.lit(fixed[c]) if c in fixed else F.avg(c)).alias(c) for c in columns if c != "flakiness_rate"],
+                   F.count(F.lit(1)).alias("_rows"))
+    if "flakiness_rate" in columns:
+        row = row.crossJoin(exact_quantiles(base.select("flakiness_rate"), [], "flakiness_rate", {"flakiness_rate": 0.5}))
+    return row.select(*columns)
+
+
 def knn_impute(query: DataFrame, base: DataFrame, columns: Sequence[str], k: int = 10, threshold: float = 0.5,
                weighted: bool = True, defaults: DataFrame | None = None, noise: float = 0.0, seed: int = 42,
                id_col: str = "vec_id", vec: str = "embedding", block: int = BLOCK) -> DataFrame:
     """Features of query rows from the mean of similar base rows, else base means.
 
-    `defaults` is one row with a column per feature. Noise, off by default, is a share of
-    each feature's spread.
+    `defaults` is one row with a column per feature, such as `conservative_defaults` gives.
+    Noise, off by default, is a share of each feature's spread; noisy features are clipped to
+    their valid ranges.
     """
     n = knn(query, base, k, ((vec, "cosine", 1.0),), id_col, block=block).filter(F.col("similarity") >= threshold)
     feats = base.select(F.col(id_col).alias("neighbor"), *columns)
@@ -170,6 +183,7 @@ def knn_impute(query: DataFrame, base: DataFrame, columns: Sequence[str], k: int
         out = out.crossJoin(F.broadcast(s)).withColumns({
             c: F.col(c) + F.lit(float(noise)) * F.col(f"_s_{c}") * normal(c) for c in columns
         }).select(id_col, *columns, "neighbors")
+        out = clip_features(out, "v2")  # by name, so it holds for both layouts
     return out
 
 
@@ -213,7 +227,9 @@ def score_orphans(orphans: DataFrame, in_graph: DataFrame, k: int = 20, alpha: f
     n = knn(orphans, in_graph, k, parts, id_col, block=block)
     if min_similarity > 0:
         n = n.filter(F.col("similarity") >= min_similarity)
-    w = F.exp(F.col("similarity") / F.lit(t))
+    # the largest weight of a test is 1, whatever the temperature; a group has at most k rows
+    w = F.exp((F.col("similarity") - F.col("_top")) / F.lit(t))
+    n = n.withColumn("_top", F.max("similarity").over(Window.partitionBy("query")))
     got = n.join(in_graph.select(F.col(id_col).alias("neighbor"), "score"), "neighbor").groupBy(
         F.col("query").alias(id_col)).agg(
         (F.sum(w * F.col("score")) / F.sum(w)).alias("knn_score"), F.count(F.lit(1)).alias("neighbors"),
@@ -271,13 +287,16 @@ def hybrid_score(df: DataFrame, p: str = "p_fail", priority: str = "priority_pre
 def smote(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label", vec: str = "embedding",
           id_col: str = "vec_id") -> DataFrame:
     """Synthetic rows of the smaller class until both are equal, between a row and one of
-    its k nearest rows of that class. Row and neighbour are drawn by hash."""
+    its k nearest rows of that class. Row and neighbour are drawn by hash. A class of one
+    row is repeated as it is."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     minority = min(counts, key=lambda c: (counts[c], c))
     missing = max(counts.values()) - counts[minority]
     small = df.filter(F.col(label) == minority)
     n_small = counts[minority]
     near = knn(small, small, k, ((vec, "euclidean", 1.0),), id_col, skip_self=True)
+    if n_small == 1:
+        near = small.select(F.col(id_col).alias("query"), F.lit(1).alias("rank"), F.col(id_col).alias("neighbor"))
     per_row = near.groupBy("query").agg(F.count(F.lit(1)).alias("_k"))
     # every minority row yields missing / n_small copies, the remainder by hash order
     from tallyrank.operators.scale import number_rows

@@ -27,7 +27,7 @@ from tallyrank.plans.shape import shaped, sql_select
 from tallyrank.session import checkpoint_dir, materialize
 from tallyrank.sources import readers as rd
 from tallyrank.sources import writers as wr
-from tallyrank.streaming.history_stream import stream_history, stream_rank
+from tallyrank.streaming.history_stream import grade_waiting, stream_history, stream_rank
 
 Q, S = {}, {}
 EV, LI = f"WITH {o.EV}", f"WITH {o.LI}"
@@ -142,8 +142,8 @@ add("balanced_sample", _balanced, BIN + f", k AS (SELECT label, count(*) AS n FR
 _SH = f"{hash32('project', 'build_id', 'tc_key', _Q42)}"
 add("stratified_batches", lambda spark, sf: shaped(s.stratified_batches(executions(spark, sf)), *KEY, "fail", "batch"),
     f"{EV}, r AS (SELECT *, row_number() OVER (PARTITION BY fail ORDER BY {_SH}, project, build_id, tc_key) - 1 AS i, sum(fail) OVER () // 4 AS nb, "
-    "greatest(sum(1 - fail) OVER () // 28, 1) AS turns FROM ex), bt AS (SELECT build_id, tc_key, fail, i // 4 AS batch FROM r WHERE fail = 1 AND i // 4 < nb UNION ALL "
-    "SELECT build_id, tc_key, fail, unnest(range((i // 28)::BIGINT, nb::BIGINT, turns::BIGINT)) FROM r WHERE fail = 0 AND i // 28 < turns AND i // 28 < nb) "
+    "greatest(sum(1 - fail) OVER (), 28) AS turn FROM ex), bt AS (SELECT build_id, tc_key, fail, i // 4 AS batch FROM r WHERE fail = 1 AND i // 4 < nb UNION ALL "
+    "SELECT build_id, tc_key, fail, unnest(range(i::BIGINT, (nb * 28)::BIGINT, turn::BIGINT)) // 28 FROM r WHERE fail = 0 AND i < nb * 28) "
     + sql_select("bt", "build_id; tc_key", "fail; batch"))
 add("build_batches", lambda spark, sf: shaped(s.build_batches(executions(spark, sf), 64), *KEY, "batch"),
     f"{EV}, bb AS (SELECT project, build_id, count(*) AS n FROM ex GROUP BY 1, 2 HAVING sum(fail) >= 1), cu AS (SELECT *, (sum(n) OVER (ORDER BY "
@@ -364,7 +364,7 @@ def _stream_history(spark, sf):
     q = (stream_history(_stream_source(spark, sf)).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return shaped(spark.read.parquet(out), *KEY, "n", "failures", "rate_5", "rate_10", "fail_run", "pass_run", "last_idx", "last_fail_idx", "late")
+    return shaped(spark.read.parquet(out).filter("not is_late"), *KEY, "n", "failures", "rate_5", "rate_10", "fail_run", "pass_run", "last_idx", "last_fail_idx", "late")
 
 
 add("stream_history", _stream_history, o.ev_history() + sql_select("h", "build_id; tc_key", "n; failures; fail_run; pass_run; last_idx; last_fail_idx; 0 AS late", "rate_5; rate_10"))
@@ -373,6 +373,7 @@ add("stream_history", _stream_history, o.ev_history() + sql_select("h", "build_i
 def _stream_rank(spark, sf):
     out, ckpt = folder(spark, "stream-out"), folder(spark, "stream-ckpt")
     stream_rank(stream_history(_stream_source(spark, sf)), out, ckpt).start().awaitTermination()
+    grade_waiting(spark, out, ckpt)
     return shaped(spark.read.parquet(out), "build_id", "count_tc", "n_failures", "apfd")
 
 

@@ -63,6 +63,9 @@ def test_stream_equals_batch_and_counts_late_rows(spark, sf, tmp_path):
          .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     names = ["tc_key", "build_id", "n", "failures", "rate_5", "fail_run", "pass_run", "last_idx", "last_fail_idx"]
-    got = spark.read.parquet(str(tmp_path / "out")).select(*names)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    late = out.filter("is_late").collect()
+    assert len(late) == 5 and all(r.late >= 1 and r.n is None for r in late)
+    got = out.filter("not is_late").select(*names)
     want = history(e, want=names[2:]).select(*names)
     assert got.count() == e.count() and got.exceptAll(want).isEmpty()
