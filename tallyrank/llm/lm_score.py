@@ -2,20 +2,28 @@
 
 Words are runs of non-space after A-Z is lower-cased; every text ends with one end token.
 Unigrams: add-half counts over all training texts, for every word that occurs anywhere.
-Longer contexts: absolute discounting, interpolated with the next shorter context. Contexts and
-their arcs are kept where they make up at least `share` of all training tokens, which bounds
-their number by 1/share at any corpus size; the mass of all other continuations goes to the
-failure arc, so every state's probabilities still add up to one.
+Longer contexts: absolute discounting, interpolated with the next shorter context. Every context and
+every arc that occurs in training is kept, down to a count of one; nothing is cut off. A context's
+discounted mass goes to its failure arc, so every state's probabilities add up to one.
 
-States are the kept contexts of at most two words. A state's arc consumes a word and leads to the
-longest kept context behind it; where it has no arc for the word, its failure arc adds the backoff
-weight and leads to the state with one word less, down to the root, which knows unigrams only. A
-text is scored in one pass from left to right that carries the state.
+States are the contexts of at most two words. A state's arc consumes a word and leads to the
+longest context behind it; where it has no arc for the word, its failure arc adds the backoff
+weight and leads to the state with one word less, down to the root, which knows unigrams only. The
+state before a word depends on the two words before it alone, so `_scores` takes the arcs and failure
+arcs of all positions of a chunk at once. `Automaton` and `traverse` are the same automaton held
+whole and walked word by word.
 
 Passes over the corpus: (1) tasks turn their texts into chunks of at most `chunk_tokens` tokens,
-written as numbers of a chunk-local word list; (2) counts per word are summed over chunks and put
-back beside each chunk's list; (3) contexts and arcs are counted; (4) every chunk meets its list and
-is scored. No task holds more than a chunk with its list, and the bounded automaton is broadcast.
+written as numbers of a chunk-local word list; (2) every chunk deals the keys of its distinct grams
+of one to three words, with their training counts, to buckets by key, and each bucket answers with
+the sum over all chunks; one asking chunk of each gram is its owner; (3) owners count the arcs of
+each context, and buckets by context add them up the same way; a context seen once has one arc and is
+not asked for; (4) every chunk meets its answers, which are the arcs of its own contexts, and is
+scored. No task holds more than a chunk or a bucket; buckets grow in number with the bytes of text, and
+a gram has at most one entry per chunk. Neither the driver nor a broadcast holds any part of the model.
+
+A gram's key is a 64-bit hash; two of 10^8 grams share a key with a chance below 1 in 1000, and would
+then share their count.
 
 Null and empty texts are the end token alone. Repeated rows count and score each for itself. With
 no training text (an empty table too) all counts are 0 and every token has the same probability.
@@ -25,26 +33,30 @@ Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import crc_mod, texts_of
+from tallyrank.llm.common import crc_mod, texts_of, word_hashes
 from tallyrank.session import materialize
 
 END = ""  # no word is empty
 DISCOUNT = 0.75
-SHARE = 1e-5
 CHUNK_TOKENS = 2_000_000
+#: Bytes of text for each bucket of grams.
+BUCKET_BYTES = 8_000_000
 #: Lower case for A-Z only, on bytes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-PART = "chunk bigint, word binary, lid int, n bigint, doc_id bigint, train boolean, seq binary"
+PART = "chunk bigint, docs array<bigint>, train binary, size binary, seq binary, keys binary, train_tokens bigint"
+ASK = "bucket int, chunk bigint, words int, keys binary, n binary"
+ANSWER = "bucket int, chunk bigint, words bigint, n binary"
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -63,98 +75,162 @@ def unpack_seq(data: bytes) -> np.ndarray:
     return low.astype(np.int64) | (high.astype(np.int64) << 16)
 
 
-def _batch(chunk: int, words, lids, counts, docs, train, seqs) -> pa.RecordBatch:
-    n, m = len(lids), len(docs)
-    return pa.RecordBatch.from_arrays([
-        pa.array([chunk] * (n + m), pa.int64()), pa.array([*words, *[None] * m], pa.binary()),
-        pa.array([*lids, *[-1] * m], pa.int32()), pa.array([*counts, *[0] * m], pa.int64()),
-        pa.array([*[None] * n, *docs], pa.int64()), pa.array([*[None] * n, *train], pa.bool_()),
-        pa.array([*[None] * n, *seqs], pa.binary())], names=[c.split()[0] for c in PART.split(", ")])
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as planes of bytes, as many as the largest needs; high planes are nearly all zero."""
+    width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    return counts.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), "u1")
+    if n:
+        planes = np.frombuffer(data, "u1").reshape(-1, n)
+        out[:, :len(planes)] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _fields(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def to_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Rows of `docs` (doc_id, train, text) as numbers, and each chunk's words with their training
-    counts; numbers go by falling frequency."""
+    """Rows of `docs` (doc_id, train, text) as chunks, one row each: ids, training marks and token counts
+    of its texts, their tokens as numbers of the chunk's word list, and the hashes of that list;
+    numbers go by falling frequency."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), 0
-        held, size = [], 0
+        numbers, held, size = defaultdict(count().__next__), [], 0  # a new word gets the next number
 
         def close():
-            numbers, order = {}, Counter()
-            counts, kept = Counter(), []
-            for doc, train, words in held:
-                order.update(words)
-                if train:
-                    counts.update(words)
-            for i, (w, _) in enumerate(order.most_common()):
-                numbers[w] = i
-            for doc, train, words in held:
-                kept.append(pack_seq(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))))
-            words = list(numbers)
-            chunk = (part << 24) + seen
-            for at in range(0, len(words), 50_000):
-                some = words[at:at + 50_000]
-                yield _batch(chunk, some, range(at, at + len(some)), [counts[w] for w in some], [], [], [])
-            for at in range(0, len(held), 500):
-                some = held[at:at + 500]
-                yield _batch(chunk, [], [], [], [d for d, _, _ in some], [t for _, t, _ in some], kept[at:at + 500])
+            seq = np.concatenate([s for _, _, s in held])
+            order = np.argsort(-np.bincount(seq, minlength=len(numbers)), kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            sizes = np.array([len(s) for _, _, s in held], "<i8")
+            train = np.array([t for _, t, _ in held], bool)
+            row = [(part << 24) + seen, [d for d, _, _ in held], train.tobytes(), sizes.tobytes(), pack_seq(place[seq]),
+                   word_hashes(list(numbers))[order].astype("<u8").tobytes(), int(sizes[train].sum())]
+            kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=_fields(PART))
 
         for batch in batches:
-            for doc, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch)):
-                words = words_of(text)
-                words.append(END.encode())
-                if held and size + len(words) > chunk_tokens:
-                    yield from close()
-                    held, size, seen = [], 0, seen + 1
-                held.append((doc, train, words))
-                size += len(words)
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                for doc, train, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), texts_of(some)):
+                    words = words_of(text)
+                    words.append(END.encode())
+                    if held and size + len(words) > chunk_tokens:
+                        yield close()
+                        numbers, held, size, seen = defaultdict(count().__next__), [], 0, seen + 1
+                    held.append((doc, train, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
+                    size += len(words)
         if held:
-            yield from close()
+            yield close()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "train", "text").mapInArrow(run, PART)
 
 
-def _count_contexts(docs: DataFrame, core: list[bytes]) -> DataFrame:
-    """Counts of runs of two and three words that all are in `core`, in training texts: (gram, n).
-
-    A gram is its words' numbers, 21 bits each, with 1 added so that a shorter one has zeros."""
-    sent = docs.sparkSession.sparkContext.broadcast(core)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i + 1 for i, w in enumerate(sent.value)}
-        end = number.get(END.encode(), 0)
-        total: dict[int, int] = {}
-
-        def rows():
-            keys = np.fromiter(total.keys(), np.int64, len(total))
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(total.values(), np.int64, len(total)))],
-                                              names=["gram", "n"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                seq = []
-                for text in texts_of(batch.slice(at, 1000)):
-                    seq.append(0)  # grams do not run from one text into the next
-                    seq.append(end)
-                    seq.extend([number.get(w, 0) for w in words_of(text)])
-                    seq.append(end)
-                s = np.array(seq, np.int64)
-                two = (s[:-1] << 21) | s[1:]
-                both = (s[:-1] > 0) & (s[1:] > 0)
-                three = (two[:-1] << 21) | s[2:]
-                grams = np.concatenate([two[both], three[both[:-1] & both[1:]]])
-                for k, c in zip(*(x.tolist() for x in np.unique(grams, return_counts=True))):
-                    total[k] = total.get(k, 0) + c
-            if len(total) > 500_000:
-                yield rows()
-                total.clear()
-        if total:
-            yield rows()
-
-    train = docs.filter("train").select("text")
-    return train.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Key of a gram from that of its context and that of its last word."""
+    out = left * np.uint64(0x9E3779B97F4A7C15) + right
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def _distinct(context: np.ndarray, word: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and last words of the distinct grams, and each position's gram."""
+    codes, of = np.unique(context.astype(np.int64) * w + word, return_inverse=True)
+    return (codes // w).astype(np.int32), (codes % w).astype(np.int32), of.astype(np.int32)
+
+
+class Grams:
+    """Distinct grams of a chunk: one word (numbers of its list), two and three words. `two` gives each
+    token's gram with the word before it, `three` that with two words before it for tokens in `inner`, which
+    are not the first of their text; `context_2` and `context_3` number a gram's context."""
+
+    def __init__(self, row: dict) -> None:
+        self.keys_1 = np.frombuffer(row["keys"], "<u8")
+        self.size = np.frombuffer(row["size"], "<i8")
+        self.train = np.frombuffer(row["train"], bool)
+        self.seq = unpack_seq(row["seq"]).astype(np.int32)
+        self.start = np.cumsum(self.size) - self.size
+        w = len(self.keys_1)
+        end = np.flatnonzero(self.keys_1 == word_hashes([END.encode()])[0])[:1].astype(np.int32)
+        # grams do not run from one text into the next, but every text starts behind an end token
+        self.before = np.concatenate([end, self.seq[:-1]])
+        self.context_2, last, self.two = _distinct(self.before, self.seq, w)
+        self.keys_2 = _key(self.keys_1[self.context_2], self.keys_1[last])
+        inner = np.ones(len(self.seq), bool)
+        inner[self.start] = False
+        self.inner = np.flatnonzero(inner).astype(np.int32)
+        self.context_3, last, self.three = _distinct(self.two[self.inner - 1], self.seq[self.inner], w)
+        self.keys_3 = _key(self.keys_2[self.context_3], self.keys_1[last])
+        self.keys = np.concatenate([self.keys_1, self.keys_2, self.keys_3])
+        self.ends = np.cumsum([len(self.keys_1), len(self.keys_2)])
+
+    def counts(self) -> np.ndarray:
+        """Training counts in the order of `keys`."""
+        t = np.repeat(self.train, self.size)
+        return np.concatenate([np.bincount(g[m], minlength=len(k)) for g, m, k in (
+            (self.seq, t, self.keys_1), (self.two, t, self.keys_2), (self.three, t[self.inner], self.keys_3))])
+
+    def asked(self, total: np.ndarray) -> np.ndarray:
+        """Contexts, as places in `keys`, whose number of arcs is not known from their count alone."""
+        return np.flatnonzero(total[:self.ends[1]] > 1)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by bucket, and where each bucket starts in it."""
+    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+    return np.argsort(bucket, kind="stable").astype(np.int32), at
+
+
+def _ask(chunk: int, keys: np.ndarray, n: np.ndarray, words: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: keys and counts; the first `words` of the keys are words."""
+    order, at = _dealt(keys, buckets)
+    some = np.flatnonzero(np.diff(at)).tolist()
+    for k in range(0, len(some), 16):
+        mine = [order[at[b]:at[b + 1]] for b in some[k:k + 16]]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(some[k:k + 16], pa.int32()), pa.array([chunk] * len(mine), pa.int64()),
+            pa.array([int((o < words).sum()) for o in mine], pa.int32()),
+            pa.array([keys[o].tobytes() for o in mine], pa.binary()),
+            pa.array([pack_counts(n[o]) for o in mine], pa.binary())], names=_fields(ASK))
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """Sums over the chunks that ask a bucket, doubled, plus 1 for the owner of a key; and the distinct words seen."""
+    asked = sorted(zip(*[rows.column(c).to_pylist() for c in _fields(ASK)]))
+    keys = [np.frombuffer(k, "<u8") for _, _, _, k, _ in asked]
+    size = [len(k) for k in keys]
+    n = np.concatenate([unpack_counts(r[4], m) for r, m in zip(asked, size)])
+    _, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    total = np.bincount(of, n).astype(np.int64)[of]
+    out = total * 2
+    out[first] += 1
+    end = np.cumsum(size)
+    out = [out[e - m:e] for e, m in zip(end, size)]
+    words = [int(((o[:r[2]] & 1) * (o[:r[2]] > 1)).sum()) for o, r in zip(out, asked)]
+    return pa.table([pa.array([r[0] for r in asked], pa.int32()), pa.array([r[1] for r in asked], pa.int64()),
+                     pa.array(words, pa.int64()), pa.array([pack_counts(o) for o in out], pa.binary())], names=_fields(ANSWER))
+
+
+def _read(keys: np.ndarray, buckets: int, answers: dict[int, bytes]) -> np.ndarray:
+    """Answers in the order of the keys asked for."""
+    order, at = _dealt(keys, buckets)
+    out = np.zeros(len(keys), np.int64)
+    for b, data in answers.items():
+        some = order[at[b]:at[b + 1]]
+        out[some] = unpack_counts(data, len(some))
+    return out
+
+
+def _answers(rows: pa.Table, kind: int) -> dict[int, bytes]:
+    return {b: n for k, b, n in zip(*[rows.column(c).to_pylist() for c in ("kind", "bucket", "n")]) if k == kind}
 
 
 class Automaton:
@@ -226,79 +302,71 @@ def traverse(seq: list[int], start: int, arcs: dict[int, tuple[int, float]], wid
     return score
 
 
-def _score_chunks(rows: DataFrame, model: Automaton) -> DataFrame:
-    """Rows of a chunk together, its words first: (chunk, lid, word, c) then (doc_id, held_out, seq)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def _scores(g: Grams, total: np.ndarray, arcs: np.ndarray, norm: float, discount: float) -> tuple[np.ndarray, ...]:
+    """Training count, unigram and automaton log10 probability of each token. `total` has the counts of the
+    chunk's grams, `arcs` the numbers of arcs of its contexts."""
+    one, two, three = np.split(total, g.ends)
+    # weights of the failure arcs of contexts, 1 where there is no such state
+    back = np.where(total[:g.ends[1]] > 0, discount * arcs / np.maximum(total[:g.ends[1]], 1), 1.0)
+    back_1, back_2 = np.split(back, g.ends[:1])
+    of = lambda c, n: np.maximum(c - discount, 0.0) * (c > 0) / np.maximum(n, 1)
+    root = (one[g.seq] + 0.5) / norm
+    p = (of(two, one[g.context_2]))[g.two] + back_1[g.before] * root
+    state = g.two[g.inner - 1]
+    p[g.inner] = (of(three, two[g.context_3]))[g.three] + back_2[state] * p[g.inner]
+    return one[g.seq], np.log10(root), np.log10(p)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        core = {w for arcs in m.arcs.values() for w in arcs} | {w for h in m.state for w in h}
-        chunk, counts, names, ready = None, {}, {}, None
-
-        def prepare():
-            width = max(counts, default=0) + 1
-            c = np.zeros(width)
-            c[list(counts)] = list(counts.values())
-            root = np.log10((c + 0.5) / m.norm)
-            lid = {w: i for i, w in names.items()}
-            arcs = {s * width + lid[w]: a for s, mine in m.arcs.items() for w, a in mine.items() if w in lid}
-            reach = [0] * width
-            for w, i in lid.items():
-                reach[i] = m.state.get((w,), 0)
-            return c, root, root.tolist(), arcs, width, reach
 
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            out = []
-            for ch, lid, word, c, doc, (train, seq) in zip(*cols[:5], zip(cols[5], batch.column(6).to_pylist())):
-                if ch != chunk:
-                    chunk, counts, names, ready = ch, {}, {}, None
-                if seq is None:
-                    counts[lid] = c
-                    if word in core:
-                        names[lid] = word
-                    continue
-                if ready is None:
-                    ready = prepare()
-                    counts, names = {}, {}
-                c_of, root, logs, arcs, width, reach = ready
-                s = unpack_seq(seq)
-                score = traverse(s.tolist(), m.start, arcs, width, m.fail, m.back, logs, reach)
-                out.append((doc, not train, len(s), int((c_of[s] > 0).sum()), float(root[s].sum()), float(score)))
-            if out:
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, k) for v, k in zip(zip(*out), kinds)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-
-
-def score_documents(docs: DataFrame, train: Column, share: float = SHARE, discount: float = DISCOUNT,
-                    chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, discount: float = DISCOUNT, chunk_tokens: int = CHUNK_TOKENS,
+                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", F.coalesce(train, F.lit(True)).alias("train"), "text")
-    parts = materialize(to_chunks(docs, chunk_tokens), "chunks")
-    words = parts.filter("lid >= 0").select("chunk", "lid", "word", "n")
-    by_word = W.partitionBy("word")
-    words = materialize(words.withColumns({
-        "c": F.sum("n").over(by_word), "_first": F.row_number().over(by_word.orderBy("chunk")) == 1}).drop("n"), "words")
-    sums = words.filter("_first and c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, distinct = int(sums[0] or 0), int(sums[1])
-    core = {bytes(r["word"]): r["c"] for r in words.filter(F.col("_first") & (F.col("c") > 0) & (F.col("c") >= share * total))
-            .select("word", "c").collect()}  # at most 1 / share words
-    names = sorted(core)
-    least = max(2.0, share * total)
-    grams = _count_contexts(docs, names).filter(F.col("n") >= least).collect() if core else []  # at most 1 / share of each length
-    unpack = lambda g: tuple(names[k - 1] for k in ((g >> 42), (g >> 21) & 0x1FFFFF, g & 0x1FFFFF) if k)
-    model = Automaton(core, {unpack(r["gram"]): r["n"] for r in grams}, total, distinct, discount)
-    listed = words.select("chunk", "lid", "word", "c", F.lit(None).cast("bigint").alias("doc_id"),
-                          F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("binary").alias("seq"))
-    texts = parts.filter("lid < 0").select("chunk", F.col("lid"), F.col("word"), F.lit(0).cast("bigint").alias("c"),
-                                           "doc_id", "train", "seq")
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, parts.select("chunk").distinct().count())
-    rows = listed.unionByName(texts).repartition(n, "chunk").sortWithinPartitions("chunk", F.col("seq").isNotNull())
-    return _score_chunks(rows, model).withColumn("train_tokens", F.lit(total).cast("bigint"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // bucket_bytes))
+    chunks = materialize(to_chunks(docs, chunk_tokens), "chunks")
+
+    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                g = Grams(row)
+                yield from _ask(row["chunk"], g.keys, g.counts(), len(g.keys_1), buckets)
+
+    def ask_arcs(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        g = Grams(row)
+        got = _read(g.keys, buckets, _answers(answers, 1))
+        total, owned = got >> 1, (got & 1 > 0) & (got > 1)
+        arcs = np.concatenate([np.bincount(c[o], minlength=len(k)) for c, o, k in (
+            (g.context_2, owned[g.ends[0]:g.ends[1]], g.keys_1), (g.context_3, owned[g.ends[1]:], g.keys_2))])
+        some = g.asked(total)
+        kinds = pa.schema(list(zip(_fields(ASK), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))))
+        return pa.Table.from_batches(_ask(row["chunk"], g.keys[some], arcs[some], 0, buckets), kinds)
+
+    asked = chunks.select("chunk", "seq", "keys", "size", "train").mapInArrow(ask_counts, ASK)
+    counted = materialize(asked.groupBy("bucket").applyInArrow(_answer, ANSWER), "gram_counts")
+    total = int(chunks.agg(F.sum("train_tokens")).first()[0] or 0)
+    distinct = int(counted.agg(F.sum("words")).first()[0] or 0)
+    norm = total + 0.5 * (distinct + 1)
+    of_chunk = lambda rows, kind: rows.select("chunk", F.lit(kind).alias("kind"), "bucket", "n")
+    asked = chunks.select("chunk", "seq", "keys", "size", "train").groupBy("chunk").cogroup(
+        of_chunk(counted, 1).groupBy("chunk")).applyInArrow(ask_arcs, ASK)
+    arcs = materialize(asked.groupBy("bucket").applyInArrow(_answer, ANSWER), "context_arcs")
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        g = Grams(row)
+        n = _read(g.keys, buckets, _answers(answers, 1)) >> 1
+        arcs, some = np.ones(g.ends[1], np.int64), g.asked(n)
+        arcs[some] = _read(g.keys[some], buckets, _answers(answers, 2)) >> 1
+        c, root, p = _scores(g, n, arcs, norm, discount)
+        per_text = lambda x: pa.array(np.add.reduceat(x, g.start))
+        return pa.table([pa.array(row["docs"], pa.int64()), pa.array(~g.train), pa.array(g.size),
+                         per_text((c > 0).astype(np.int64)), per_text(root), per_text(p)], names=_fields(SCORED))
+
+    answers = of_chunk(counted, 1).unionByName(of_chunk(arcs, 2))
+    scored = chunks.drop("train_tokens").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
+    return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -138,6 +138,28 @@ def test_automaton_is_a_distribution_and_equals_direct_backoff():
         assert sum(p(h, w) for w in words) + p(h, b"unseen") == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("chunk, size", [(300, 5_000), (2_000_000, 8_000_000)])
+def test_every_gram_seen_in_training_is_kept(clashing, chunk, size):
+    train = crc_mod("doc_id", 5) != 1
+    rows = lm_score.score_documents(clashing, train, chunk_tokens=chunk, bucket_bytes=size).collect()
+    texts = [(r["doc_id"], [b"", *lm_score.words_of(r["text"] or ""), b""]) for r in clashing.collect()]
+    uni, grams = Counter(), Counter()
+    for d, t in texts:
+        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
+            uni.update(t[1:])
+            grams.update(zip(t, t[1:]))
+            grams.update(zip(t, t[1:], t[2:]))
+    m = lm_score.Automaton(dict(uni), grams, sum(uni.values()), len(uni))
+    lid = {w: i for i, w in enumerate(sorted({w for _, t in texts for w in t}))}
+    arcs = {s * len(lid) + lid[w]: a for s, mine in m.arcs.items() for w, a in mine.items()}
+    root = [math.log10((uni[w] + 0.5) / m.norm) for w in lid]
+    reach = [m.state.get((w,), 0) for w in lid]
+    want = [(str(d), lm_score.traverse([lid[w] for w in t[1:]], m.start, arcs, len(lid), m.fail, m.back, root, reach)) for d, t in texts]
+    got = [(str(r["doc_id"]), r["score"]) for r in rows]
+    for (d, x), (e, y) in zip(sorted(want), sorted(got), strict=True):
+        assert d == e and y == pytest.approx(x, rel=1e-9)
+
+
 def test_model_beats_unigrams_on_held_out(spark):
     r = lm_score.op9(spark, SF).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r["s"] > r["b"]
