@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import crc_mod, fresh
+from tallyrank.llm.common import crc_mod, fresh, text_key
 from tallyrank.llm.decontaminate import find_contamination
-from tallyrank.llm.near_join import near_classes
+from tallyrank.llm.near_join import text_classes
 from tallyrank.llm.packing import pack, pieces
 from tallyrank.llm.repeated_passages import remove_repeats
 from tallyrank.llm.toxicity import fit_toxicity
-from tallyrank.session import scratch_path, write_cut
+from tallyrank.session import materialize, scratch_path, write_cut
 
 #: A document goes if its toxicity score is this or more.
 TOXIC = 0.7
@@ -28,15 +28,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One row of each group of near copies: the one with the smallest id, null ids last.
 
-    Of rows that repeat that id one stays. A document without an id is kept, since no group can
-    name it.
+    Groups are of texts, so rows that repeat an id belong to the groups of their own texts. Of
+    rows that repeat a group's smallest id the first one written stays.
     """
-    name = fresh(docs, "_class_id")
-    named = near_classes(docs).select(F.col("class_id").alias(name)).distinct()
-    first = docs.filter(F.col("doc_id").isNotNull()).join(named, F.col("doc_id") == F.col(name), "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    row = fresh(docs, "_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    _, classes = text_classes(numbered)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("bigint").alias("id"), F.col(row).alias("row"))
+    # first of each text, then of each group: large groups are merged before any row moves
+    first = numbered.select(text_key().alias("key"), order.alias("first")).groupBy("key").agg(F.min("first").alias("first"))
+    kept = first.join(classes, "key").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,10 +171,10 @@ def _verify(rows: DataFrame, threshold: float, shingle: int) -> DataFrame:
     return ordered.select("root", "i", "j", "block", "cid", "text").mapInArrow(run, "cid bigint, links bigint, peer bigint")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES,
-                 depth: int = DEPTH, target: float = TARGET, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id; class_id, the smallest id among all texts that links connect;
-    text_id, the smallest id with the same text; n_links, the other texts at the threshold."""
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES,
+                 depth: int = DEPTH, target: float = TARGET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, key of the text), and one row per distinct text: key; rep, its smallest id; root, the
+    same for all texts that links connect; n_links, the other texts at the threshold."""
     rows = materialize(signatures(docs, shingle, trees, depth), "signatures")
     texts = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("labels").alias("labels"))
     texts = materialize(texts.withColumn("cid", F.monotonically_increasing_id()), "texts")
@@ -192,11 +192,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     verified = materialize(_verify(spread, threshold, shingle), "verified")
     links = verified.groupBy("cid").agg(F.sum("links").alias("n_links"))
     joined = components(verified.select(F.col("cid").alias("a"), F.col("peer").alias("b")), "linked")
-    labelled = texts.join(joined, texts["cid"] == joined["node"], "left").join(links, "cid", "left").select(
+    return rows.select("doc_id", "key"), texts.join(joined, texts["cid"] == joined["node"], "left").join(links, "cid", "left").select(
         "key", "rep", F.coalesce("root", "cid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES,
+                 depth: int = DEPTH, target: float = TARGET, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id; class_id, the smallest id among all texts that links connect;
+    text_id, the smallest id with the same text; n_links, the other texts at the threshold."""
+    rows, labelled = text_classes(docs, threshold, shingle, trees, depth, target, block)
     names = labelled.groupBy("root").agg(F.min("rep").alias("class_id"))
     labelled = labelled.join(names, "root")
-    return rows.select("doc_id", "key").join(labelled, "key").select(
+    return rows.join(labelled, "key").select(
         "doc_id", "class_id", F.col("rep").alias("text_id"), "n_links")
 
 

@@ -19,6 +19,16 @@ def test_stages_keep_columns_and_take_effect(spark, clashing):
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
 
 
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text("a"), "en"), (1, text("b"), "en"), (2, text("b"), "fr"), (3, text("c"), "en"), (3, text("d"), "en"),
+            (0, text("d"), "en"), (None, text("e"), "en"), (None, text("e"), "fr"), (None, text("a"), "en"), (4, text("f"), "en"),
+            (4, text("f"), "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = sorted((r["text"], r["doc_id"]) for r in cp.one_of_each_group(spark, docs, SF).collect())
+    assert got == [(text("a"), 1), (text("b"), 1), (text("c"), 3), (text("d"), 0), (text("e"), None), (text("f"), 4)]
+
+
 def test_run(spark):
     out = cp.run(spark, SF)
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
