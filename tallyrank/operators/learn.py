@@ -1,22 +1,25 @@
-"""Learned scorers as MLlib jobs on the history features."""
+"""Learned scorers on the history features: linear models from `linear`, trees from MLlib."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.operators.clean import BUILD, TEST
 from tallyrank.operators.graph import add_random_edges, perturb_features, propagate, subgraph
-from tallyrank.operators.similarity import zscore
+from tallyrank.operators.linear import Logistic, Ridge, fit_logistic, fit_ridge
 from tallyrank.session import materialize
 
+#: Share of the squared standardised weights in the objective of the logistic fits.
+_RIDGE = 0.01
 # fixed values: settings of the three models
 _LR = {"maxIter": 50, "regParam": 0.01}
 _RF = {"numTrees": 50, "maxDepth": 4, "seed": 42}
@@ -38,16 +41,29 @@ def p_one(column: str = "probability") -> Column:
     return F.get(vector_to_array(column), 1)
 
 
+def listed(columns: Sequence[str]) -> Column:
+    """Numeric columns as one vector."""
+    return F.array(*[F.col(c).cast("double") for c in columns])
+
+
+class HistoryScorer(NamedTuple):
+    columns: list[str]
+    model: Logistic
+
+
 def fit_history_scorer(train: DataFrame, columns: Sequence[str], label: str = "fail",
-                       max_pos_weight: float = 50.0, kind: str = "lr") -> PipelineModel:
+                       max_pos_weight: float = 50.0, kind: str = "lr") -> HistoryScorer | PipelineModel:
     """Failure probability from history features; failures weigh more."""
-    model = (LogisticRegression(labelCol=label, weightCol="_weight", **_LR) if kind == "lr"
-             else GBTClassifier(labelCol=label, weightCol="_weight", **_GB))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), model]).fit(
-        weighted(train, label, max_pos_weight))
+    rows = weighted(train, label, max_pos_weight)
+    if kind == "lr":
+        return HistoryScorer(list(columns), fit_logistic(rows, listed(columns), F.col(label), F.col("_weight"), _RIDGE))
+    model = GBTClassifier(labelCol=label, weightCol="_weight", **_GB)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), model]).fit(rows)
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "p_fail") -> DataFrame:
+def score(model: HistoryScorer | PipelineModel, df: DataFrame, out: str = "p_fail") -> DataFrame:
+    if isinstance(model, HistoryScorer):
+        return df.withColumn(out, model.model.probability(listed(model.columns)))
     done = model.transform(df.withColumn("_weight", F.lit(1.0)))
     return done.withColumn(out, p_one()).drop("features", "rawPrediction", "probability", "prediction", "_weight")
 
@@ -61,15 +77,14 @@ def text_rows(executions: DataFrame) -> DataFrame:
     return rows.select(*TEST, "x.*").filter("weight > 0")
 
 
-def fit_text_scorer(executions: DataFrame, vectors: DataFrame, vec: str = "embedding"):
-    """Failure probability of a test from its text vector."""
-    rows = text_rows(executions).join(vectors, TEST).withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
-    return LogisticRegression(labelCol="label", weightCol="weight", **_LR).fit(rows)
+def fit_text_scorer(executions: DataFrame, vectors: DataFrame, vec: str = "embedding") -> Logistic:
+    """Failure probability of a test from its text vector; tests without a vector teach nothing."""
+    rows = text_rows(executions).join(vectors, TEST)
+    return fit_logistic(rows, F.col(vec), F.col("label"), F.col("weight"), _RIDGE)
 
 
-def score_text(model, vectors: DataFrame, vec: str = "embedding", out: str = "p_fail") -> DataFrame:
-    rows = vectors.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
-    return model.transform(rows).withColumn(out, p_one()).select(*TEST, out)
+def score_text(model: Logistic, vectors: DataFrame, vec: str = "embedding", out: str = "p_fail") -> DataFrame:
+    return vectors.select(*TEST, model.probability(F.transform(vec, lambda x: x.cast("double"))).alias(out))
 
 
 def build_commit_vector(df: DataFrame, vectors: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
@@ -150,22 +165,18 @@ def select_by_holdout(df: DataFrame, columns: Sequence[str], label: str = "fail"
     return GBTRegressor(labelCol=label, maxIter=10, seed=42, **candidates[best]).fit(rows), candidates[best], errors
 
 
-def fit_cold_start(train: DataFrame, columns: Sequence[str], vec: str = "embedding") -> dict:
-    """One linear model per feature from a vector, each feature standardised."""
-    z = zscore(train, columns).withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
-    scale = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    models = {c: LinearRegression(labelCol=c, regParam=0.1, solver="normal").fit(z) for c in columns}
-    return {"models": models, "scale": scale.asDict()}
+def fit_cold_start(train: DataFrame, columns: Sequence[str], vec: str = "embedding", ridge: float = 0.1) -> tuple[list[str], Ridge]:
+    """One linear model per feature from a vector, all features from one Gram matrix."""
+    return list(columns), fit_ridge(train, F.col(vec), [F.col(c) for c in columns], ridge)
 
 
-def predict_cold_start(fitted: dict, df: DataFrame, vec: str = "embedding", blend: float = 1.0) -> DataFrame:
+def predict_cold_start(fitted: tuple[list[str], Ridge], df: DataFrame, vec: str = "embedding", blend: float = 1.0) -> DataFrame:
     """Predicted features; `blend` below 1 keeps that much less of the prediction."""
-    out = df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
-    s = fitted["scale"]
-    for c, model in fitted["models"].items():
-        out = model.setPredictionCol(f"_{c}").transform(out)
-        value = F.col(f"_{c}") * F.lit(s[f"s_{c}"]) + F.lit(s[f"m_{c}"])
+    columns, model = fitted
+    out = {}
+    for k, c in enumerate(columns):
+        value = model.predict(F.transform(vec, lambda x: x.cast("double")), k)
         if c in df.columns and blend < 1.0:
             value = F.lit(blend) * value + F.lit(1 - blend) * F.coalesce(F.col(c), value)
-        out = out.withColumn(c, value).drop(f"_{c}")
-    return out.drop("features")
+        out[c] = value
+    return df.withColumns(out)

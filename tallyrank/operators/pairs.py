@@ -1,30 +1,45 @@
-"""Counting what two nodes share, without emitting all pairs of a large bucket.
+"""Counting what two nodes share, without emitting all pairs of every bucket.
 
 `members` has one distinct row per (scope, bucket, node): a failing test of a build, a
-test touched by a commit, a test in a component.
-
-Buckets of ordinary size are self-joined. Of a hot bucket, only those nodes are paired
-for which the bucket can still decide the result. A pair that must share `need` buckets
-and shares none of the ordinary ones shares `need` hot ones, so with each node's hot
-buckets ordered from small to large both nodes hold a common one among all but their
-last `need - 1`. The largest bucket is thus never expanded for a node that must share
-two. Pairs found either way then get their exact hot count from an equi-join. Expanded
-buckets are cut into blocks, so no task sees more than a block by a block.
+test touched by a commit, a test in a component. Three ways give the same counts; the
+numbers of pair rows that each would make are known before any is made, and the smallest
+is taken.
+
+`prefix`. A node that must share `need` of its n buckets with another one shares one among
+any n - need + 1 of them. Nodes order their buckets from rare to common, so only this
+prefix is joined, and large buckets fall out of it. A pair's common prefix buckets, plus
+the fewer of the buckets that either node has behind the last of them, bound what it can
+share: pairs that cannot reach `need` are dropped, pairs without anything behind it are
+exact, and the rest are counted from the buckets of the smaller node.
+
+`product`. Where most pairs share much, nodes are cut into blocks within their scope and
+the buckets into stretches. Two blocks meet in a stretch as 0/1 matrices, whose product has
+each pair once instead of once a bucket. Blocks without a common bucket give nothing.
+
+`join`. All buckets are joined with themselves, the cheapest way for few pairs.
+
+Joined buckets of more than `hot` rows are cut into blocks, so no task sees more than a
+block by a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyrank.operators.scale import number_rows
 from tallyrank.session import materialize
 
 HOT_BUCKET = 2000
 BLOCK = 500
+#: Buckets of one stretch of the product.
+STRETCH = 4096
+#: Pair rows below which the plain join is taken without weighing the others.
+FEW = 1_000_000
 
 
 def partitions(df: DataFrame) -> int:
@@ -32,63 +47,152 @@ def partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def _joined(rows: DataFrame, block: int) -> DataFrame:
-    """Pairs a < b inside each bucket; `_size` is the number of its rows here."""
-    parts = F.ceil(F.col("_size") / block).cast("int")
+def _joined(rows: DataFrame, hot: int, block: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Pairs a < b inside each bucket; columns of `carry` come once for either node."""
+    rows = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "bucket")
+    parts = F.when(F.col("_size") > hot, F.ceil(F.col("_size") / block)).otherwise(1).cast("int")
     mine = F.pmod(F.col("id"), parts)
     every = F.explode(F.sequence(F.lit(0), parts - 1))
-    left = rows.select("bucket", F.col("id").alias("a"), mine.alias("_i"), every.alias("_j"))
-    right = rows.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), every.alias("_ri"), mine.alias("_rj"))
+    left = rows.select("bucket", F.col("id").alias("a"), mine.alias("_i"), every.alias("_j"), *[F.col(c).alias(f"{c}_a") for c in carry])
+    right = rows.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), every.alias("_ri"), mine.alias("_rj"),
+                        *[F.col(c).alias(f"{c}_b") for c in carry])
     # few input bytes make many pairs, so the partition count is set, not coalesced by size
     n = partitions(rows)
     left, right = left.repartition(n, "bucket", "_i", "_j"), right.repartition(n, "_bucket", "_ri", "_rj")
     same = (F.col("bucket") == F.col("_bucket")) & (F.col("_i") == F.col("_ri")) & (F.col("_j") == F.col("_rj"))
-    return left.join(right, same & (F.col("a") < F.col("b"))).select("a", "b")
+    return left.join(right, same & (F.col("a") < F.col("b"))).select("a", "b", *[f"{c}_{s}" for c in carry for s in "ab"])
+
+
+def _by_join(rows: DataFrame, hot: int, block: int) -> DataFrame:
+    return _joined(rows, hot, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def prefix_rows(rows: DataFrame) -> DataFrame:
+    """Rows of each node's prefix, with `pos`, the bucket's place among the node's, rare ones first."""
+    placed = number_rows(rows, ["id"], [F.col("bucket")], "pos")
+    return placed.filter(F.col("pos") <= F.col("n") - F.col("need") + 1)
+
+
+def _by_prefix(rows: DataFrame, prefix: DataFrame, nodes: DataFrame, hot: int, block: int) -> DataFrame:
+    found = _joined(prefix.select("id", "bucket", "pos"), hot, block, ["pos"]).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("seen"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    of = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("need").alias(f"need_{s}"))
+    behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    found = found.join(of("a"), "a").join(of("b"), "b").withColumn("behind", behind)
+    found = materialize(found.filter(F.col("seen") + F.col("behind") >= F.greatest("need_a", "need_b")).select(
+        "a", "b", "seen", "behind", "n_a", "n_b"), "candidates")
+    smaller = F.col("n_a") <= F.col("n_b")
+    open_ = found.filter("behind > 0").select(
+        "a", "b", F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("_other"))
+    theirs = rows.select(F.col("id").alias("_other"), "bucket")
+    counted = open_.join(rows.select("id", "bucket"), "id").join(theirs, ["_other", "bucket"]).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"))
+    return found.filter("behind = 0").select("a", "b", F.col("seen").alias("shared")).unionByName(counted)
+
+
+def _by_product(rows: DataFrame, nodes: DataFrame, block: int, stretch: int) -> DataFrame:
+    blocks = nodes.withColumn("i", F.floor(F.col("id") / block).cast("int"))
+    reach = blocks.groupBy("scope").agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"))
+    rows = rows.join(reach, "scope").select(
+        "id", "bucket", F.floor(F.col("id") / block).cast("int").alias("_own"), F.floor(F.col("bucket") / stretch).cast("int").alias("c"), "_lo", "_hi")
+    left = rows.select("id", "bucket", F.col("_own").alias("i"), F.explode(F.sequence("_own", "_hi")).alias("j"), "c")
+    # fresh aliases: both sides come from one table
+    right = rows.select(F.col("id").alias("id"), F.col("bucket").alias("bucket"), F.explode(F.sequence("_lo", "_own")).alias("i"),
+                        F.col("_own").alias("j"), F.col("c").alias("c"))
+
+    def product(key, mine: pa.Table, other: pa.Table) -> pa.Table:
+        i, j = key[0].as_py(), key[1].as_py()
+        (x, u), (y, v) = ((t.column("id").to_numpy(), t.column("bucket").to_numpy()) for t in (mine, other))
+        common = np.intersect1d(u, v)
+        p = np.zeros((block, block), np.float32)
+        if len(common):
+            p = _incidence(x - i * block, u, common, block) @ _incidence(y - j * block, v, common, block).T
+        a, b = np.nonzero(np.triu(p, 1) if i == j else p)
+        return pa.table({"a": a + i * block, "b": b + j * block, "shared": p[a, b].astype(np.int64)})
+
+    keys = ["i", "j", "c"]
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, "a bigint, b bigint, shared bigint")
+    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
+
+def _incidence(row: np.ndarray, bucket: np.ndarray, common: np.ndarray, block: int) -> np.ndarray:
+    """0/1 matrix of a block's nodes by the buckets of `common`; counts up to 2^24 are exact."""
+    at = np.minimum(np.searchsorted(common, bucket), len(common) - 1)
+    hit = common[at] == bucket
+    out = np.zeros((block, len(common)), np.float32)
+    out[row[hit], at[hit]] = 1
+    return out
 
 
 def pair_counts(members: DataFrame, scope: Sequence[str] = ("project",),
                 need: Callable[[Column], Column] | None = None,
-                hot: int = HOT_BUCKET, block: int = BLOCK) -> DataFrame:
+                hot: int = HOT_BUCKET, block: int = BLOCK, least: DataFrame | None = None,
+                way: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """Columns scope, src, dst, shared, n_src, n_dst for every pair that shares at least
     `need(n)` buckets for both of its node sizes n; other pairs may be missing.
 
-    Nodes are numbered in name order first, so the many pair rows hold two numbers.
+    `least` (scope, least) raises the need of whole scopes. `way` fixes one of "join",
+    "prefix" and "product". Nodes and buckets are numbered by name and by scope and size
+    first, so the many pair rows hold two numbers.
     """
     scope = list(scope)
-    need = need or (lambda n: F.lit(1))
+    of_scope = (F.struct(*scope) if scope else F.lit(0)).alias("scope")
+    members = members.select(*scope, "bucket", "node")
     totals = members.groupBy(*scope, "node").agg(F.count(F.lit(1)).alias("n"))
-    nodes = number_rows(totals, [], [F.col(c) for c in [*scope, "node"]], "id")
-    rows = members.join(nodes, [*scope, "node"]).select(
-        F.struct(*scope, "bucket").alias("bucket") if scope else F.col("bucket"), "id", "n")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"))
-    tagged = materialize(rows.join(sizes, "bucket"))
-    if tagged.filter(F.col("_size") > hot).isEmpty():
-        counts = _joined(tagged, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    wanted = need(F.col("n")) if need else F.lit(1)
+    if least is not None:
+        totals = totals.join(least, scope)
+        wanted = F.greatest(wanted, F.col("least"))
+    totals = totals.withColumn("need", F.greatest(wanted, F.lit(1)).cast("bigint"))
+    nodes = materialize(number_rows(totals, [], [F.col(c) for c in [*scope, "node"]], "id"), "nodes")
+    sizes = members.groupBy(*scope, "bucket").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = number_rows(sizes, [], [*[F.col(c) for c in scope], F.col("_size"), F.col("bucket")], "_no")
+    rows = members.join(sizes, [*scope, "bucket"]).join(nodes, [*scope, "node"]).select(
+        of_scope, "id", F.col("_no").alias("bucket"), "_size", "n", "need")
+    rows = materialize(rows, "incidence")
+    if way is None:
+        way, prefix = _way(rows, nodes, scope)
     else:
-        counts = _split_counts(tagged, need, hot, block)
-    left = nodes.select(*scope, F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("id").alias("a"))
-    right = nodes.select(F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("id").alias("b"))
-    out = counts.join(left, "a").join(right, "b")
-    enough = F.greatest(need(F.col("n_src")), need(F.col("n_dst")))
-    return out.filter(F.col("shared") >= enough).select(*scope, "src", "dst", "shared", "n_src", "n_dst")
-
-
-def _split_counts(tagged, need, hot, block) -> DataFrame:
-    small = tagged.filter(F.col("_size") <= hot)
-    big = tagged.filter(F.col("_size") > hot)
-    cold = materialize(_joined(small, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("cold")))
-    order = Window.partitionBy("id").orderBy("_size", "bucket")
-    ranked = big.withColumns({
-        "_pos": F.row_number().over(order), "_h": F.count(F.lit(1)).over(Window.partitionBy("id")),
-    })
-    prefix = ranked.filter(F.col("_pos") <= F.col("_h") - need(F.col("n")) + 1).select("bucket", "id")
-    prefix = prefix.join(prefix.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")), "bucket")
-    found = _joined(prefix, block).distinct()
-    candidates = materialize(cold.select("a", "b").unionByName(found).distinct())
-    # exact hot count: the hot buckets of a that b is in as well
-    mine = big.select(F.col("id").alias("a"), "bucket")
-    theirs = big.select(F.col("id").alias("b"), "bucket")
-    both = candidates.join(mine, "a").join(theirs, ["b", "bucket"])
-    hot_counts = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hot"))
-    out = candidates.join(cold, ["a", "b"], "left").join(hot_counts, ["a", "b"], "left")
-    return out.select("a", "b", (F.coalesce("cold", F.lit(0)) + F.coalesce("hot", F.lit(0))).alias("shared"))
+        prefix = prefix_rows(rows) if way == "prefix" else None
+    if way == "prefix":
+        counts = _by_prefix(rows, prefix, nodes, hot, block)
+    elif way == "product":
+        counts = _by_product(rows, nodes.select(of_scope, "id"), block, stretch)
+    else:
+        counts = _by_join(rows.select("id", "bucket"), hot, block)
+    left = nodes.select(*scope, F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("need").alias("_need_a"), F.col("id").alias("a"))
+    right = nodes.select(F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("need").alias("_need_b"), F.col("id").alias("b"))
+    out = counts.join(left, "a").join(right, "b").filter(F.col("shared") >= F.greatest("_need_a", "_need_b"))
+    return out.select(*scope, "src", "dst", "shared", "n_src", "n_dst")
+
+
+def _way(rows: DataFrame, nodes: DataFrame, scope: list[str]) -> tuple[str, DataFrame | None]:
+    """The way with the fewest pair rows."""
+    full, most = rows.agg(F.sum("_size") / 2, F.max("need")).first()
+    if not full or full <= FEW:
+        return "join", None
+    per_scope = nodes.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
+    dense = per_scope.agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0]
+    if most > 1:
+        prefix = materialize(prefix_rows(rows), "prefixes")
+        short = prefix.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0] or 0
+        # candidates are joined with buckets once more to be counted
+        if 4 * short <= min(full, dense):
+            return "prefix", prefix
+    return ("product" if 2 * dense <= full else "join"), None
+
+
+def busiest_overlap(members: DataFrame, scope: Sequence[str] = ("project",), busiest: int = 64) -> DataFrame:
+    """(scope, least): the largest overlap among the `busiest` nodes of each scope, a bound from
+    below on the largest one of all, from at most `busiest` rows a bucket."""
+    from pyspark.sql.window import Window
+
+    scope = list(scope)
+    totals = members.groupBy(*scope, "node").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*scope).orderBy(F.desc("n"), "node")
+    top = totals.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= busiest).select(*scope, "node")
+    rows = materialize(members.join(top, [*scope, "node"], "left_semi").select(*scope, "bucket", "node"), "busiest")
+    other = rows.withColumnRenamed("node", "_other")
+    pairs = rows.join(other, [*scope, "bucket"]).filter("node < _other").groupBy(*scope, "node", "_other").agg(F.count(F.lit(1)).alias("c"))
+    found = pairs.groupBy(*scope).agg(F.max("c").alias("least"))
+    return rows.select(*scope).distinct().join(found, scope, "left").na.fill(1, ["least"])

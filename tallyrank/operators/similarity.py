@@ -1,91 +1,265 @@
-"""Exact nearest neighbours by blocks, and what is built on them.
-
-Queries and base are cut into hash blocks. Each (query block, base block) pair is one
-task with a matrix product that returns the k best per query, so neither side is ever
-held whole and no pair of vectors leaves a task. A query then merges k rows per base
-block. The result is exact: there is no candidate limit.
+"""Exact nearest neighbours by balls, and what is built on them.
+
+Base rows are gathered in balls around pivots. A query first meets the balls nearest to it that
+hold k rows. The k-th best of these is a bound from below, and the triangle inequality bounds from
+above what any other ball can offer: a ball that cannot reach the bound is never visited. Visits of
+one ball are cut into blocks on both sides; each pair of blocks is one task with a matrix product
+that returns the k best per query, so neither side is ever held whole and no pair of vectors leaves
+a task. Rows near the k-th best are measured again term by term, so equal vectors give equal numbers
+wherever they meet, and large norms cost no digits. Of base rows with equal vectors only the k + 1
+smallest ids can be neighbours; the others are left out before anything is compared. The result is
+exact; `probe` asks for the nearest balls only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyrank.functions.hashing import hash_int, uniform
 from tallyrank.operators.scale import exact_quantiles
+from tallyrank.session import materialize
 
 BLOCK = 4096
+#: Most balls, so pivots and radii stay small enough for every task. Larger balls are cut into blocks.
+BALLS = 1024
+#: Pairs measured term by term at once.
+PAIRS = 100_000
 
 Part = tuple[str, str, float]  # vector column, metric, weight
 
 
-def _unit(a: np.ndarray) -> np.ndarray:
-    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
+
+
+def _space(a: np.ndarray, metric: str) -> np.ndarray:
+    """Where the metric is a function of Euclidean distance: unit vectors for the cosine."""
+    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12) if metric == "cosine" else a
+
+
+def _of_distance(d: np.ndarray, metric: str) -> np.ndarray:
+    return 1.0 - d * d / 2.0 if metric == "cosine" else -d if metric == "euclidean" else np.exp(-d)
+
+
+def _distances(q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """All distances by one product, and how far off they may be."""
+    c = b.mean(axis=0)
+    q, b = q - c, b - c
+    qq, bb = (q * q).sum(1), (b * b).sum(1)
+    d = np.sqrt(np.maximum(qq[:, None] + bb[None, :] - 2.0 * (q @ b.T), 0.0))
+    return d, float(np.sqrt(1e-15 * q.shape[1] * (qq.max() + bb.max())))
 
 
-def _similarity(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+def _rough(q: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """All similarities by one product, and how far off they may be."""
     if metric == "cosine":
-        return _unit(q) @ _unit(b).T
-    sq = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (q @ b.T)
-    dist = np.sqrt(np.maximum(sq, 0.0))
-    return -dist if metric == "euclidean" else np.exp(-dist)
+        return _space(q, metric) @ _space(b, metric).T, 1e-14 * q.shape[1]
+    d, off = _distances(q, b)
+    return _of_distance(d, metric), off
 
 
-def _best_rows(ids, base_ids, sim, k, skip_self):
-    """(query, neighbour, similarity) of the k best; ties by neighbour id."""
+def _exact(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Similarity of row pairs, term by term."""
+    if metric == "cosine":
+        return (_space(q, metric) * _space(b, metric)).sum(axis=1)
+    return _of_distance(np.sqrt(((q - b) ** 2).sum(axis=1)), metric)
+
+
+def best_of_block(q_ids: np.ndarray, q: list[np.ndarray], b_ids: np.ndarray, b: list[np.ndarray], k: int,
+                  parts: Sequence[Part], skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, neighbour, similarity) of the k best rows of b for each row of q; ties by neighbour id."""
+    rough, off = np.zeros((len(q_ids), len(b_ids))), 1e-15
+    for x, y, (_, metric, weight) in zip(q, b, parts):
+        sim, error = _rough(x, y, metric)
+        rough, off = rough + weight * sim, off + abs(weight) * error
     if skip_self:
-        sim = np.where(np.asarray(ids)[:, None] == np.asarray(base_ids)[None, :], -np.inf, sim)
-    k = min(k, sim.shape[1])
-    kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
-    out_q, out_b, out_s = [], [], []
-    for i in range(sim.shape[0]):
-        hit = np.flatnonzero((sim[i] >= kth[i]) & np.isfinite(sim[i]))
-        hit = hit[np.lexsort((base_ids[hit], -sim[i][hit]))][:k]
-        out_q += [ids[i]] * len(hit)
-        out_b += list(base_ids[hit])
-        out_s += list(sim[i][hit])
-    return pd.DataFrame({"query": out_q, "neighbor": out_b, "similarity": out_s})
+        rough[q_ids[:, None] == b_ids[None, :]] = -np.inf
+    low = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
+    row, col = np.nonzero((rough >= low[:, None] - 2 * off) & np.isfinite(rough))
+    sim = np.empty(len(row))
+    for at in range(0, len(row), PAIRS):
+        r, c = row[at:at + PAIRS], col[at:at + PAIRS]
+        sim[at:at + PAIRS] = sum(weight * _exact(x[r], y[c], metric) for x, y, (_, metric, weight) in zip(q, b, parts))
+    order = np.lexsort((np.unique(b_ids, return_inverse=True)[1][col], -sim, row))
+    row, col, sim = row[order], col[order], sim[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    best = place < k
+    return q_ids[row[best]], b_ids[col[best]], sim[best]
+
+
+class Balls:
+    """Pivots of all parts with the radii and sizes of their balls; bounded by BALLS."""
+
+    def __init__(self, pivots: list[np.ndarray], parts: Sequence[Part]) -> None:
+        self.parts = parts
+        self.pivots = [_space(p, metric) for p, (_, metric, _) in zip(pivots, parts)]
+        self.radius: list[np.ndarray] = []
+        self.size = np.empty(0, np.int64)
+
+    def nearest(self, vectors: list[np.ndarray]) -> np.ndarray:
+        """The ball of each row, by the first part."""
+        return _distances(_space(vectors[0], self.parts[0][1]), self.pivots[0])[0].argmin(axis=1)
+
+    def reach(self, vectors: list[np.ndarray], ball: np.ndarray) -> list[np.ndarray]:
+        """Distances of rows to their pivot, one array a part."""
+        return [np.sqrt(((_space(v, metric) - p[ball]) ** 2).sum(axis=1)) for v, p, (_, metric, _) in zip(vectors, self.pivots, self.parts)]
+
+    def bounds(self, vectors: list[np.ndarray]) -> np.ndarray:
+        """What each ball can offer each row at best."""
+        out = 0.0
+        for v, p, r, (_, metric, weight) in zip(vectors, self.pivots, self.radius, self.parts):
+            d, off = _distances(_space(v, metric), p)
+            out = out + weight * _of_distance(np.maximum(d - r[None, :] - off - 1e-12, 0.0), metric)
+        return out + 1e-12
+
+    def order(self, vectors: list[np.ndarray]) -> np.ndarray:
+        """Balls of each row from the nearest pivot outwards, empty ones last."""
+        d = _distances(_space(vectors[0], self.parts[0][1]), self.pivots[0])[0]
+        return np.argsort(np.where(self.size[None, :] > 0, d, np.inf), axis=1, kind="stable")
+
+    def first(self, vectors: list[np.ndarray], want: int) -> np.ndarray:
+        """Marks of the nearest balls that hold `want` rows together."""
+        order = self.order(vectors)
+        before = np.cumsum(self.size[order], axis=1) - self.size[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, (before < want) & (self.size[order] > 0), axis=1)
+        return out
+
+
+def _meet(visits: DataFrame, base: DataFrame, cuts: DataFrame, k: int, parts: Sequence[Part], skip_self: bool, id_type: str) -> DataFrame:
+    """The k best per query and pair of blocks. `visits` and `base` have _ball, _id and vectors; `cuts`
+    has the numbers of blocks of a ball on either side (_ball, _nq, _nb)."""
+    block = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    vecs = list(dict.fromkeys(f"_v_{p[0]}" for p in parts))
+    cuts = F.broadcast(cuts)  # a row per ball, at most BALLS
+    q = visits.join(cuts, "_ball").select("_ball", "_id", *vecs, block("_nq").alias("_q"), each("_nb").alias("_b"))
+    b = base.join(cuts, "_ball").select("_ball", "_id", *vecs, block("_nb").alias("_b"), each("_nq").alias("_q"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if left.num_rows and right.num_rows:
+            lv, rv = ([_matrix(t.column(f"_v_{p[0]}")) for p in parts] for t in (left, right))
+            ids = (t.column("_id").to_numpy() for t in (left, right))
+            out = best_of_block(next(ids), lv, next(ids), rv, k, parts, skip_self)
+        return pa.table({"query": pa.array(out[0], left.schema.field("_id").type), "neighbor": pa.array(out[1], left.schema.field("_id").type),
+                         "similarity": pa.array(out[2], pa.float64())})
+
+    keys = ["_ball", "_q", "_b"]
+    return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(best, f"query {id_type}, neighbor {id_type}, similarity double")
+
+
+def _placed(rows: DataFrame, parts: Sequence[Part], place: Callable[[list[np.ndarray], pa.RecordBatch], list[tuple[np.ndarray, ...]]],
+            schema: str) -> DataFrame:
+    """Rows made from batches of vectors: `place` gives columns of arrays."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                yield place([_matrix(some.column(f"_v_{p[0]}")) for p in parts], some)
+
+    return rows.mapInArrow(run, schema)
 
 
 def knn(query: DataFrame, base: DataFrame, k: int, parts: Sequence[Part] = (("embedding", "cosine", 1.0),),
-        id_col: str = "vec_id", skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+        id_col: str = "vec_id", skip_self: bool = False, block: int = BLOCK, probe: int | None = None,
+        visits: dict | None = None) -> DataFrame:
     """The k most similar base rows of each query row: query, neighbor, similarity, rank.
 
-    `parts` adds weighted similarities: "cosine", "euclidean" (as minus the distance) or
-    "exp_euclidean".
+    `parts` adds similarities with weights of at least 0: "cosine", "euclidean" (as minus the
+    distance) or "exp_euclidean". Rows without a vector have no neighbours and are none. With
+    `probe` a query visits that many nearest balls only, and neighbours may be missed; without it
+    the result is exact. `visits` gets the numbers of (query, ball) visits `made` and `possible`.
     """
     spark = query.sparkSession
-    vecs = [p[0] for p in parts]
-    nq, nb = query.count(), base.count()
-    cores = spark.sparkContext.defaultParallelism
-    q_blocks = max(1, -(-nq // block), min(cores, nq // 256))
-    b_blocks = max(1, -(-nb // block))
-    on = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vecs = list(dict.fromkeys(p[0] for p in parts))
+    id_type = dict(query.dtypes)[id_col]
     # fresh aliases: both sides may come from one table
     cols = [F.col(id_col).alias("_id"), *[F.col(v).alias(f"_v_{v}") for v in vecs]]
-    q = query.select(*cols, on(q_blocks).alias("_q")).select("*", each(b_blocks).alias("_b"))
-    b = base.select(*cols, on(b_blocks).alias("_b")).select("*", each(q_blocks).alias("_q"))
-    id_type = dict(query.dtypes)[id_col]
+    there = " and ".join(f"_v_{v} is not null" for v in vecs)
+    q, b = query.select(*cols).filter(there), base.select(*cols).filter(there)
+    nq, nb = q.count(), b.count()
+    n_balls = min(BALLS, max(1, -(-nb // block)))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbor"))
+    if n_balls == 1:
+        cuts = [(0, max(1, -(-nq // block), min(spark.sparkContext.defaultParallelism, nq // 256)), 1)]
+        whole = lambda rows: rows.withColumn("_ball", F.lit(0))
+        found = _meet(whole(q), whole(b), spark.createDataFrame(cuts, "_ball int, _nq int, _nb int"), k, parts, skip_self, id_type)
+        if visits is not None:
+            visits.update(made=nq, possible=nq)
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    # a k-th equal vector with a smaller id always comes before
+    same = Window.partitionBy(*[f"_v_{v}" for v in vecs]).orderBy("_id")
+    b = b.withColumn("_same", F.row_number().over(same)).filter(F.col("_same") <= k + 1).drop("_same")
+    drawn = b.orderBy(F.xxhash64("_id"), "_id").limit(n_balls).toArrow()
+    balls = Balls([_matrix(drawn.column(f"_v_{p[0]}")) for p in parts], parts)
+
+    def assign(vectors: list[np.ndarray], some: pa.RecordBatch) -> pa.RecordBatch:
+        ball = balls.nearest(vectors)
+        extra = [pa.array(ball, pa.int32()), *[pa.array(r) for r in balls.reach(vectors, ball)]]
+        return pa.RecordBatch.from_arrays([*some.columns, *extra], names=[*some.schema.names, "_ball", *[f"_r{i}" for i in range(len(parts))]])
+
+    kinds = {n: t for n, t in b.dtypes}
+    schema = ", ".join(f"{n} {t}" for n, t in kinds.items())
+    base_rows = materialize(_placed(b, parts, assign, schema + ", _ball int, " + ", ".join(f"_r{i} double" for i in range(len(parts)))), "balls")
+    stats = base_rows.groupBy("_ball").agg(F.count(F.lit(1)).alias("n"), *[F.max(f"_r{i}").alias(f"r{i}") for i in range(len(parts))]).collect()
+    balls.size = np.zeros(len(balls.pivots[0]), np.int64)
+    balls.radius = [np.zeros(len(balls.size)) for _ in parts]
+    for r in stats:  # a row per ball
+        balls.size[r["_ball"]] = r["n"]
+        for i, radius in enumerate(balls.radius):
+            radius[r["_ball"]] = r[f"r{i}"]
+    want = k + 1 if skip_self else k
+
+    def first(vectors: list[np.ndarray], some: pa.RecordBatch) -> pa.RecordBatch:
+        row, ball = np.nonzero(balls.first(vectors, want) if probe is None else _nearest_marks(balls.order(vectors), probe))
+        return pa.RecordBatch.from_arrays([some.column("_id").take(pa.array(row)), pa.array(ball, pa.int32())], names=["_id", "_ball"])
+
+    def rest(vectors: list[np.ndarray], some: pa.RecordBatch) -> pa.RecordBatch:
+        low = some.column("_low").to_numpy(zero_copy_only=False)
+        low = np.where(np.isnan(low), -np.inf, low)
+        open_ = (balls.bounds(vectors) >= low[:, None]) & ~balls.first(vectors, want) & (balls.size > 0)[None, :]
+        row, ball = np.nonzero(open_)
+        return pa.RecordBatch.from_arrays([some.column("_id").take(pa.array(row)), pa.array(ball, pa.int32())], names=["_id", "_ball"])
+
+    def visit(rows: DataFrame) -> DataFrame:
+        plan = materialize(rows, "visits")
+        counts = plan.groupBy("_ball").count().collect()  # a row per ball
+        if visits is not None:
+            visits["made"] = visits.get("made", 0) + sum(r["count"] for r in counts)
+        cuts = [(r["_ball"], -(-r["count"] // block), max(1, -(-int(balls.size[r["_ball"]]) // block))) for r in counts]
+        cuts = spark.createDataFrame(cuts, "_ball int, _nq int, _nb int")
+        return _meet(plan.join(q, "_id"), base_rows, cuts, k, parts, skip_self, id_type)
+
+    if visits is not None:
+        visits.update(made=0, possible=nq * int((balls.size > 0).sum()))
+    ids = f"_id {id_type}, _ball int"
+    found = visit(_placed(q, parts, first, ids))
+    if probe is None:
+        found = materialize(found, "nearest")
+        low = found.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query").alias("_id"), F.col("similarity").alias("_low"))
+        found = found.unionByName(visit(_placed(q.join(low, "_id", "left"), parts, rest, ids)))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _nearest_marks(order: np.ndarray, probe: int) -> np.ndarray:
+    out = np.zeros(order.shape, bool)
+    np.put_along_axis(out, order[:, :probe], True, axis=1)
+    return out
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "neighbor": [], "similarity": []})
-        total = 0.0
-        for col, metric, weight in parts:
-            lv, rv = (np.stack(x[f"_v_{col}"].to_numpy()).astype(np.float64) for x in (left, right))
-            total = total + weight * _similarity(lv, rv, metric)
-        return _best_rows(left["_id"].to_numpy(), right["_id"].to_numpy(), total, k, skip_self)
 
-    found = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(
-        best, f"query {id_type}, neighbor {id_type}, similarity double")
-    merged = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbor")
-    return found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
+def recall(approximate: DataFrame, exact: DataFrame) -> float:
+    """The share of exact (query, neighbor) rows that the other result has."""
+    n = exact.count()
+    keys = ["query", "neighbor"]
+    return exact.join(approximate.select(*keys), keys, "left_semi").count() / n if n else 1.0
 
 
 # ---- graphs from vectors --------------------------------------------------
@@ -105,9 +279,10 @@ def knn_graph(emb: DataFrame, k: int = 10, id_col: str = "vec_id") -> DataFrame:
 
 
 def knn_adjacency(features: DataFrame, k: int = 5, threshold: float = 0.5, vec: str = "embedding",
-                  id_col: str = "vec_id") -> DataFrame:
-    """Symmetric 0/1 edges to cosine neighbours; with at most k nodes all are connected."""
-    few = features.limit(k + 1).count() <= k
+                  id_col: str = "vec_id", connect_few: bool = True) -> DataFrame:
+    """Symmetric 0/1 edges to cosine neighbours. With at most k nodes all are connected, as
+    published; `connect_few=False` holds the threshold there as well."""
+    few = connect_few and features.limit(k + 1).count() <= k
     n = knn(features, features, k, ((vec, "cosine", 1.0),), id_col, skip_self=True)
     if not few:
         n = n.filter(F.col("similarity") >= threshold)

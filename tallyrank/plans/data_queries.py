@@ -20,6 +20,7 @@ from tallyrank.operators.history import history, snapshot
 from tallyrank.operators.ranking import rank_in_build
 from tallyrank.operators.textops import hash_embedding
 from tallyrank.plans import oracle as o
+from tallyrank.plans.fit_sql import logistic_sql, ridge_sql
 from tallyrank.plans.fixtures import executions, raw_events, raw_lines, table
 from tallyrank.plans.graph_queries import CF, MEAN_W, VEC, _draws, _pairs, emb, hash32, structured
 from tallyrank.plans.ranking_queries import BIN, PER, RANKED, STRATEGY_NAMES, STRATEGY_SQL, _TWO, binary, ranked, strategies, two_methods
@@ -379,7 +380,7 @@ def _stream_rank(spark, sf):
 
 add("stream_rank", _stream_rank, PER + " " + sql_select("per", "build_id", "count_tc; n_failures", "apfd"))
 
-# ---- learned scorers (rows only: a fit is not SQL)
+# ---- learned scorers: the twins come to the same optimum by another method
 D8 = ["last_verdict", "last_duration", "failure_rate", "recent_failure_rate", "execution_share", "mean_duration", "since_failure", "same_verdict_run"]
 
 
@@ -388,29 +389,71 @@ def split_features(spark, sf):
     return ch.holdout_split(f8).withColumn("split", F.when(F.col("split") == "test", "test").otherwise("train"))
 
 
+# fixed values: the eight features, those of a test without a past, and the cap on the weight of failures
+_F8_SQL = {
+    "last_verdict": ("fail_1", "0.5"), "last_duration": ("last_duration / (greatest(max_duration, 0) + 1e-6::DOUBLE)", "0"),
+    "failure_rate": ("failures / n::DOUBLE", "0"), "recent_failure_rate": ("rate_10", "0"),
+    "execution_share": ("n / (build_idx + 1)::DOUBLE", "0"), "mean_duration": ("duration_sum / n / (greatest(max_duration, 0) + 1e-6::DOUBLE)", "0"),
+    "since_failure": ("pass_run / (n + 1)::DOUBLE", "1"),
+    "same_verdict_run": ("CASE WHEN fail_1 = 1 THEN fail_run ELSE pass_run END / (n + 1)::DOUBLE", "0")}
+# end of fixed values
+SPLIT = "CASE WHEN build_idx >= floor((SELECT max(build_idx) + 1 FROM ex) * 0.8::DOUBLE) THEN 'test' ELSE 'train' END"
+F8S = (o.ev_history().rstrip().replace("WITH", "WITH RECURSIVE", 1) + f", f8 AS MATERIALIZED (SELECT build_id, tc_key, build_idx, fail, {SPLIT} AS split, "
+       + ", ".join(f"CASE WHEN n > 0 THEN {e} ELSE {other}::DOUBLE END AS {c}" for c, (e, other) in _F8_SQL.items()) + " FROM h), "
+       "tr AS MATERIALIZED (SELECT *, fail AS y, CASE WHEN fail = 1 THEN (SELECT least((1 - avg(fail)) / (avg(fail) + 1e-6::DOUBLE), 50) "
+       "FROM f8 WHERE split = 'train') ELSE 1 END AS w FROM f8 WHERE split = 'train')")
+PROB = "1 / (1 + exp(-(b + " + " + ".join(f"b{i} * {c}" for i, c in enumerate(_F8_SQL)) + ")))"
+
+
+def probability(df):
+    """Four places: two methods agree to eleven, and rounding must not tell them apart."""
+    return df.select(*[c for c in KEY if c in df.columns], F.round("p_fail", 4).alias("p_fail"))
+
+
 def _history_scorer(kind):
     def run(spark, sf):
         f8 = split_features(spark, sf)
         model = l.fit_history_scorer(f8.filter("split = 'train'"), D8, kind=kind)
-        return l.score(model, f8.filter("split = 'test'")).select(*KEY, F.round("p_fail", 6).alias("p_fail"))
+        return probability(l.score(model, f8.filter("split = 'test'")))
     return run
 
 
-add("history_scorer_logistic", _history_scorer("lr"))
+add("history_scorer_logistic", _history_scorer("lr"),
+    f"{F8S}, {logistic_sql('tr', D8)} SELECT build_id, tc_key, round({PROB}, 4) AS p_fail FROM f8, fit WHERE split = 'test'")
 add("history_scorer_boosted", _history_scorer("gbt"))
+WIDE = 16
+
+
+def test_vectors(spark, sf):
+    """A vector of the whole text of each test's document: test u7 is told by document 7."""
+    d = table(spark, sf, "documents")
+    return d.select(F.lit("ev").alias("project"), F.concat(F.lit("u"), "doc_id").alias("tc_key"), hash_embedding(F.col("text"), WIDE).alias("embedding"))
+
 
+_VECTORS = (f"hv AS (SELECT 'u' || doc_id AS tc_key, list_transform(range(0, {WIDE}), lambda i: ('0x' || substr(md5(key || '|' || i || '|42'), 1, 8))::BIGINT "
+            "/ 2147483648.0::DOUBLE - 1) AS v FROM (SELECT doc_id, md5(text) AS key FROM documents)), "
+            "tv AS (SELECT tc_key, " + ", ".join(f"v[{i + 1}] / sqrt(list_sum(list_transform(v, lambda z: z * z))) AS v{i}" for i in range(WIDE)) + " FROM hv)")
+_VS = [f"v{i}" for i in range(WIDE)]
+_EXS = f"exs AS (SELECT *, {SPLIT} AS split FROM ex)"
 
-def test_vectors(e):
-    return e.select("project", "tc_key").distinct().withColumn("embedding", hash_embedding(F.col("tc_key"), 16))
+
+def split_executions(spark, sf):
+    e = ch.holdout_split(executions(spark, sf))
+    return e.withColumn("split", F.when(F.col("split") == "test", "test").otherwise("train"))
 
 
 def _text_scorer(spark, sf):
-    e = executions(spark, sf)
-    v = test_vectors(e)
-    return l.score_text(l.fit_text_scorer(e, v), v).select("tc_key", F.round("p_fail", 6).alias("p_fail"))
+    e, v = split_executions(spark, sf), test_vectors(spark, sf)
+    model = l.fit_text_scorer(e.filter("split = 'train'"), v)
+    late = e.filter("split = 'test'").select("project", "tc_key").distinct()
+    return probability(l.score_text(model, v.join(late, ["project", "tc_key"])))
 
 
-add("text_scorer", _text_scorer)
+add("text_scorer", _text_scorer, f"WITH RECURSIVE {o.EV}, {_EXS}, {_VECTORS}, "
+    "tw AS (SELECT tc_key, sum(fail) AS f, sum((verdict = 0)::INT) AS p FROM exs WHERE split = 'train' GROUP BY 1), "
+    "tr AS MATERIALIZED (SELECT tv.*, y, w FROM (SELECT tc_key, 1 AS y, f AS w FROM tw WHERE f > 0 UNION ALL SELECT tc_key, 0, p FROM tw WHERE p > 0) JOIN tv USING (tc_key)), "
+    f"{logistic_sql('tr', _VS)} SELECT tc_key, round(1 / (1 + exp(-(b + {' + '.join(f'b{i} * v{i}' for i in range(WIDE))}))), 4) AS p_fail FROM tv, fit "
+    "WHERE tc_key IN (SELECT tc_key FROM exs WHERE split = 'test')")
 
 
 def _ensemble(spark, sf):
@@ -444,10 +487,30 @@ add("select_by_holdout", _selected)
 
 
 def _cold_start(spark, sf):
-    st = structured(spark, sf)
-    fitted = l.fit_cold_start(st.filter("label <> 0"), ["f0", "f1"], "embedding")
-    got = l.predict_cold_start(fitted, st.filter("label = 0").select("vec_id", "embedding"))
-    return got.select("vec_id", F.round("f0", 6).alias("f0"), F.round("f1", 6).alias("f1"))
+    """History of a test from the text of its document, learned on the older builds."""
+    e, v = split_executions(spark, sf), test_vectors(spark, sf)
+    past = e.filter("split = 'train'").groupBy("project", "tc_key").agg(F.avg("fail").alias("failure_rate"), F.avg("duration").alias("mean_duration"))
+    fitted = l.fit_cold_start(v.join(past, ["project", "tc_key"]), ["failure_rate", "mean_duration"])
+    late = e.filter("split = 'test'").select("project", "tc_key").distinct()
+    got = l.predict_cold_start(fitted, v.join(late, ["project", "tc_key"]))
+    return got.select("tc_key", F.round("failure_rate", 6).alias("failure_rate"), F.round("mean_duration", 5).alias("mean_duration"))
+
+
+add("cold_start_regression", _cold_start, f"WITH RECURSIVE {o.EV}, {_EXS}, {_VECTORS}, "
+    "tr AS MATERIALIZED (SELECT tv.*, failure_rate, mean_duration FROM tv JOIN (SELECT tc_key, avg(fail) AS failure_rate, avg(duration) AS mean_duration "
+    "FROM exs WHERE split = 'train' GROUP BY 1) USING (tc_key)), "
+    f"{ridge_sql('tr', _VS, ['failure_rate', 'mean_duration'])} SELECT tc_key, round(o0 + {' + '.join(f'w0_{i} * v{i}' for i in range(WIDE))}, 6) AS failure_rate, "
+    f"round(o1 + {' + '.join(f'w1_{i} * v{i}' for i in range(WIDE))}, 5) AS mean_duration FROM tv, fit WHERE tc_key IN (SELECT tc_key FROM exs WHERE split = 'test')")
+
+
+def _slope(spark, sf):
+    """One feature without a penalty is the plain regression line, a target at a time."""
+    e = executions(spark, sf)
+    rows = e.select(F.array(F.col("build_idx").cast("double")).alias("x"), "duration", F.col("fail").cast("double").alias("fail"))
+    names, model = l.fit_cold_start(rows, ["duration", "fail"], "x", 0.0)
+    return shaped(spark.createDataFrame([(n, float(model.weights[0, k]), float(model.offsets[k])) for k, n in enumerate(names)],
+                                        "target string, slope double, offset double"))
 
 
-add("cold_start_regression", _cold_start)
+add("ridge_line", _slope, f"WITH {o.EV}, two AS (SELECT 'duration' AS target, regr_slope(duration, build_idx) AS a, regr_intercept(duration, build_idx) AS b FROM ex "
+    "UNION ALL SELECT 'fail', regr_slope(fail, build_idx), regr_intercept(fail, build_idx) FROM ex) " + sql_select("two", "target", "", 'a AS slope; b AS "offset"'))

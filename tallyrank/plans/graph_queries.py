@@ -12,7 +12,7 @@ from tallyrank.operators.clean import last_builds
 from tallyrank.operators.history import history
 from tallyrank.operators.ranking import failure_rate_score, recent_rate_score
 from tallyrank.plans import oracle as o
-from tallyrank.plans.fixtures import executions, raw_events, table
+from tallyrank.plans.fixtures import executions, raw_events, raw_lines, table
 from tallyrank.plans.ranking_queries import scored
 from tallyrank.plans.shape import shaped, sql_select
 
@@ -52,6 +52,17 @@ add("co_failure_min_edges", lambda spark, sf: shaped(g.co_outcome_edges(executio
     f"{EV}, {CF} " + sql_select("cf", *SE, "weight >= 0.05::DOUBLE"))
 add("co_success_edges", lambda spark, sf: shaped(g.co_outcome_edges(executions(spark, sf), 0), *EDGE),
     f"{EV}, {CS} " + sql_select("cs", *SE, "weight >= 0.05::DOUBLE"))
+
+
+def _part_runs(spark, sf):
+    """Parts tested by orders: many nodes with few buckets each."""
+    raw = raw_lines(spark, sf, "l_partkey").withColumn("verdict", F.lit(0))
+    return shaped(g.co_outcome_edges(raw, 0, 2, 0.0), "project", "src", "dst", "shared")
+
+
+add("co_run_edges_parts", _part_runs, "WITH m AS (SELECT DISTINCT c_mktsegment AS project, l_orderkey AS bucket, 'p' || l_partkey AS node FROM lineitem "
+    "JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) SELECT a.project, a.node AS src, b.node AS dst, count(*) AS shared FROM m a "
+    "JOIN m b ON a.project = b.project AND a.bucket = b.bucket AND a.node < b.node GROUP BY ALL HAVING count(*) >= 2")
 _RAWC = ("cm AS (SELECT project, tc_key, 'k' || k AS c FROM raw UNION ALL SELECT project, tc_key, 'CR_CR_' || (k % 5) FROM raw WHERE k % 3 = 0)")
 _CE = f"{EV}, {_RAWC}, {_pairs('true', 'ce', 'shared / (SELECT max(shared) FROM ce_p)::DOUBLE', 'c', 'cm')}"
 add("commit_edges", lambda spark, sf: shaped(g.commit_edges(raw_events(spark, sf)), *EDGE),
@@ -221,35 +232,48 @@ add("knn_cosine", lambda spark, sf: shaped(sim.knn(emb(spark, sf), emb(spark, sf
     VEC + _knn_sql(_cos(), 10) + " " + sql_select("nn", "", "query; neighbor; rank", "similarity"))
 add("knn_graph", lambda spark, sf: shaped(sim.knn_graph(emb(spark, sf), 10)),
     VEC + _knn_sql("-list_distance(a.e, b.e)", 10) + " " + sql_select("nn", "", "query AS src; neighbor AS dst", "1 / (1 - similarity) AS weight"))
-add("semantic_edges", lambda spark, sf: shaped(sim.semantic_edges(emb(spark, sf), 10, 0.7)),
-    VEC + _knn_sql(_cos(), 10) + ", se AS (SELECT least(query, neighbor) AS src, greatest(query, neighbor) AS dst, max(similarity) AS weight FROM nn "
+# vectors drawn towards a direction of their label: some neighbours are near, some are not
+PULL = 1.5
+
+
+def grouped(spark, sf):
+    own = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), PULL * (F.col("vec_id") % 3)).otherwise(0.0))
+    return emb(spark, sf).withColumn("embedding", own)
+
+
+GROUPED = (f"WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + CASE WHEN i - 1 = label THEN {PULL}::DOUBLE * (vec_id % 3) ELSE 0 END) AS e, "
+           "label / 10.0::DOUBLE AS score, label FROM embeddings)")
+add("semantic_edges", lambda spark, sf: shaped(sim.semantic_edges(grouped(spark, sf), 10, 0.7)),
+    GROUPED + _knn_sql(_cos(), 10) + ", se AS (SELECT least(query, neighbor) AS src, greatest(query, neighbor) AS dst, max(similarity) AS weight FROM nn "
     "WHERE similarity >= 0.7::DOUBLE GROUP BY ALL) " + sql_select("se", "", "src; dst", "weight"))
-add("knn_adjacency", lambda spark, sf: shaped(sim.knn_adjacency(emb(spark, sf))),
-    VEC + _knn_sql(_cos(), 5) + " SELECT query AS src, neighbor AS dst FROM nn WHERE similarity >= 0.5::DOUBLE UNION SELECT neighbor, query FROM nn "
+add("knn_adjacency", lambda spark, sf: shaped(sim.knn_adjacency(grouped(spark, sf))),
+    GROUPED + _knn_sql(_cos(), 5) + " SELECT query AS src, neighbor AS dst FROM nn WHERE similarity >= 0.5::DOUBLE UNION SELECT neighbor, query FROM nn "
     "WHERE similarity >= 0.5::DOUBLE")
-F8 = [f"f{i}" for i in range(8)]
+WIDTH = 64
+F64 = [f"f{i}" for i in range(WIDTH)]
 
 
 def structured(spark, sf):
-    return emb(spark, sf).select("vec_id", "embedding", "label", (F.col("label") / 10.0).alias("score"),
-                                 *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
+    """Vectors with every position as a feature."""
+    return grouped(spark, sf).select("vec_id", "embedding", "label", (F.col("label") / 10.0).alias("score"),
+                                     *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(WIDTH)])
 
 
-# tests of class 0 stand outside the graph, all others inside
-OUTSIDE, INSIDE = "label = 0", "label <> 0"
-_F8 = ", ".join(f"e[{i + 1}] AS f{i}" for i in range(8))
-_STR = VEC + f", s AS (SELECT *, {_F8} FROM v), oq AS (SELECT * FROM s WHERE label = 0), ib AS (SELECT * FROM s WHERE label <> 0)"
+# of each class some stand outside the graph; one class has no like inside
+OUTSIDE, INSIDE = "label = 0 or vec_id % 7 = 0", "not (label = 0 or vec_id % 7 = 0)"
+_F64 = ", ".join(f"e[{i + 1}] AS f{i}" for i in range(WIDTH))
+_STR = GROUPED + f", s AS (SELECT *, {_F64} FROM v), oq AS (SELECT * FROM s WHERE label = 0 OR vec_id % 7 = 0), ib AS (SELECT * FROM s WHERE NOT (label = 0 OR vec_id % 7 = 0))"
 
 
 def _impute(spark, sf):
     s = structured(spark, sf)
-    return shaped(sim.knn_impute(s.filter(OUTSIDE), s.filter(INSIDE), F8))
+    return shaped(sim.knn_impute(s.filter(OUTSIDE), s.filter(INSIDE), F64))
 
 
 add("knn_impute", _impute, _STR + _knn_sql(_cos(), 10, "true", "oq", "ib") + ", im AS (SELECT query, count(*) AS nb, " + ", ".join(
-    f"sum(similarity * f{i}) / sum(similarity) AS g{i}" for i in range(8)) + " FROM nn JOIN ib ON vec_id = neighbor WHERE similarity >= 0.5::DOUBLE GROUP BY 1), "
-    "dm AS (SELECT " + ", ".join(f"avg(f{i}) AS d{i}" for i in range(8)) + " FROM ib) " + sql_select(
-        "oq LEFT JOIN im ON query = vec_id, dm", "", "vec_id; coalesce(nb, 0) AS neighbors", "; ".join(f"coalesce(g{i}, d{i}) AS f{i}" for i in range(8))))
+    f"sum(similarity * f{i}) / sum(similarity) AS g{i}" for i in range(WIDTH)) + " FROM nn JOIN ib ON vec_id = neighbor WHERE similarity >= 0.5::DOUBLE GROUP BY 1), "
+    "dm AS (SELECT " + ", ".join(f"avg(f{i}) AS d{i}" for i in range(WIDTH)) + " FROM ib) " + sql_select(
+        "oq LEFT JOIN im ON query = vec_id, dm", "", "vec_id; coalesce(nb, 0) AS neighbors", "; ".join(f"coalesce(g{i}, d{i}) AS f{i}" for i in range(WIDTH))))
 
 
 def _clip(spark, sf):
@@ -269,11 +293,11 @@ add("clip_features", _clip, o.ev_history(True).rstrip() + ", c AS (SELECT *, coa
 
 def _orphan_scores(spark, sf):
     s = structured(spark, sf)
-    return shaped(sim.score_orphans(s.filter(OUTSIDE).withColumn("base_score", F.lit(0.5)), s.filter(INSIDE), structural=F8))
+    return shaped(sim.score_orphans(s.filter(OUTSIDE).withColumn("base_score", F.lit(0.5)), s.filter(INSIDE), structural=F64))
 
 
 def _z(src):
-    return f"SELECT vec_id, e, score, [{', '.join(f'(f{i} - avg(f{i}) OVER ()) / (stddev_pop(f{i}) OVER () + 1e-8::DOUBLE)' for i in range(8))}] AS z FROM {src}"
+    return f"SELECT vec_id, e, score, [{', '.join(f'(f{i} - avg(f{i}) OVER ()) / (stddev_pop(f{i}) OVER () + 1e-8::DOUBLE)' for i in range(WIDTH))}] AS z FROM {src}"
 
 
 add("score_orphans", _orphan_scores, _STR + f", zo AS ({_z('oq')}), zi AS ({_z('ib')})" + _knn_sql(
@@ -281,19 +305,19 @@ add("score_orphans", _orphan_scores, _STR + f", zo AS ({_z('oq')}), zi AS ({_z('
     + ", w AS (SELECT query, count(*) AS nb, sum(exp(similarity / 0.7::DOUBLE) * score) / sum(exp(similarity / 0.7::DOUBLE)) AS ks FROM nn JOIN ib ON vec_id = neighbor "
       "WHERE similarity >= 0.05::DOUBLE GROUP BY 1) " + sql_select("oq LEFT JOIN w ON query = vec_id", "", "vec_id; coalesce(nb, 0) AS neighbors",
                                                               "coalesce(0.55::DOUBLE * ks + 0.45::DOUBLE * 0.5::DOUBLE, 0.5::DOUBLE) AS score"))
-add("zscore", lambda spark, sf: shaped(sim.zscore(structured(spark, sf), F8), "vec_id", *F8),
-    _STR + " " + sql_select("s", "", "vec_id", "; ".join(f"(f{i} - avg(f{i}) OVER ()) / (stddev_pop(f{i}) OVER () + 1e-8::DOUBLE) AS f{i}" for i in range(8))))
+add("zscore", lambda spark, sf: shaped(sim.zscore(structured(spark, sf), F64), "vec_id", *F64),
+    _STR + " " + sql_select("s", "", "vec_id", "; ".join(f"(f{i} - avg(f{i}) OVER ()) / (stddev_pop(f{i}) OVER () + 1e-8::DOUBLE) AS f{i}" for i in range(WIDTH))))
 
 
 def _minmax(spark, sf):
     s = structured(spark, sf)
-    return shaped(sim.minmax_transform(s, sim.minmax_fit(s.filter(INSIDE), F8), F8), "vec_id", *F8)
+    return shaped(sim.minmax_transform(s, sim.minmax_fit(s.filter(INSIDE), F64), F64), "vec_id", *F64)
 
 
-add("minmax_fit_transform", _minmax, _STR + ", mm AS (SELECT " + ", ".join(f"min(f{i}) AS l{i}, max(f{i}) AS u{i}" for i in range(8)) + " FROM ib) "
-    + sql_select("s, mm", "", "vec_id", "; ".join(f"(f{i} - l{i}) / (u{i} - l{i}) AS f{i}" for i in range(8))))
-add("minmax", lambda spark, sf: shaped(sim.minmax(structured(spark, sf), F8), "vec_id", *F8),
-    _STR + " " + sql_select("s", "", "vec_id", "; ".join(f"(f{i} - min(f{i}) OVER ()) / (max(f{i}) OVER () - min(f{i}) OVER ()) AS f{i}" for i in range(8))))
+add("minmax_fit_transform", _minmax, _STR + ", mm AS (SELECT " + ", ".join(f"min(f{i}) AS l{i}, max(f{i}) AS u{i}" for i in range(WIDTH)) + " FROM ib) "
+    + sql_select("s, mm", "", "vec_id", "; ".join(f"(f{i} - l{i}) / (u{i} - l{i}) AS f{i}" for i in range(WIDTH))))
+add("minmax", lambda spark, sf: shaped(sim.minmax(structured(spark, sf), F64), "vec_id", *F64),
+    _STR + " " + sql_select("s", "", "vec_id", "; ".join(f"(f{i} - min(f{i}) OVER ()) / (max(f{i}) OVER () - min(f{i}) OVER ()) AS f{i}" for i in range(WIDTH))))
 ALPHAS = (0.0, 0.3, 0.5, 0.7, 1.0)
 
 
