@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -64,17 +65,58 @@ def discard(path: str) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Spark deletes the shuffle files of a query when it ends, in place of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_cut(df: DataFrame, path: str) -> DataFrame:
     """Write `df` as Parquet at `path` and read it back: later plans read only the columns
-    they use, and no lost executor makes them start again from the source."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    they use, and no lost executor makes them start again from the source. What was shuffled
+    to write it is of no more use and goes at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
+    return owner_of(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return write_cut(df, scratch_path(df.sparkSession, name))
 
 
+def owner_of(df: DataFrame, *paths: str) -> DataFrame:
+    """`df`, marked as what `release` takes to free `paths`."""
+    df._scratch = paths
+    return df
+
+
+def scratch_of(*frames: DataFrame) -> list[str]:
+    return [path for df in frames for path in getattr(df, "_scratch", ())]
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind tables that `materialize` gave; nothing may read them any more."""
+    for path in scratch_of(*frames):
+        discard(path)
+
+
+@contextlib.contextmanager
+def scratch_scope(kept: list[str]):
+    """Deletes at its end what was written to scratch inside, except the paths put into `kept`."""
+    before = set(_folders)
+    try:
+        yield
+    finally:
+        for path in [p for p in _folders if p not in before and p not in kept]:
+            discard(path)
+
+
 @atexit.register
 def _discard_all() -> None:
     for path in list(_folders):
