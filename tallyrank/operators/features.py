@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyrank.functions.verdict import fail_from_code
 from tallyrank.operators.clean import BUILD
 from tallyrank.operators.history import TEST, history, snapshot
-from tallyrank.operators.scale import exact_quantiles
+from tallyrank.operators.scale import exact_quantiles, running_sums
 from tallyrank.session import materialize
 
 # fixed values: column names and order of the published feature layouts
@@ -424,18 +425,27 @@ def features_failrank8(df: DataFrame) -> DataFrame:
     return h.select(*KEYS, "fail", *[_if_seen(e[c], 0).alias(c) for c in order])
 
 
-def features_noderank10(df: DataFrame) -> DataFrame:
+def features_noderank10(df: DataFrame, as_published: bool = False) -> DataFrame:
     """DeepOrder's eight, a failure velocity and execution regularity.
 
-    The velocity compares the newer with the older half, where the older half's failures
-    are estimated from the overall rate at the last odd count, as published.
+    The velocity is the failure rate of the newer half of a test's executions minus that of the
+    older half, its first floor(n / 2). The failures of the first h executions are those seen before
+    execution h + 1, so they come from an equi-join of the history with itself, addressed by
+    position. `as_published` estimates the older half's failures from the overall rate at the last
+    odd count.
     """
     h = history(df, want=_RUN_WANT)
     n = F.col("n")
-    even = F.when(n % 2 == 1, n - 1).otherwise(n - 2)
-    known = F.when(n % 2 == 1, F.col("failures")).otherwise(F.col("failures") - F.col("fail_1"))
-    old_n = even / 2
-    old_f = F.floor(known * old_n / (even + 1))
+    if as_published:
+        even = F.when(n % 2 == 1, n - 1).otherwise(n - 2)
+        known = F.when(n % 2 == 1, F.col("failures")).otherwise(F.col("failures") - F.col("fail_1"))
+        old_n = even / 2
+        old_f = F.floor(known * old_n / (even + 1))
+    else:
+        h = materialize(h, "history")  # read as both sides of the join
+        first = h.select(*TEST, F.col("n").alias("_half"), F.col("failures").alias("_old"))
+        h = h.withColumn("_half", F.when(n >= 3, F.floor(n / 2))).join(first, [*TEST, "_half"], "left")
+        old_n, old_f = F.col("_half"), F.col("_old")
     velocity = F.when(n >= 3, (F.col("failures") - old_f) / (n - old_n) - old_f / old_n).otherwise(0.0)
     order = ["last_verdict", "last_duration", "failure_rate", "recent_failure_rate", "execution_share",
              "mean_duration", "since_failure", "same_verdict_run", "failure_velocity", "regularity"]
@@ -460,12 +470,30 @@ def features_tcpnet12(df: DataFrame) -> DataFrame:
         _d("fail_run").alias("failure_streak"), _or(idx - F.col("first_idx"), 0).alias("test_age"))
 
 
-def state_retecs6(df: DataFrame) -> DataFrame:
+def oldest_last(h: DataFrame) -> DataFrame:
+    """(project, build_idx, oldest): at each build, the oldest last execution of any test seen before.
+
+    An execution in build b is its test's last one until the test runs again, so b is alive up to the
+    latest such build of its tests, and for ever if one of them never runs again. The oldest build alive
+    at c is the first whose reach is c or more; with running maxima of the reach, that is the number of
+    builds whose maximum is below c, a running sum over the clock.
+    """
+    again = h.filter("n > 0").groupBy("project", F.col("last_idx").alias("build_idx")).agg(F.max(F.col("build_idx")).alias("_reach"))
+    ever = h.groupBy(*TEST).agg(F.max("build_idx").alias("build_idx")).select("project", "build_idx").distinct()
+    reach = again.join(ever.withColumn("_ever", F.lit(True)), ["project", "build_idx"], "full").select(
+        "project", "build_idx", F.when(F.col("_ever"), F.lit((1 << 62))).otherwise(F.col("_reach")).alias("_reach"))
+    so_far = Window.partitionBy("project").orderBy("build_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = reach.withColumn("_top", F.max("_reach").over(so_far)).groupBy("project", (F.col("_top") + 1).alias("build_idx")).agg(
+        F.count(F.lit(1)).alias("_gone"))
+    clock = h.select("project", "build_idx").distinct().join(ends, ["project", "build_idx"], "left").na.fill(0, ["_gone"])
+    return running_sums(clock, ["project"], [F.col("build_idx")], {"oldest": "_gone"}).select("project", "build_idx", "oldest")
+
+
+def state_retecs6(df: DataFrame, as_published: bool = False) -> DataFrame:
     """Duration and recency scaled to [0, 1] and the last four verdicts, 1 = pass.
 
-    Recency is scaled by the newest and the oldest last execution of any test. The
-    published oldest value is set in the first build and never advances; kept here, since
-    every result of that method rests on it.
+    Recency is scaled by the newest and the oldest last execution of any test. `as_published`
+    keeps the oldest one at the first build, from which the published code never advances.
     """
     h = history(df, want=["n", "last_idx", "fail_1", "fail_2", "fail_3", "fail_4"])
     span = df.groupBy(*BUILD).agg(F.min("duration").alias("_lo"), F.max("duration").alias("_hi"),
@@ -473,8 +501,14 @@ def state_retecs6(df: DataFrame) -> DataFrame:
     idx = F.col("build_idx")
     dur = F.when((F.col("_hi") > F.col("_lo")) & (F.col("_tests") > 1),
                  (F.col("_hi") - F.col("duration")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
-    since = idx - F.col("last_idx")
-    rec = F.when(F.col("n") == 0, 0.0).when(idx > 1, (idx - since) / (idx - 1)).otherwise(0.5)
+    if as_published:
+        since = idx - F.col("last_idx")
+        rec = F.when(F.col("n") == 0, 0.0).when(idx > 1, (idx - since) / (idx - 1)).otherwise(0.5)
+    else:
+        h = materialize(h, "history")  # read for the clock and for the rows
+        h = h.join(oldest_last(h), ["project", "build_idx"])
+        newest = idx - 1
+        rec = F.when(F.col("n") == 0, 0.0).when(newest > F.col("oldest"), (F.col("last_idx") - F.col("oldest")) / (newest - F.col("oldest"))).otherwise(0.5)
     return h.join(span, BUILD).select(
         *KEYS, "fail", dur.alias("state_duration"), rec.alias("state_recency"),
         *[_or(1 - F.col(f"fail_{k}"), 1).alias(f"state_v{k}") for k in range(1, 5)])

@@ -1,29 +1,25 @@
-"""Learned scorers on the history features: linear models from `linear`, trees from MLlib."""
+"""Learned scorers on the history features: linear models from `linear`, trees from `trees`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.operators.clean import BUILD, TEST
 from tallyrank.operators.graph import add_random_edges, perturb_features, propagate, subgraph
 from tallyrank.operators.linear import Logistic, Ridge, fit_logistic, fit_ridge
+from tallyrank.operators.trees import Trees, fit_boosted, fit_forest
 from tallyrank.session import materialize
 
 #: Share of the squared standardised weights in the objective of the logistic fits.
 _RIDGE = 0.01
-# fixed values: settings of the three models
-_LR = {"maxIter": 50, "regParam": 0.01}
-_RF = {"numTrees": 50, "maxDepth": 4, "seed": 42}
-_GB = {"maxIter": 20, "maxDepth": 3, "seed": 42}
+# fixed values: settings of the tree models
+_RF = {"n_trees": 50, "depth": 4}
+_GB = {"rounds": 20, "depth": 3}
+# end of fixed values
 
 
 def positive_weight(df: DataFrame, label: str = "fail", top: float = 50.0) -> float:
@@ -37,10 +33,6 @@ def weighted(df: DataFrame, label: str = "fail", top: float = 50.0) -> DataFrame
     return df.withColumn("_weight", F.when(F.col(label) == 1, F.lit(w)).otherwise(1.0))
 
 
-def p_one(column: str = "probability") -> Column:
-    return F.get(vector_to_array(column), 1)
-
-
 def listed(columns: Sequence[str]) -> Column:
     """Numeric columns as one vector."""
     return F.array(*[F.col(c).cast("double") for c in columns])
@@ -48,24 +40,23 @@ def listed(columns: Sequence[str]) -> Column:
 
 class HistoryScorer(NamedTuple):
     columns: list[str]
-    model: Logistic
+    model: Logistic | Trees
+
+    def probability(self) -> Column:
+        return (self.model.probability if isinstance(self.model, Logistic) else self.model.predict)(listed(self.columns))
 
 
 def fit_history_scorer(train: DataFrame, columns: Sequence[str], label: str = "fail",
-                       max_pos_weight: float = 50.0, kind: str = "lr") -> HistoryScorer | PipelineModel:
+                       max_pos_weight: float = 50.0, kind: str = "lr") -> HistoryScorer:
     """Failure probability from history features; failures weigh more."""
     rows = weighted(train, label, max_pos_weight)
     if kind == "lr":
         return HistoryScorer(list(columns), fit_logistic(rows, listed(columns), F.col(label), F.col("_weight"), _RIDGE))
-    model = GBTClassifier(labelCol=label, weightCol="_weight", **_GB)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), model]).fit(rows)
+    return HistoryScorer(list(columns), fit_boosted(rows, listed(columns), F.col(label), F.col("_weight"), **_GB))
 
 
-def score(model: HistoryScorer | PipelineModel, df: DataFrame, out: str = "p_fail") -> DataFrame:
-    if isinstance(model, HistoryScorer):
-        return df.withColumn(out, model.model.probability(listed(model.columns)))
-    done = model.transform(df.withColumn("_weight", F.lit(1.0)))
-    return done.withColumn(out, p_one()).drop("features", "rawPrediction", "probability", "prediction", "_weight")
+def score(model: HistoryScorer, df: DataFrame, out: str = "p_fail") -> DataFrame:
+    return df.withColumn(out, model.probability())
 
 
 def text_rows(executions: DataFrame) -> DataFrame:
@@ -101,41 +92,43 @@ def build_commit_vector(df: DataFrame, vectors: DataFrame, dim: int, vec: str =
         "commit_vector", F.coalesce("commit_vector", F.array_repeat(F.lit(0.0), dim)))
 
 
-def fit_ensemble(train: DataFrame, columns: Sequence[str], label: str = "fail") -> PipelineModel | None:
-    """Logistic regression, random forest and boosted trees on standardised features; None
-    when the labels hold one class only, in which case the failure rate is the score."""
+class Ensemble(NamedTuple):
+    columns: list[str]
+    logistic: Logistic
+    forest: Trees
+    boosted: Trees
+
+
+def fit_ensemble(train: DataFrame, columns: Sequence[str], key: Sequence[str], label: str = "fail") -> Ensemble | None:
+    """Logistic regression, random forest (rows drawn by `key`) and boosted trees; None when the
+    labels hold one class only, in which case the failure rate is the score."""
     if train.select(label).distinct().limit(2).count() < 2:
         return None
-    def named(model, tag):
-        return model.setProbabilityCol(f"_p_{tag}").setRawPredictionCol(f"_r_{tag}").setPredictionCol(f"_y_{tag}")
-
-    stages = [
-        VectorAssembler(inputCols=list(columns), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
-        named(LogisticRegression(labelCol=label, weightCol="_weight", **_LR), "lr"),
-        named(RandomForestClassifier(labelCol=label, weightCol="_weight", **_RF), "rf"),
-        named(GBTClassifier(labelCol=label, **_GB), "gb"),
-    ]
-    return Pipeline(stages=stages).fit(weighted(train, label))
+    rows = materialize(weighted(train, label).select(*key, *columns, label, "_weight"), "ensemble")
+    x, y, w = listed(columns), F.col(label), F.col("_weight")
+    return Ensemble(list(columns), fit_logistic(rows, x, y, w, _RIDGE), fit_forest(rows, x, y, key, w, **_RF), fit_boosted(rows, x, y, **_GB))
 
 
-def score_ensemble(model: PipelineModel | None, df: DataFrame, fallback: str = "failure_rate", out: str = "p_fail") -> DataFrame:
+def score_ensemble(model: Ensemble | None, df: DataFrame, fallback: str = "failure_rate", out: str = "p_fail", parts: bool = False) -> DataFrame:
+    """The mean of the three probabilities; with `parts` each of them as well (`p_logistic`, ...)."""
     if model is None:
         return df.withColumn(out, F.col(fallback))
-    done = model.transform(df.withColumn("_weight", F.lit(1.0)))
-    mean = (p_one("_p_lr") + p_one("_p_rf") + p_one("_p_gb")) / 3.0
-    return done.withColumn(out, mean).select(*df.columns, out)
+    x = listed(model.columns)
+    three = {"p_logistic": model.logistic.probability(x), "p_forest": model.forest.predict(x), "p_boosted": model.boosted.predict(x)}
+    done = df.withColumns(three)
+    done = done.withColumn(out, (F.col("p_logistic") + F.col("p_forest") + F.col("p_boosted")) / 3.0)
+    return done.select(*df.columns, *(three if parts else ()), out)
 
 
-def _forest(df: DataFrame, columns: Sequence[str], label: str, **params) -> DataFrame:
-    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
-    model = RandomForestClassifier(labelCol=label, **{**_RF, "numTrees": 20, "maxDepth": 3, **params}).fit(rows)
-    return model.transform(rows).select(*TEST, F.col("prediction").cast("int").alias("y"))
+def _forest(train: DataFrame, columns: Sequence[str], label: str, n_trees: int = 20, depth: int = 3) -> DataFrame:
+    """Predicted class of each test by a forest on all of them."""
+    model = fit_forest(train, listed(columns), F.col(label), TEST, n_trees=n_trees, depth=depth)
+    return train.select(*TEST, (model.predict(listed(columns)) >= 0.5).cast("int").alias("y"))
 
 
 def sensitivity_flags(nodes: DataFrame, edges: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:
     """1 where a model refitted on a changed graph, changed features or other settings
-    predicts otherwise than the base model."""
+    predicts otherwise than the base model. `label` must not follow from the features."""
     # every fit reads these again
     nodes, edges = materialize(nodes), materialize(edges)
     changed_graph = subgraph(add_random_edges(edges, nodes, 5, seed), nodes)
@@ -143,7 +136,7 @@ def sensitivity_flags(nodes: DataFrame, edges: DataFrame, columns: Sequence[str]
     variants = {
         "graph": _forest(spread, columns, label),
         "features": _forest(perturb_features(nodes, columns, TEST, 0.1, seed), columns, label),
-        "model": _forest(nodes, columns, label, maxDepth=6, numTrees=30),
+        "model": _forest(nodes, columns, label, 30, 6),
     }
     out = _forest(nodes, columns, label).withColumnRenamed("y", "_base")
     for name, pred in variants.items():
@@ -151,18 +144,21 @@ def sensitivity_flags(nodes: DataFrame, edges: DataFrame, columns: Sequence[str]
     return out.select(*TEST, *[(F.col(f"_{v}") != F.col("_base")).cast("int").alias(f"flag_{v}") for v in variants])
 
 
-def select_by_holdout(df: DataFrame, columns: Sequence[str], label: str = "fail", cut: str = "split = 'train'",
-                      candidates: Sequence[dict] = ({"maxDepth": 2}, {"maxDepth": 4})):
-    """Fit each candidate on the older part, keep the lowest squared error on the newer
-    part, refit on all. Returns (model, settings, errors)."""
-    rows = materialize(VectorAssembler(inputCols=list(columns), outputCol="features").transform(df))
+def select_by_holdout(train: DataFrame, columns: Sequence[str], label: str = "fail", clock: str = "build_idx", share: float = 0.2,
+                      candidates: Sequence[dict] = ({"depth": 2}, {"depth": 4})) -> tuple[HistoryScorer, dict, list[float]]:
+    """Of the training rows, the last `share` of the clock validates: each candidate is fitted on the
+    rows before, the lowest squared error wins (ties: the first), and is fitted again on all training
+    rows. Rows to be scored must not be among them. Returns (model, settings, errors)."""
+    last = train.agg(F.max(clock).alias("m")).first()["m"]
+    late = F.col(clock) >= F.floor(F.lit(((last or 0) + 1) * (1.0 - share)))
+    rows = materialize(train.select(*columns, label, late.alias("_late")), "candidates")
+    x, y = listed(columns), F.col(label)
     errors = []
     for params in candidates:
-        model = GBTRegressor(labelCol=label, maxIter=10, seed=42, **params).fit(rows.filter(cut))
-        late = model.transform(rows.filter(f"not ({cut})"))
-        errors.append(late.agg(F.avg(F.pow(F.col("prediction") - F.col(label), F.lit(2)))).first()[0])
-    best = min(range(len(errors)), key=lambda i: (errors[i], i))
-    return GBTRegressor(labelCol=label, maxIter=10, seed=42, **candidates[best]).fit(rows), candidates[best], errors
+        model = fit_boosted(rows.filter("not _late"), x, y, rounds=10, logistic=False, **params)
+        errors.append(rows.filter("_late").agg(F.avg(F.pow(model.predict(x) - y, F.lit(2)))).first()[0])
+    best = min(range(len(errors)), key=lambda i: (round(errors[i], 9), i))
+    return HistoryScorer(list(columns), fit_boosted(rows, x, y, rounds=10, logistic=False, **candidates[best])), candidates[best], errors
 
 
 def fit_cold_start(train: DataFrame, columns: Sequence[str], vec: str = "embedding", ridge: float = 0.1) -> tuple[list[str], Ridge]:

@@ -66,10 +66,9 @@ def summed(rows: DataFrame, terms: Callable[[pa.RecordBatch], np.ndarray]) -> np
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "value"])
 
-    got = rows.mapInArrow(run, "term long, value double").groupBy("term").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(len(got))
-    for r in got:
-        out[r["term"]] = r["value"]
+    got = rows.mapInArrow(run, "term long, value double").groupBy("term").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(got.num_rows)
+    out[got.column("term").to_numpy()] = got.column("value").to_numpy()
     return out
 
 

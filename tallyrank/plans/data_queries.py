@@ -25,6 +25,7 @@ from tallyrank.plans.fixtures import executions, raw_events, raw_lines, table
 from tallyrank.plans.graph_queries import CF, MEAN_W, VEC, _draws, _pairs, emb, hash32, structured
 from tallyrank.plans.ranking_queries import BIN, PER, RANKED, STRATEGY_NAMES, STRATEGY_SQL, _TWO, binary, ranked, strategies, two_methods
 from tallyrank.plans.shape import shaped, sql_select
+from tallyrank.plans.tree_sql import boosted_sql, forest_sql
 from tallyrank.session import checkpoint_dir, materialize
 from tallyrank.sources import readers as rd
 from tallyrank.sources import writers as wr
@@ -420,7 +421,10 @@ def _history_scorer(kind):
 
 add("history_scorer_logistic", _history_scorer("lr"),
     f"{F8S}, {logistic_sql('tr', D8)} SELECT build_id, tc_key, round({PROB}, 4) AS p_fail FROM f8, fit WHERE split = 'test'")
-add("history_scorer_boosted", _history_scorer("gbt"))
+_RID = "trr AS MATERIALIZED (SELECT *, build_id || '|' || tc_key AS rid, ('0x' || substr(md5(build_id || '|' || tc_key || '|row'), 1, 8))::BIGINT AS h31 FROM tr), " \
+       "ter AS MATERIALIZED (SELECT *, build_id || '|' || tc_key AS rid FROM f8 WHERE split = 'test')"
+add("history_scorer_boosted", _history_scorer("gbt"),
+    f"{F8S}, {_RID}, {boosted_sql('trr', 'ter', D8, 'gb')} SELECT build_id, tc_key, round(p, 4) AS p_fail FROM ter JOIN gb USING (rid)")
 WIDE = 16
 
 
@@ -458,11 +462,14 @@ add("text_scorer", _text_scorer, f"WITH RECURSIVE {o.EV}, {_EXS}, {_VECTORS}, "
 
 def _ensemble(spark, sf):
     f8 = split_features(spark, sf)
-    model = l.fit_ensemble(f8.filter("split = 'train'"), D8)
-    return l.score_ensemble(model, f8.filter("split = 'test'")).select(*KEY, F.round("p_fail", 6).alias("p_fail"))
+    model = l.fit_ensemble(f8.filter("split = 'train'"), D8, KEY)
+    four = l.score_ensemble(model, f8.filter("split = 'test'"), parts=True)
+    return four.select(*KEY, *[F.round(c, 4).alias(c) for c in ("p_logistic", "p_forest", "p_boosted", "p_fail")])
 
 
-add("ensemble_scorer", _ensemble)
+add("ensemble_scorer", _ensemble, f"{F8S}, {_RID}, plain AS MATERIALIZED (SELECT * REPLACE (1 AS w) FROM trr), {logistic_sql('tr', D8)}, {forest_sql('trr', 'ter', D8, 'rf')}, "
+    f"{boosted_sql('plain', 'ter', D8, 'gb')}, three AS (SELECT build_id, tc_key, {PROB} AS a, rf.p AS b, gb.p AS c FROM ter JOIN rf USING (rid) JOIN gb USING (rid), fit) "
+    "SELECT build_id, tc_key, round(a, 4) AS p_logistic, round(b, 4) AS p_forest, round(c, 4) AS p_boosted, round((a + b + c) / 3, 4) AS p_fail FROM three")
 
 
 def _flags(spark, sf):
@@ -477,13 +484,17 @@ add("sensitivity_flags", _flags)
 
 def _selected(spark, sf):
     f8 = split_features(spark, sf)
-    model, _, _ = l.select_by_holdout(f8, D8)
-    from pyspark.ml.feature import VectorAssembler
-    rows = VectorAssembler(inputCols=D8, outputCol="features").transform(f8.filter("split = 'test'"))
-    return model.transform(rows).select(*KEY, F.round("prediction", 6).alias("p_fail"))
+    model, settings, _ = l.select_by_holdout(f8.filter("split = 'train'"), D8)
+    scored = probability(l.score(model, f8.filter("split = 'test'")))
+    return scored.withColumn("depth", F.lit(settings["depth"]).cast("bigint"))
 
 
-add("select_by_holdout", _selected)
+_INNER = ("inn AS MATERIALIZED (SELECT * REPLACE (1 AS w) FROM trr WHERE build_idx < floor((SELECT max(build_idx) + 1 FROM tr) * 0.8::DOUBLE)), "
+          "val AS MATERIALIZED (SELECT * FROM trr WHERE build_idx >= floor((SELECT max(build_idx) + 1 FROM tr) * 0.8::DOUBLE)), plain AS MATERIALIZED (SELECT * REPLACE (1 AS w) FROM trr)")
+add("select_by_holdout", _selected, f"{F8S}, {_RID}, {_INNER}, " + ", ".join(
+    boosted_sql("inn", "val", D8, f"v{d}", 10, d, logistic=False) + ", " + boosted_sql("plain", "ter", D8, f"g{d}", 10, d, logistic=False) for d in (2, 4))
+    + ", won AS (SELECT CASE WHEN round((SELECT avg((p - y) * (p - y)) FROM v2 JOIN val USING (rid)), 9) <= round((SELECT avg((p - y) * (p - y)) FROM v4 JOIN val USING (rid)), 9) THEN 2 ELSE 4 END AS depth) "
+    "SELECT build_id, tc_key, round(CASE depth WHEN 2 THEN g2.p ELSE g4.p END, 4) AS p_fail, depth::BIGINT AS depth FROM ter JOIN g2 USING (rid) JOIN g4 USING (rid), won")
 
 
 def _cold_start(spark, sf):

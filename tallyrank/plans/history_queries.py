@@ -256,8 +256,13 @@ add("features_deeporder8", _simple(f.features_deeporder8, *_D8),
 add("features_failrank8", _simple(f.features_failrank8, *_F8),
     H + sql_select("h", SK, "", "; ".join(_seen(_N8[c], c) for c in _F8)))
 _X10 = [*_D8, "failure_velocity", "regularity"]
-add("features_noderank10", _simple(f.features_noderank10, *_X10),
+add("features_noderank10_published", _simple(lambda e: f.features_noderank10(e, True), *_X10),
     H + sql_select("h", SK, "", "; ".join(_seen(_N10[c], c, _U.get(c, 0)) for c in _X10)))
+_VELOCITY = "(SELECT (h.failures - sum(e.fail)) / (h.n - floor(h.n / 2))::DOUBLE - avg(e.fail) FROM first_half e WHERE e.project = h.project AND e.tc_key = h.tc_key AND e.at <= floor(h.n / 2))"
+_NX = {**_N10, "failure_velocity": f"CASE WHEN n >= 3 THEN {_VELOCITY} ELSE 0 END"}
+add("features_noderank10", _simple(f.features_noderank10, *_X10),
+    H.rstrip() + ", first_half AS (SELECT project, tc_key, fail, row_number() OVER (PARTITION BY project, tc_key ORDER BY build_idx) AS at FROM ex) "
+    + sql_select("h", SK, "", "; ".join(_seen(_NX[c], c, _U.get(c, 0)) for c in _X10)))
 _T12 = ["duration", "last_result", "status_last_2", "status_last_3", "status_last_5", "status_last_10", "failure_rate",
         "since_fail", "execution_count", "status_changes", "failure_streak", "test_age"]
 add("features_tcpnet12", _simple(f.features_tcpnet12, *_T12),
@@ -272,7 +277,12 @@ STATE_SQL = (", span AS (SELECT project, build_id, min(duration) AS lo, max(dura
              + ", ".join(f"coalesce(1 - fail_{k}, 1) AS state_v{k}" for k in range(1, 5))
              + " FROM h JOIN span USING (project, build_id)) ")
 _S6 = ["state_duration", "state_recency", "state_v1", "state_v2", "state_v3", "state_v4"]
-add("state_retecs6", _simple(f.state_retecs6, *_S6), H.rstrip() + STATE_SQL + sql_select("state", SK, "", "; ".join(_S6)))
+add("state_retecs6_published", _simple(lambda e: f.state_retecs6(e, True), *_S6), H.rstrip() + STATE_SQL + sql_select("state", SK, "", "; ".join(_S6)))
+_OLDEST = (", lasts AS (SELECT project, build_idx, min(last) AS oldest FROM (SELECT b.project, b.build_idx, e.tc_key, max(e.build_idx) AS last FROM "
+           "(SELECT DISTINCT project, build_idx FROM ex) b JOIN ex e ON e.project = b.project AND e.build_idx < b.build_idx GROUP BY ALL) GROUP BY ALL), "
+           "state6 AS (SELECT state.* REPLACE (CASE WHEN n = 0 THEN 0 WHEN build_idx - 1 > oldest THEN (last_idx - oldest) / (build_idx - 1 - oldest)::DOUBLE "
+           "ELSE 0.5::DOUBLE END AS state_recency) FROM state LEFT JOIN lasts USING (project, build_idx)) ")
+add("state_retecs6", _simple(f.state_retecs6, *_S6), H.rstrip() + STATE_SQL.rstrip() + _OLDEST + sql_select("state6", SK, "", "; ".join(_S6)))
 
 
 def _cold(spark, sf):

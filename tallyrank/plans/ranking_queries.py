@@ -88,7 +88,7 @@ add("rewards_timerank", lambda spark, sf: shaped(r.rewards(ranked(spark, sf), "t
 
 
 def _states(spark, sf):
-    st = r.discretize_state(feat.state_retecs6(executions(spark, sf)))
+    st = r.discretize_state(feat.state_retecs6(executions(spark, sf), as_published=True))
     rw = r.rewards(ranked(spark, sf), "timerank").select("project", "build_id", "tc_key", "reward")
     return shaped(r.mean_reward(st.join(rw, ["project", "build_id", "tc_key"])))
 
