@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.session import materialize
+from tallyrank.session import materialize, owner_of, release, scratch_of
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -70,7 +70,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternating star steps: each round joins every node's neighbours to the smallest of them,
     first for larger neighbours, then for smaller ones. Rows never exceed the edges, a hub's
     neighbours are aggregated before they are joined, and the rounds grow with the logarithm
-    of the nodes. Every round is written to the shared folder.
+    of the nodes. Every round is written to the shared folder and the round before deleted; `release`
+    frees the last one.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), name)
@@ -79,19 +80,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         near = both(edges)
         low = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (near.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        large = materialize(large.filter("a <> b").distinct(), name)
+        before, large = edges, materialize(large.filter("a <> b").distinct(), name)
         # every edge now points to a smaller node; a node joins all its smaller ones to their smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b")))
         edges = materialize(small.distinct(), name)
+        release(before, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("bigint"))).first()
         if now == last:
             break
         last = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    return owner_of(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), *scratch_of(edges))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -8,15 +8,16 @@ discounted mass goes to its failure arc, so every state's probabilities add up t
 
 States are the contexts of at most two words. A state's arc consumes a word and leads to the
 longest context behind it; where it has no arc for the word, its failure arc adds the backoff
-weight and leads to the state with one word less, down to the root, which knows unigrams only. The
-state before a word depends on the two words before it alone, so `_scores` takes the arcs and failure
-arcs of all positions of a chunk at once. `Automaton` and `traverse` are the same automaton held
-whole and walked word by word.
+weight and leads to the state with one word less, down to the root, which knows unigrams only. `Arcs`
+holds the part of the automaton that a chunk's texts can reach, and `walk` reads every text from left
+to right with one state, following arcs and failure arcs and adding up their weights. `Automaton` and
+`traverse` are the same automaton held whole and walked word by word, for comparison.
 
 Passes over the corpus: (1) tasks turn their texts into chunks of at most `chunk_tokens` tokens,
 written as numbers of a chunk-local word list; (2) every chunk deals the keys of its distinct grams
 of one to three words, with their training counts, to buckets by key, and each bucket answers with
-the sum over all chunks; one asking chunk of each gram is its owner; (3) owners count the arcs of
+the sum over all chunks; one asking chunk of each gram is its owner; buckets are dealt in `waves`, and
+what was shuffled for a wave is deleted before the next; (3) owners count the arcs of
 each context, and buckets by context add them up the same way; a context seen once has one arc and is
 not asked for; (4) every chunk meets its answers, which are the arcs of its own contexts, and is
 scored. No task holds more than a chunk or a bucket; buckets grow in number with the bytes of text, and
@@ -50,6 +51,10 @@ DISCOUNT = 0.75
 CHUNK_TOKENS = 2_000_000
 #: Bytes of text for each bucket of grams.
 BUCKET_BYTES = 8_000_000
+#: Parts of the buckets that are dealt one after the other, so that less is under way at once.
+WAVES = 2
+#: Tokens of a text that one step of the traversal takes at most: longer texts are walked from several places at once.
+STRIDE = 512
 #: Lower case for A-Z only, on bytes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -64,15 +69,21 @@ def words_of(text: str) -> list[bytes]:
 
 
 def pack_seq(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^24 as a plane of low 16 bits and one of high bytes, which is nearly all zero."""
-    n = numbers.astype("<u4")
-    return (n & 0xFFFF).astype("<u2").tobytes() + (n >> 16).astype("u1").tobytes()
+    """Numbers as planes: their low 16 bits, then as many high bytes as the largest needs, which are
+    nearly all zero; the first byte tells how many."""
+    n = numbers.astype("<u8")
+    high = max(0, (int(n.max(initial=0)).bit_length() - 9) // 8)
+    planes = [((n >> np.uint64(16 + 8 * k)) & np.uint64(255)).astype("u1").tobytes() for k in range(high)]
+    return bytes([high]) + (n & np.uint64(0xFFFF)).astype("<u2").tobytes() + b"".join(planes)
 
 
 def unpack_seq(data: bytes) -> np.ndarray:
-    n = len(data) // 3
-    low, high = np.frombuffer(data, "<u2", n), np.frombuffer(data, "u1", n, 2 * n)
-    return low.astype(np.int64) | (high.astype(np.int64) << 16)
+    high = data[0]
+    n = (len(data) - 1) // (2 + high)
+    out = np.frombuffer(data, "<u2", n, 1).astype(np.int64)
+    for k in range(high):
+        out |= np.frombuffer(data, "u1", n, 1 + (2 + k) * n).astype(np.int64) << (16 + 8 * k)
+    return out
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -189,10 +200,10 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(bucket, kind="stable").astype(np.int32), at
 
 
-def _ask(chunk: int, keys: np.ndarray, n: np.ndarray, words: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket: keys and counts; the first `words` of the keys are words."""
+def _ask(chunk: int, keys: np.ndarray, n: np.ndarray, words: int, buckets: int, wave: int = 0, waves: int = 1) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket of the wave: keys and counts; the first `words` of the keys are words."""
     order, at = _dealt(keys, buckets)
-    some = np.flatnonzero(np.diff(at)).tolist()
+    some = [b for b in np.flatnonzero(np.diff(at)).tolist() if b * waves // buckets == wave]
     for k in range(0, len(some), 16):
         mine = [order[at[b]:at[b + 1]] for b in some[k:k + 16]]
         yield pa.RecordBatch.from_arrays([
@@ -302,35 +313,99 @@ def traverse(seq: list[int], start: int, arcs: dict[int, tuple[int, float]], wid
     return score
 
 
-def _scores(g: Grams, total: np.ndarray, arcs: np.ndarray, norm: float, discount: float) -> tuple[np.ndarray, ...]:
-    """Training count, unigram and automaton log10 probability of each token. `total` has the counts of the
-    chunk's grams, `arcs` the numbers of arcs of its contexts."""
-    one, two, three = np.split(total, g.ends)
-    # weights of the failure arcs of contexts, 1 where there is no such state
-    back = np.where(total[:g.ends[1]] > 0, discount * arcs / np.maximum(total[:g.ends[1]], 1), 1.0)
-    back_1, back_2 = np.split(back, g.ends[:1])
-    of = lambda c, n: np.maximum(c - discount, 0.0) * (c > 0) / np.maximum(n, 1)
-    root = (one[g.seq] + 0.5) / norm
-    p = (of(two, one[g.context_2]))[g.two] + back_1[g.before] * root
-    state = g.two[g.inner - 1]
-    p[g.inner] = (of(three, two[g.context_3]))[g.three] + back_2[state] * p[g.inner]
-    return one[g.seq], np.log10(root), np.log10(p)
+class Arcs:
+    """The part of the automaton that a chunk's texts can reach, in arrays. State 0 is the root; state
+    1 + w has seen word w, state 1 + words + g the two words of gram g. Arcs are numbered like the grams
+    they consume: `arc_2` and `arc_3` are their weights (log10), `to_2` and `to_3` the states behind
+    them, and an arc is there if its gram has a training count. `back` and `fail` are the weights and
+    ends of failure arcs, `root` and `reach` the arcs of the root."""
+
+    def __init__(self, g: Grams, total: np.ndarray, arcs: np.ndarray, norm: float, discount: float) -> None:
+        one, two, three = np.split(total, g.ends)
+        words = len(one)
+        last_2, suffix = np.empty(len(two), np.int32), np.empty(len(three), np.int32)
+        last_2[g.two] = g.seq
+        suffix[g.three] = g.two[g.inner]
+        state_1 = np.where(one > 0, 1 + np.arange(words), 0)
+        state_2 = np.where(two > 0, 1 + words + np.arange(len(two)), state_1[last_2])
+        # weights of the failure arcs of contexts, 1 where there is no such state
+        back = np.where(total[:g.ends[1]] > 0, discount * arcs / np.maximum(total[:g.ends[1]], 1), 1.0)
+        back_1, back_2 = np.split(back, g.ends[:1])
+        of = lambda c, n: np.maximum(c - discount, 0.0) * (c > 0) / np.maximum(n, 1)
+        unigram = (one + 0.5) / norm
+        p_2 = of(two, one[g.context_2]) + back_1[g.context_2] * unigram[last_2]
+        p_3 = of(three, two[g.context_3]) + back_2[g.context_3] * p_2[suffix]
+        with np.errstate(divide="ignore"):  # a context in which nothing was seen gives all its mass on; its weight is never 0
+            self.back = np.log10(np.concatenate(([1.0], back)))
+        self.fail = np.concatenate((np.zeros(1 + words, np.int64), state_1[last_2]))
+        self.root, self.reach, self.words = np.log10(unigram), state_1, words
+        self.arc_2, self.to_2, self.has_2 = np.log10(p_2), state_2, two > 0
+        self.arc_3, self.to_3, self.has_3 = np.log10(p_3), state_2[suffix], three > 0
+        self.seen = one
+
+
+def walk(a: Arcs, g: Grams, stride: int = STRIDE) -> np.ndarray:
+    """Log10 probability of every token of a chunk: each text is read from left to right by one state
+    that follows arcs and failure arcs, all texts side by side. Two words always lead to one state,
+    whatever came before, so a long text is also entered every `stride` tokens, two words early."""
+    third = np.full(len(g.seq), -1, np.int64)
+    third[g.inner] = g.three
+    parts = np.maximum(1, -(-g.size // stride))
+    text = np.repeat(np.arange(len(g.size)), parts)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = g.start[text] + nth * stride
+    end = np.minimum(begin + stride, (g.start + g.size)[text])
+    early = np.where(nth > 0, 2, 0)
+    order = np.argsort(-(end - begin + early), kind="stable")
+    begin, end, at = begin[order], end[order], (begin - early)[order]
+    # behind an end token, or at the root where two words come first
+    start = a.reach[g.before[0]] if len(g.before) else 0
+    state = np.where(nth[order] > 0, 0, start)
+    out = np.zeros(len(g.seq))
+    active = len(at)
+    while active:
+        while active and at[active - 1] >= end[active - 1]:
+            active -= 1
+        pos, s = at[:active], state[:active]
+        word, second = g.seq[pos], g.two[pos]
+        score = np.zeros(active)
+        deep = s > a.words
+        hit_3 = deep & (third[pos] >= 0) & a.has_3[third[pos]] if len(a.has_3) else np.zeros(active, bool)
+        score[hit_3] = a.arc_3[third[pos[hit_3]]]
+        off = deep & ~hit_3
+        score[off] += a.back[s[off]]
+        s = np.where(off, a.fail[s], s)
+        hit_2 = ~hit_3 & (s > 0) & a.has_2[second]
+        score[hit_2] += a.arc_2[second[hit_2]]
+        low = ~hit_3 & ~hit_2
+        score[low] += a.back[s[low]] + a.root[word[low]]  # the root's own failure weight is 0
+        state[:active] = np.where(hit_2, a.to_2[second], np.where(low, a.reach[word], 0))
+        state[:active][hit_3] = a.to_3[third[pos[hit_3]]]
+        own = pos >= begin[:active]
+        out[pos[own]] = score[own]
+        at[:active] += 1
+    return out
 
 
 def score_documents(docs: DataFrame, train: Column, discount: float = DISCOUNT, chunk_tokens: int = CHUNK_TOKENS,
-                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                    bucket_bytes: int = BUCKET_BYTES, waves: int = WAVES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", F.coalesce(train, F.lit(True)).alias("train"), "text")
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // bucket_bytes))
     chunks = materialize(to_chunks(docs, chunk_tokens), "chunks")
 
-    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                g = Grams(row)
-                yield from _ask(row["chunk"], g.keys, g.counts(), len(g.keys_1), buckets)
+    def ask_counts(wave: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    g = Grams(row)
+                    keys, counts, words = g.keys, g.counts(), len(g.keys_1)
+                    del g
+                    yield from _ask(row["chunk"], keys, counts, words, buckets, wave, waves)
+
+        return run
 
     def ask_arcs(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
@@ -343,8 +418,11 @@ def score_documents(docs: DataFrame, train: Column, discount: float = DISCOUNT,
         kinds = pa.schema(list(zip(_fields(ASK), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))))
         return pa.Table.from_batches(_ask(row["chunk"], g.keys[some], arcs[some], 0, buckets), kinds)
 
-    asked = chunks.select("chunk", "seq", "keys", "size", "train").mapInArrow(ask_counts, ASK)
-    counted = materialize(asked.groupBy("bucket").applyInArrow(_answer, ANSWER), "gram_counts")
+    counted = None
+    for wave in range(waves):
+        asked = chunks.select("chunk", "seq", "keys", "size", "train").mapInArrow(ask_counts(wave), ASK)
+        some = materialize(asked.groupBy("bucket").applyInArrow(_answer, ANSWER), "gram_counts")
+        counted = some if counted is None else counted.unionByName(some)
     total = int(chunks.agg(F.sum("train_tokens")).first()[0] or 0)
     distinct = int(counted.agg(F.sum("words")).first()[0] or 0)
     norm = total + 0.5 * (distinct + 1)
@@ -359,7 +437,8 @@ def score_documents(docs: DataFrame, train: Column, discount: float = DISCOUNT,
         n = _read(g.keys, buckets, _answers(answers, 1)) >> 1
         arcs, some = np.ones(g.ends[1], np.int64), g.asked(n)
         arcs[some] = _read(g.keys[some], buckets, _answers(answers, 2)) >> 1
-        c, root, p = _scores(g, n, arcs, norm, discount)
+        a = Arcs(g, n, arcs, norm, discount)
+        c, root, p = a.seen[g.seq], a.root[g.seq], walk(a, g)
         per_text = lambda x: pa.array(np.add.reduceat(x, g.start))
         return pa.table([pa.array(row["docs"], pa.int64()), pa.array(~g.train), pa.array(g.size),
                          per_text((c > 0).astype(np.int64)), per_text(root), per_text(p)], names=_fields(SCORED))

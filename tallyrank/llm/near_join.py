@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.llm.common import components, map_batches, text_key, texts_of, window_hashes, word_hashes
-from tallyrank.session import materialize
+from tallyrank.session import materialize, release
 
 THRESHOLD, SHINGLE = 0.8, 5
 TREES, DEPTH, TARGET = 20, 6, 0.9995
@@ -179,7 +179,8 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     texts = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("labels").alias("labels"))
     texts = materialize(texts.withColumn("cid", F.monotonically_increasing_id()), "texts")
     ties = _ties(texts, trees, depth, shortened(threshold, depth, trees, target))
-    groups = components(ties, "tied").select(F.col("node").alias("cid"), "root")
+    tied = components(ties, "tied")
+    groups = tied.select(F.col("node").alias("cid"), "root")
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = groups.join(sizes, "root").join(texts.select("cid", "key", "rep"), "cid")
     members = members.withColumn("block", F.pmod(F.hash("cid"), F.col("blocks")))
@@ -192,8 +193,11 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     verified = materialize(_verify(spread, threshold, shingle), "verified")
     links = verified.groupBy("cid").agg(F.sum("links").alias("n_links"))
     joined = components(verified.select(F.col("cid").alias("a"), F.col("peer").alias("b")), "linked")
-    return rows.select("doc_id", "key"), texts.join(joined, texts["cid"] == joined["node"], "left").join(links, "cid", "left").select(
+    classes = texts.join(joined, texts["cid"] == joined["node"], "left").join(links, "cid", "left").select(
         "key", "rep", F.coalesce("root", "cid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = materialize(classes, "classes")
+    release(rows, texts, tied, verified, joined)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("key")), classes
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES,

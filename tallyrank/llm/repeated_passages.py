@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.llm.common import fresh, list_column, map_batches, text_key, texts_of, window_hashes, word_hashes
-from tallyrank.session import materialize
+from tallyrank.session import materialize, owner_of, release, scratch_of
 
 WINDOW, GRAM = 35, 8
 HOT, SHARD_WORDS = 5000, 200_000
@@ -236,12 +236,15 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     ranges = contexts.select("key", "lo", "a", "h").join(located, ["a", "h"]).select("key", F.explode(at).alias("r"))
     ranges = ranges.groupBy("key").agg(F.collect_set("r").alias("ranges"))
     edits = _edit(texts.dropDuplicates(["key"]).join(ranges, "key"))
-    return profile.select("doc_id", "key", "n_words", "sha"), materialize(edits, "edits")
+    edits = materialize(edits, "edits")
+    release(again, texts, contexts)
+    return owner_of(profile.select("doc_id", "key", "n_words", "sha"), *scratch_of(profile)), edits
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """`docs` with the repeated passages cut out of their texts; all rows and columns stay."""
-    _, edits = find_repeats(docs, **options)
+    profile, edits = find_repeats(docs, **options)
+    release(profile)
     own, key, new = (fresh(docs, c) for c in ("_own_key", "_edit_key", "_edit_text"))
     edits = edits.select(F.col("key").alias(key), F.col("text").alias(new))
     joined = docs.withColumn(own, text_key()).join(edits, F.col(own) == F.col(key), "left")
