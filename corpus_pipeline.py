@@ -14,7 +14,7 @@ from tallyrank.llm.near_join import text_classes
 from tallyrank.llm.packing import pack, pieces
 from tallyrank.llm.repeated_passages import remove_repeats
 from tallyrank.llm.toxicity import fit_toxicity
-from tallyrank.session import materialize, scratch_path, write_cut
+from tallyrank.session import discard, materialize, scratch_path, scratch_scope, write_cut
 
 #: A document goes if its toxicity score is this or more.
 TOXIC = 0.7
@@ -79,6 +79,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = write_cut(stage(spark, docs, sf_dir), scratch_path(spark, name))
+        path = scratch_path(spark, name)
+        with scratch_scope(kept):  # frees what the stage wrote for itself
+            docs = write_cut(stage(spark, docs, sf_dir), path)
+        for before in kept:
+            discard(before)
+        kept = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
