@@ -16,15 +16,15 @@ to right with one state, following arcs and failure arcs and adding up their wei
 Passes over the corpus: (1) tasks turn their texts into chunks of at most `chunk_tokens` tokens,
 written as numbers of a chunk-local word list; (2) every chunk deals the keys of its distinct grams
 of one to three words, with their training counts, to buckets by key, and each bucket answers with
-the sum over all chunks; one asking chunk of each gram is its owner; buckets are dealt in `waves`, and
-what was shuffled for a wave is deleted before the next; (3) owners count the arcs of
+the sum over all chunks; one asking chunk of each gram is its owner; grams of up to two words are
+dealt first, those of three when what was shuffled for the others is gone; (3) owners count the arcs of
 each context, and buckets by context add them up the same way; a context seen once has one arc and is
 not asked for; (4) every chunk meets its answers, which are the arcs of its own contexts, and is
 scored. No task holds more than a chunk or a bucket; buckets grow in number with the bytes of text, and
 a gram has at most one entry per chunk. Neither the driver nor a broadcast holds any part of the model.
 
-A gram's key is a 64-bit hash; two of 10^8 grams share a key with a chance below 1 in 1000, and would
-then share their count.
+A gram's key is a 64-bit hash, of which seven bytes travel and the bucket stands for the rest; two of
+10^8 grams share a key with a chance below 1 in 500, and would then share their count.
 
 Null and empty texts are the end token alone. Repeated rows count and score each for itself. With
 no training text (an empty table too) all counts are 0 and every token has the same probability.
@@ -40,6 +40,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +49,9 @@ from tallyrank.session import materialize
 
 END = ""  # no word is empty
 DISCOUNT = 0.75
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 #: Bytes of text for each bucket of grams.
-BUCKET_BYTES = 8_000_000
-#: Parts of the buckets that are dealt one after the other, so that less is under way at once.
-WAVES = 2
+BUCKET_BYTES = 12_000_000
 #: Tokens of a text that one step of the traversal takes at most: longer texts are walked from several places at once.
 STRIDE = 512
 #: Lower case for A-Z only, on bytes.
@@ -68,38 +67,39 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def pack_seq(numbers: np.ndarray) -> bytes:
-    """Numbers as planes: their low 16 bits, then as many high bytes as the largest needs, which are
-    nearly all zero; the first byte tells how many."""
-    n = numbers.astype("<u8")
-    high = max(0, (int(n.max(initial=0)).bit_length() - 9) // 8)
-    planes = [((n >> np.uint64(16 + 8 * k)) & np.uint64(255)).astype("u1").tobytes() for k in range(high)]
-    return bytes([high]) + (n & np.uint64(0xFFFF)).astype("<u2").tobytes() + b"".join(planes)
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(data)
 
 
-def unpack_seq(data: bytes) -> np.ndarray:
-    high = data[0]
-    n = (len(data) - 1) // (2 + high)
-    out = np.frombuffer(data, "<u2", n, 1).astype(np.int64)
-    for k in range(high):
-        out |= np.frombuffer(data, "u1", n, 1 + (2 + k) * n).astype(np.int64) << (16 + 8 * k)
-    return out
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as planes of bytes, as many as the largest needs; high planes are nearly all zero."""
+    """Numbers as planes of bytes, as many as the largest needs; high planes are nearly all zero."""
     width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
-    return counts.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes()
+    return _packed(counts.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes())
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), "u1")
     if n:
-        planes = np.frombuffer(data, "u1").reshape(-1, n)
+        planes = np.frombuffer(_unpacked(data), "u1").reshape(-1, n)
         out[:, :len(planes)] = planes.T
     return out.view("<i8").ravel()
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """The upper seven bytes of each key; its bucket tells as much as the eighth, or more."""
+    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, 1:].tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), "u1")
+    out[:, 1:] = np.frombuffer(data, "u1").reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
 def _fields(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -121,7 +121,7 @@ def to_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             place[order] = np.arange(len(order), dtype=np.int32)
             sizes = np.array([len(s) for _, _, s in held], "<i8")
             train = np.array([t for _, t, _ in held], bool)
-            row = [(part << 24) + seen, [d for d, _, _ in held], train.tobytes(), sizes.tobytes(), pack_seq(place[seq]),
+            row = [(part << 24) + seen, [d for d, _, _ in held], train.tobytes(), sizes.tobytes(), pack_counts(place[seq]),
                    word_hashes(list(numbers))[order].astype("<u8").tobytes(), int(sizes[train].sum())]
             kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=_fields(PART))
@@ -158,38 +158,44 @@ def _distinct(context: np.ndarray, word: np.ndarray, w: int) -> tuple[np.ndarray
 
 
 class Grams:
-    """Distinct grams of a chunk: one word (numbers of its list), two and three words. `two` gives each
-    token's gram with the word before it, `three` that with two words before it for tokens in `inner`, which
-    are not the first of their text; `context_2` and `context_3` number a gram's context."""
+    """Distinct grams of a chunk: one word (numbers of its list), two and, if `third`, three words. `two`
+    gives each token's gram with the word before it, `three` that with two words before it for tokens in
+    `inner`, which are not the first of their text; `context_2` and `context_3` number a gram's context."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, third: bool = True) -> None:
         self.keys_1 = np.frombuffer(row["keys"], "<u8")
         self.size = np.frombuffer(row["size"], "<i8")
         self.train = np.frombuffer(row["train"], bool)
-        self.seq = unpack_seq(row["seq"]).astype(np.int32)
+        self.seq = unpack_counts(row["seq"], int(self.size.sum())).astype(np.int32)
         self.start = np.cumsum(self.size) - self.size
         w = len(self.keys_1)
         end = np.flatnonzero(self.keys_1 == word_hashes([END.encode()])[0])[:1].astype(np.int32)
         # grams do not run from one text into the next, but every text starts behind an end token
         self.before = np.concatenate([end, self.seq[:-1]])
         self.context_2, last, self.two = _distinct(self.before, self.seq, w)
-        self.keys_2 = _key(self.keys_1[self.context_2], self.keys_1[last])
-        inner = np.ones(len(self.seq), bool)
-        inner[self.start] = False
-        self.inner = np.flatnonzero(inner).astype(np.int32)
-        self.context_3, last, self.three = _distinct(self.two[self.inner - 1], self.seq[self.inner], w)
-        self.keys_3 = _key(self.keys_2[self.context_3], self.keys_1[last])
-        self.keys = np.concatenate([self.keys_1, self.keys_2, self.keys_3])
-        self.ends = np.cumsum([len(self.keys_1), len(self.keys_2)])
-
-    def counts(self) -> np.ndarray:
-        """Training counts in the order of `keys`."""
+        keys_2 = _key(self.keys_1[self.context_2], self.keys_1[last])
+        self.short = np.concatenate([self.keys_1, keys_2])
+        self.ends = np.cumsum([w, len(keys_2)])
+        if third:
+            inner = np.ones(len(self.seq), bool)
+            inner[self.start] = False
+            self.inner = np.flatnonzero(inner).astype(np.int32)
+            self.context_3, last, self.three = _distinct(self.two[self.inner - 1], self.seq[self.inner], w)
+            self.long = _key(keys_2[self.context_3], self.keys_1[last])
+
+    def counts(self, third: bool) -> np.ndarray:
+        """Training counts in the order of `long`, or of `short`."""
         t = np.repeat(self.train, self.size)
-        return np.concatenate([np.bincount(g[m], minlength=len(k)) for g, m, k in (
-            (self.seq, t, self.keys_1), (self.two, t, self.keys_2), (self.three, t[self.inner], self.keys_3))])
+        if third:
+            return np.bincount(self.three[t[self.inner]], minlength=len(self.long))
+        return np.concatenate([np.bincount(g[t], minlength=n) for g, n in ((self.seq, len(self.keys_1)), (self.two, len(self.context_2)))])
+
+    def drop_keys(self) -> None:
+        """Once the answers are read only numbers count."""
+        self.short = self.long = None
 
     def asked(self, total: np.ndarray) -> np.ndarray:
-        """Contexts, as places in `keys`, whose number of arcs is not known from their count alone."""
+        """Contexts, as places in `short`, whose number of arcs is not known from their count alone."""
         return np.flatnonzero(total[:self.ends[1]] > 1)
 
 
@@ -200,23 +206,23 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(bucket, kind="stable").astype(np.int32), at
 
 
-def _ask(chunk: int, keys: np.ndarray, n: np.ndarray, words: int, buckets: int, wave: int = 0, waves: int = 1) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket of the wave: keys and counts; the first `words` of the keys are words."""
+def _ask(chunk: int, keys: np.ndarray, n: np.ndarray, words: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: keys and counts; the first `words` of the keys are words."""
     order, at = _dealt(keys, buckets)
-    some = [b for b in np.flatnonzero(np.diff(at)).tolist() if b * waves // buckets == wave]
+    some = np.flatnonzero(np.diff(at)).tolist()
     for k in range(0, len(some), 16):
         mine = [order[at[b]:at[b + 1]] for b in some[k:k + 16]]
         yield pa.RecordBatch.from_arrays([
             pa.array(some[k:k + 16], pa.int32()), pa.array([chunk] * len(mine), pa.int64()),
             pa.array([int((o < words).sum()) for o in mine], pa.int32()),
-            pa.array([keys[o].tobytes() for o in mine], pa.binary()),
+            pa.array([pack_keys(keys[o]) for o in mine], pa.binary()),
             pa.array([pack_counts(n[o]) for o in mine], pa.binary())], names=_fields(ASK))
 
 
 def _answer(rows: pa.Table) -> pa.Table:
     """Sums over the chunks that ask a bucket, doubled, plus 1 for the owner of a key; and the distinct words seen."""
     asked = sorted(zip(*[rows.column(c).to_pylist() for c in _fields(ASK)]))
-    keys = [np.frombuffer(k, "<u8") for _, _, _, k, _ in asked]
+    keys = [unpack_keys(k) for _, _, _, k, _ in asked]
     size = [len(k) for k in keys]
     n = np.concatenate([unpack_counts(r[4], m) for r, m in zip(asked, size)])
     _, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
@@ -326,8 +332,8 @@ class Arcs:
         last_2, suffix = np.empty(len(two), np.int32), np.empty(len(three), np.int32)
         last_2[g.two] = g.seq
         suffix[g.three] = g.two[g.inner]
-        state_1 = np.where(one > 0, 1 + np.arange(words), 0)
-        state_2 = np.where(two > 0, 1 + words + np.arange(len(two)), state_1[last_2])
+        state_1 = np.where(one > 0, 1 + np.arange(words), 0).astype(np.int32)
+        state_2 = np.where(two > 0, 1 + words + np.arange(len(two)), state_1[last_2]).astype(np.int32)
         # weights of the failure arcs of contexts, 1 where there is no such state
         back = np.where(total[:g.ends[1]] > 0, discount * arcs / np.maximum(total[:g.ends[1]], 1), 1.0)
         back_1, back_2 = np.split(back, g.ends[:1])
@@ -337,7 +343,7 @@ class Arcs:
         p_3 = of(three, two[g.context_3]) + back_2[g.context_3] * p_2[suffix]
         with np.errstate(divide="ignore"):  # a context in which nothing was seen gives all its mass on; its weight is never 0
             self.back = np.log10(np.concatenate(([1.0], back)))
-        self.fail = np.concatenate((np.zeros(1 + words, np.int64), state_1[last_2]))
+        self.fail = np.concatenate((np.zeros(1 + words, np.int32), state_1[last_2]))
         self.root, self.reach, self.words = np.log10(unigram), state_1, words
         self.arc_2, self.to_2, self.has_2 = np.log10(p_2), state_2, two > 0
         self.arc_3, self.to_3, self.has_3 = np.log10(p_3), state_2[suffix], three > 0
@@ -348,7 +354,7 @@ def walk(a: Arcs, g: Grams, stride: int = STRIDE) -> np.ndarray:
     """Log10 probability of every token of a chunk: each text is read from left to right by one state
     that follows arcs and failure arcs, all texts side by side. Two words always lead to one state,
     whatever came before, so a long text is also entered every `stride` tokens, two words early."""
-    third = np.full(len(g.seq), -1, np.int64)
+    third = np.full(len(g.seq), -1, np.int32)
     third[g.inner] = g.three
     parts = np.maximum(1, -(-g.size // stride))
     text = np.repeat(np.arange(len(g.size)), parts)
@@ -388,62 +394,67 @@ def walk(a: Arcs, g: Grams, stride: int = STRIDE) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, train: Column, discount: float = DISCOUNT, chunk_tokens: int = CHUNK_TOKENS,
-                    bucket_bytes: int = BUCKET_BYTES, waves: int = WAVES) -> DataFrame:
+                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", F.coalesce(train, F.lit(True)).alias("train"), "text")
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // bucket_bytes))
     chunks = materialize(to_chunks(docs, chunk_tokens), "chunks")
 
-    def ask_counts(wave: int):
+    def ask_counts(third: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = batch.slice(k, 1).to_pylist()[0]
-                    g = Grams(row)
-                    keys, counts, words = g.keys, g.counts(), len(g.keys_1)
+                    g = Grams(row, third)
+                    keys, counts, words = (g.long, g.counts(True), 0) if third else (g.short, g.counts(False), len(g.keys_1))
                     del g
-                    yield from _ask(row["chunk"], keys, counts, words, buckets, wave, waves)
+                    yield from _ask(row["chunk"], keys, counts, words, buckets)
 
         return run
 
+    def known(g: Grams, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _read(g.short, buckets, _answers(answers, 1)), _read(g.long, buckets, _answers(answers, 2))
+
     def ask_arcs(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         g = Grams(row)
-        got = _read(g.keys, buckets, _answers(answers, 1))
-        total, owned = got >> 1, (got & 1 > 0) & (got > 1)
-        arcs = np.concatenate([np.bincount(c[o], minlength=len(k)) for c, o, k in (
-            (g.context_2, owned[g.ends[0]:g.ends[1]], g.keys_1), (g.context_3, owned[g.ends[1]:], g.keys_2))])
-        some = g.asked(total)
+        short, long = known(g, answers)
+        owned = lambda got: (got & 1 > 0) & (got > 1)
+        arcs = np.concatenate([np.bincount(g.context_2[owned(short[g.ends[0]:])], minlength=len(g.keys_1)),
+                               np.bincount(g.context_3[owned(long)], minlength=len(g.context_2))])
+        some, keys = g.asked(short >> 1), g.short
         kinds = pa.schema(list(zip(_fields(ASK), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))))
-        return pa.Table.from_batches(_ask(row["chunk"], g.keys[some], arcs[some], 0, buckets), kinds)
+        del g, short, long
+        return pa.Table.from_batches(_ask(row["chunk"], keys[some], arcs[some], 0, buckets), kinds)
 
-    counted = None
-    for wave in range(waves):
-        asked = chunks.select("chunk", "seq", "keys", "size", "train").mapInArrow(ask_counts(wave), ASK)
-        some = materialize(asked.groupBy("bucket").applyInArrow(_answer, ANSWER), "gram_counts")
-        counted = some if counted is None else counted.unionByName(some)
+    counts = []
+    for third in (False, True):  # one after the other, so that less is under way at once
+        asked = chunks.select("chunk", "seq", "keys", "size", "train").mapInArrow(ask_counts(third), ASK)
+        counts.append(materialize(asked.groupBy("bucket").applyInArrow(_answer, ANSWER), "gram_counts"))
     total = int(chunks.agg(F.sum("train_tokens")).first()[0] or 0)
-    distinct = int(counted.agg(F.sum("words")).first()[0] or 0)
+    distinct = int(counts[0].agg(F.sum("words")).first()[0] or 0)
     norm = total + 0.5 * (distinct + 1)
     of_chunk = lambda rows, kind: rows.select("chunk", F.lit(kind).alias("kind"), "bucket", "n")
+    counted = of_chunk(counts[0], 1).unionByName(of_chunk(counts[1], 2))
     asked = chunks.select("chunk", "seq", "keys", "size", "train").groupBy("chunk").cogroup(
-        of_chunk(counted, 1).groupBy("chunk")).applyInArrow(ask_arcs, ASK)
+        counted.groupBy("chunk")).applyInArrow(ask_arcs, ASK)
     arcs = materialize(asked.groupBy("bucket").applyInArrow(_answer, ANSWER), "context_arcs")
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         g = Grams(row)
-        n = _read(g.keys, buckets, _answers(answers, 1)) >> 1
+        n = np.concatenate(known(g, answers)) >> 1
         arcs, some = np.ones(g.ends[1], np.int64), g.asked(n)
-        arcs[some] = _read(g.keys[some], buckets, _answers(answers, 2)) >> 1
+        arcs[some] = _read(g.short[some], buckets, _answers(answers, 3)) >> 1
+        g.drop_keys()
         a = Arcs(g, n, arcs, norm, discount)
         c, root, p = a.seen[g.seq], a.root[g.seq], walk(a, g)
         per_text = lambda x: pa.array(np.add.reduceat(x, g.start))
         return pa.table([pa.array(row["docs"], pa.int64()), pa.array(~g.train), pa.array(g.size),
                          per_text((c > 0).astype(np.int64)), per_text(root), per_text(p)], names=_fields(SCORED))
 
-    answers = of_chunk(counted, 1).unionByName(of_chunk(arcs, 2))
+    answers = counted.unionByName(of_chunk(arcs, 3))
     scored = chunks.drop("train_tokens").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
 
