@@ -2,10 +2,12 @@
 
 Every partition packs its pieces best-fit, longest first. Bins that are nearly full are final.
 The others travel up a tree as items of their own: `fan_in` partitions meet, their open bins
-are packed best-fit into each other, and so on up to one partition. In any partition at most
-one bin is half empty or emptier after best fit (two such would share a bin), so what still
-can be joined shrinks with every round; a partition hands on its `carry` emptiest open bins
-and closes the rest, which bounds every task without leaving a piece out.
+are packed best-fit into each other, and so on up to one partition. After best fit at most one bin
+of a partition is half empty or emptier (two such would share a bin), and bins that are more than
+half full never join each other. So a meeting joins no more than `fan_in` bins, and of bins with
+equal fill it can use no more than that: a partition hands on every emptier bin and, of each fill,
+`fan_in` bins for every round to come. What stays behind could not have been used, which bounds
+every task by the number of fills and not by the rows.
 
 Null and empty texts hold the end id alone. Repeated rows are packed each for itself; equal
 lengths keep the order of the row numbers given when the pieces were written. An empty table
@@ -92,16 +94,25 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _pack_round(items: DataFrame, level: int, capacity: int, slack: int, carry: int) -> DataFrame:
+def handed_on(fills: np.ndarray, capacity: int, slack: int, alike: int, carry: int | None = None) -> np.ndarray:
+    """Which bins travel on: of each fill above half at most `alike`, and all others that are not
+    nearly full; with `carry` only that many of them, the emptiest."""
+    order = np.argsort(fills, kind="stable")
+    size = fills[order]
+    place = np.arange(len(size)) - np.searchsorted(size, size)
+    on = order[(size < capacity - slack) & ((place < alike) | (size <= capacity // 2))]
+    opened = np.zeros(len(fills), bool)
+    opened[on[:carry]] = True
+    return opened
+
+
+def _pack_round(items: DataFrame, level: int, capacity: int, slack: int, alike: int, carry: int | None) -> DataFrame:
     """One best-fit round in every partition `part` of items (part, id, size)."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
         part = int(group["part"].iloc[0])
         bins, offsets, fills = best_fit(group["size"].to_numpy(), capacity)
-        under = np.flatnonzero(fills < capacity - slack)
-        under = under[np.argsort(fills[under], kind="stable")[:carry]]
-        opened = np.zeros(len(fills), bool)
-        opened[under] = True
+        opened = handed_on(fills, capacity, slack, alike, carry)
         return pd.DataFrame({
             "part": part, "id": group["id"], "bin": (level << 58) + (part << 26) + bins, "off": offsets,
             "fill": fills[bins], "open": opened[bins],
@@ -111,11 +122,12 @@ def _pack_round(items: DataFrame, level: int, capacity: int, slack: int, carry:
 
 
 def pack(cut: DataFrame, capacity: int = 1024, local_items: int = 16384, fan_in: int = 8, slack: int = 8,
-         carry: int = 8192) -> DataFrame:
+         carry: int | None = None) -> DataFrame:
     """`cut` (from `pieces`) with sequence_id and offset: its place in the sequence, gapless from 0.
 
-    `slack` ids short of full counts as nearly full. A round holds `local_items` items, or at
-    most `fan_in * carry` open bins, in one task.
+    `slack` ids short of full counts as nearly full. A task holds about `local_items` items in the
+    first round, later at most `fan_in` times `fan_in` bins of each fill for each round to come;
+    `carry` bounds them further, at the price of bins that could have been joined.
     """
     rows = materialize(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     items = rows.filter(F.col("length") < capacity).select(F.col("_row").alias("id"), F.col("length").alias("size"))
@@ -123,7 +135,10 @@ def pack(cut: DataFrame, capacity: int = 1024, local_items: int = 16384, fan_in:
     items = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     level, found = 0, []
     while True:
-        done = materialize(_pack_round(items, level, capacity, slack, carry), "packed")
+        rounds, left = 0, parts
+        while left > 1:
+            rounds, left = rounds + 1, math.ceil(left / fan_in)
+        done = materialize(_pack_round(items, level, capacity, slack, fan_in * rounds, carry), "packed")
         found.append(done)
         if parts == 1:
             break

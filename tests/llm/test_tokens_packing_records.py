@@ -135,3 +135,27 @@ def test_starts_add_up(spark):
     for r in rows:
         assert r["start"] == at
         at += r["n_tokens"]
+
+
+def test_what_stays_behind_could_not_be_used():
+    """Trees of best-fit rounds end with as many bins, whether all open bins travel or only those that can matter."""
+    rng = np.random.default_rng(4)
+    for capacity, fan_in, high in ((64, 2, 64), (64, 3, 40), (100, 2, 90)):
+        groups = [rng.integers(1, high, rng.integers(1, 60)) for _ in range(fan_in ** 3)]
+        ends = []
+        for every in (False, True):
+            level, final = [g.astype(np.int64) for g in groups], 0
+            rounds = 3
+            while True:
+                fills = [packing.best_fit(g, capacity)[2] for g in level]
+                if len(level) == 1:
+                    final += len(fills[0])
+                    break
+                on = [packing.handed_on(f, capacity, 0, 10**9 if every else fan_in * rounds) for f in fills]
+                assert every or max(o.sum() for o in on) <= capacity * fan_in * rounds
+                final += sum(int((~o).sum()) for o in on)
+                moving = [f[o] for f, o in zip(fills, on)]
+                level = [np.concatenate(moving[i:i + fan_in]) for i in range(0, len(moving), fan_in)]
+                rounds -= 1
+            ends.append(final)
+        assert ends[0] == ends[1]
