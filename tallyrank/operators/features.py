@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tallyrank.functions.verdict import fail_from_code
 from tallyrank.operators.clean import BUILD
 from tallyrank.operators.history import TEST, history, snapshot
-from tallyrank.operators.scale import exact_quantiles, running_sums
+from tallyrank.operators.scale import exact_quantiles, quantiles_of_counts, running_sums, value_counts
 from tallyrank.session import materialize
 
 # fixed values: column names and order of the published feature layouts
@@ -284,10 +284,17 @@ def cold_start_defaults(features: DataFrame, train: DataFrame, means: Sequence[s
 
 
 def default_row(train: DataFrame, means: Sequence[str] = (), medians: Sequence[str] = ()) -> DataFrame:
-    """One row of training statistics."""
-    row = train.agg(F.count(F.lit(1)).alias("_m_rows"), *[F.avg(c).alias(f"_m_{c}") for c in means])
-    for c in medians:
-        row = row.crossJoin(exact_quantiles(train.select(c), [], c, {f"_m_{c}": 0.5}))
+    """One row of training statistics, all from one count of the values of all columns."""
+    names = list(dict.fromkeys([*means, *medians]))
+    counts = materialize(value_counts(train.withColumn("_row", F.lit(0)), ["_row", *names]), "values")
+    of = lambda c, v: F.sum(F.when(F.col("feature") == c, v))
+    known = F.when(F.col("value").isNotNull(), F.col("_c"))
+    row = counts.agg(F.coalesce(of("_row", F.col("_c")), F.lit(0)).alias("_m_rows"),
+                     *[(of(c, F.col("value") * F.col("_c")) / of(c, known)).alias(f"_m_{c}") for c in means])
+    if medians:
+        half = quantiles_of_counts(counts.filter(F.col("feature").isin(*medians) & F.col("value").isNotNull()), ["feature"], "value", {"q": 0.5})
+        middle = half.agg(*[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"_m_{c}") for c in medians])
+        row = row.crossJoin(F.broadcast(middle))  # one row each
     return row
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tallyrank.functions.hashing import hash_int, uniform
 from tallyrank.operators.clean import BUILD
-from tallyrank.operators.pairs import HOT_BUCKET, busiest_overlap, pair_counts
+from tallyrank.operators.pairs import BLOCK, HOT_BUCKET, busiest_overlap, pair_counts
 from tallyrank.operators.scale import number_rows
 from tallyrank.session import materialize
 
@@ -220,7 +220,7 @@ def _commit_builds(df: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def commit_dag(df: DataFrame, max_commits: int | None = None, window: int = 10, min_weight: float = 0.1,
-               max_edges: int | None = None) -> DataFrame:
+               max_edges: int | None = None, block: int = BLOCK) -> DataFrame:
     """Edges from commits of the previous `window` builds to a commit first seen now, and
     both ways between commits of one build.
 
@@ -238,8 +238,13 @@ def commit_dag(df: DataFrame, max_commits: int | None = None, window: int = 10,
     if max_edges is not None:
         w = Window.partitionBy(*SCOPE, "dst").orderBy(F.desc("build_idx"), "src")
         temporal = temporal.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_edges).drop("_r")
-    other = cb.select(*SCOPE, "build_idx", F.col("commit").alias("dst"))
-    siblings = cb.withColumnRenamed("commit", "src").join(other, [*SCOPE, "build_idx"]).filter("src <> dst").select(
+    # commits of a build in blocks: a task joins a block with a block, however large the build
+    sizes = cb.groupBy(*SCOPE, "build_idx").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = cb.join(sizes, [*SCOPE, "build_idx"]).withColumn("_parts", F.ceil(F.col("_n") / block).cast("int"))
+    own, every = F.pmod(F.xxhash64("commit"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left = dealt.select(*SCOPE, "build_idx", F.col("commit").alias("src"), own.alias("_p"), every.alias("_q"))
+    right = dealt.select(*SCOPE, "build_idx", F.col("commit").alias("dst"), every.alias("_p"), own.alias("_q"))
+    siblings = left.join(right, [*SCOPE, "build_idx", "_p", "_q"]).filter("src <> dst").select(
         *SCOPE, "src", "dst", "build_idx", F.lit("sibling").alias("kind"), F.lit(0.8).alias("weight"))
     return temporal.unionByName(siblings)
 

@@ -123,7 +123,7 @@ def score_ensemble(model: Ensemble | None, df: DataFrame, fallback: str = "failu
 def _forest(train: DataFrame, columns: Sequence[str], label: str, n_trees: int = 20, depth: int = 3) -> DataFrame:
     """Predicted class of each test by a forest on all of them."""
     model = fit_forest(train, listed(columns), F.col(label), TEST, n_trees=n_trees, depth=depth)
-    return train.select(*TEST, (model.predict(listed(columns)) >= 0.5).cast("int").alias("y"))
+    return train.select(*TEST, (F.round(model.predict(listed(columns)), 9) >= 0.5).cast("int").alias("y"))
 
 
 def sensitivity_flags(nodes: DataFrame, edges: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:

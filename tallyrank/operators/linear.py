@@ -64,7 +64,7 @@ def summed(rows: DataFrame, terms: Callable[[pa.RecordBatch], np.ndarray]) -> np
                 new = terms(batch)
                 total = new if total is None else total + new
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.astype(np.float64))], names=["term", "value"])
 
     got = rows.mapInArrow(run, "term long, value double").groupBy("term").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros(got.num_rows)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.functions.hashing import hash_int, uniform
 from tallyrank.operators.clean import BUILD
-from tallyrank.operators.graph import random_pairs
+from tallyrank.operators.graph import numbered_nodes
+from tallyrank.operators.pairs import partitions
 from tallyrank.operators.scale import number_rows, running_sums
+from tallyrank.session import materialize
 
 SCOPE = ["project"]
 
@@ -64,14 +66,34 @@ def stratified_batches(df: DataFrame, size: int = 32, min_pos: int = 4, key: Seq
 
 
 def build_batches(df: DataFrame, size: int = 32, min_fail: int = 1, seed: int = 42) -> DataFrame:
-    """Whole builds in hash order packed to about `size` rows; builds with fewer than
-    `min_fail` failures are left out. A batch starts where the running row count passes a
-    multiple of `size`, so its bounds differ from one-by-one packing."""
+    """Whole builds in hash order packed one by one: a build that would take the batch above `size`
+    rows starts the next one (a larger build has a batch of its own). Builds with fewer than
+    `min_fail` failures are left out.
+
+    Where a batch that starts with a build ends depends on that build alone, so every build points
+    to the start that would follow. The starts are what the first build reaches; doubling the
+    pointers finds them in as many rounds as their number has binary digits.
+    """
     b = df.groupBy(*BUILD).agg(F.count(F.lit(1)).alias("_n"), F.sum("fail").alias("_f")).filter(F.col("_f") >= min_fail)
-    b = b.withColumn("_h", hash_int(*[F.col(k) for k in BUILD], seed))
-    cum = running_sums(b, [], [F.col("_h"), *[F.col(k) for k in BUILD]], {"_cum": "_n"})
-    batch = F.floor((F.col("_cum") - F.col("_n")) / size)
-    return df.join(cum.select(*BUILD, batch.alias("batch")), BUILD)
+    b = b.withColumn("_h", hash_int(*[F.col(k) for k in BUILD], seed)).withColumn("_one", F.lit(1).cast("bigint"))
+    cum = running_sums(b, [], [F.col("_h"), *[F.col(k) for k in BUILD]], {"_cum": "_n", "_pos": "_one"})
+    cum = materialize(cum.select(*BUILD, "_n", "_cum", "_pos"), "builds")
+    # builds that end at or before the last row that a batch from here may have
+    ends = cum.select(F.col("_cum").alias("_at"), F.lit(1).alias("_end"), F.lit(0).cast("bigint").alias("_pos"))
+    asks = cum.select((F.col("_cum") - F.col("_n") + size).alias("_at"), F.lit(0).alias("_end"), "_pos")
+    seen = running_sums(ends.unionByName(asks), [], [F.col("_at"), F.desc("_end"), F.col("_pos")], {"_ended": "_end"})
+    hops = seen.filter("_end = 0").select("_pos", F.greatest(F.col("_ended") + 1, F.col("_pos") + 1).alias("_to"))
+    last = cum.agg(F.max("_pos")).first()[0] or 0
+    doubled = [materialize(hops.filter(F.col("_to") <= last), "hops")]
+    while not doubled[-1].isEmpty():
+        step = doubled[-1].select(F.col("_pos").alias("_to"), F.col("_to").alias("_then"))
+        doubled.append(materialize(doubled[-1].join(step, "_to").select("_pos", F.col("_then").alias("_to")), "hops"))
+    starts = df.sparkSession.range(1, 2).select(F.col("id").alias("_pos"))
+    for hop in reversed(doubled):
+        starts = materialize(starts.unionByName(starts.join(hop, "_pos").select(F.col("_to").alias("_pos"))), "starts")
+    marked = cum.join(starts.withColumn("_start", F.lit(1)), "_pos", "left").na.fill(0, ["_start"])
+    batch = running_sums(marked, [], [F.col("_pos")], {"_batch": "_start"})
+    return df.join(batch.select(*BUILD, (F.col("_batch") - 1).alias("batch")), BUILD)
 
 
 def split_edges(edges: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
@@ -83,17 +105,53 @@ def split_edges(edges: DataFrame, val: float = 0.1, test: float = 0.1, seed: int
     return rows.join(n, SCOPE).withColumn("split", part).drop("_n", "_no")
 
 
+def counted_up(rows: DataFrame, many: Column, name: str, at_once: int = 4096) -> DataFrame:
+    """Every row `many` times, numbered from 0; no row becomes more than `at_once` in one place."""
+    first = rows.withColumns({"_many": many.cast("bigint"), "_part": F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((many - 1) / at_once)))})
+    first = first.filter("_many > 0").repartition(partitions(rows), *rows.columns, "_part")
+    top = F.least(F.col("_many"), (F.col("_part") + 1) * at_once) - 1
+    return first.withColumn(name, F.explode(F.sequence(F.col("_part") * at_once, top))).drop("_many", "_part")
+
+
 def negative_edges(nodes: DataFrame, edges: DataFrame, n: int, seed: int = 42, node: str = "tc_key") -> DataFrame:
-    """n uniform non-edges per project, or all there are. Draws double until they suffice."""
-    size = nodes.select(*SCOPE, node).distinct().groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("v"))
-    have = edges.select(*SCOPE, "src", "dst").distinct().groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("e"))
-    free = F.col("v") * (F.col("v") - 1) / 2 - F.coalesce("e", F.lit(0))
-    goal = size.join(have, SCOPE, "left").select(F.sum(F.least(free, F.lit(n)))).first()[0] or 0
-    draws = 2 * n
-    while True:
-        drawn = random_pairs(nodes, draws, seed, node).join(edges.select(*SCOPE, "src", "dst"), [*SCOPE, "src", "dst"], "left_anti")
-        first = drawn.groupBy(*SCOPE, "src", "dst").agg(F.min("draw").alias("draw"))
-        out = number_rows(first, SCOPE, [F.col("draw")], "_r").filter(F.col("_r") <= n).select(*SCOPE, "src", "dst")
-        if out.count() >= goal:
-            return out
-        draws *= 2
+    """n uniform non-edges per project, or all there are, drawn without replacement. `edges` have
+    src < dst, both among the nodes.
+
+    Non-edges are numbered by their smaller node, then by the other one: a node has as many as there
+    are nodes behind it, less its edges. Numbers are drawn by a keyed permutation (four rounds on two
+    digits of base a, the root of their count rounded up), which leaves at most 2a + 1 numbers that are
+    none, so n + 2a + 1 draws are always enough. A number is brought back to its node through buckets
+    of numbers, and to the other node by counting the edges in between.
+    """
+    no = materialize(numbered_nodes(nodes, node), "numbered")
+    size = no.groupBy(*SCOPE).agg(F.max("_no").alias("_v"))
+    near = edges.select(*SCOPE, F.col("src").alias(node), "dst").distinct()
+    near = near.join(no, [*SCOPE, node]).select(*SCOPE, F.col("_no").alias("_i"), F.col("dst").alias(node)).join(no, [*SCOPE, node])
+    near = materialize(near.select(*SCOPE, "_i", F.col("_no").alias("_j")), "edges")
+    mine = near.groupBy(*SCOPE, "_i").agg(F.count(F.lit(1)).alias("_e"))
+    free = no.select(*SCOPE, F.col("_no").alias("_i")).join(size, SCOPE).join(mine, [*SCOPE, "_i"], "left")
+    free = free.select(*SCOPE, "_i", (F.col("_v") - F.col("_i") - F.coalesce("_e", F.lit(0))).alias("_free")).filter("_free > 0")
+    upto = running_sums(free, SCOPE, [F.col("_i")], {"_hi": "_free"})
+    upto = materialize(upto.select(*SCOPE, "_i", (F.col("_hi") - F.col("_free")).alias("_lo"), "_hi"), "free")
+    total = upto.groupBy(*SCOPE).agg(F.max("_hi").alias("_m"), F.count(F.lit(1)).alias("_with"))
+    total = total.withColumns({"_a": F.ceil(F.sqrt(F.col("_m").cast("double"))), "_w": F.ceil(F.col("_m") / F.col("_with"))})
+    draws = counted_up(total, F.least(F.lit(n) + 2 * F.col("_a") + 1, F.col("_a") * F.col("_a")), "_x")
+    left, right = F.floor(F.col("_x") / F.col("_a")), F.col("_x") % F.col("_a")
+    draws = draws.withColumns({"_l": left, "_r": right})
+    for k in range(4):
+        draws = draws.withColumns({"_l": F.col("_r"), "_r": (F.col("_l") + hash_int(F.col("_r"), k, seed) % F.col("_a")) % F.col("_a")})
+    draws = draws.withColumn("_t", F.col("_l") * F.col("_a") + F.col("_r")).filter("_t < _m")
+    draws = number_rows(draws.select(*SCOPE, "_x", "_t", "_w"), SCOPE, [F.col("_x")], "_k").filter(F.col("_k") <= n)
+    bucket = F.floor(F.col("_t") / F.col("_w"))
+    owners = upto.join(total.select(*SCOPE, "_w"), SCOPE).withColumn(
+        "_b", F.explode(F.sequence(F.floor(F.col("_lo") / F.col("_w")), F.floor((F.col("_hi") - 1) / F.col("_w"))))).drop("_w")
+    found = draws.withColumn("_b", bucket).join(owners, [*SCOPE, "_b"]).filter("_t >= _lo and _t < _hi").select(
+        *SCOPE, "_k", "_i", (F.col("_t") - F.col("_lo")).alias("_o"))
+    # the m-th edge of a node, at j, has j - i - m non-edges before it
+    nth = number_rows(near, [*SCOPE, "_i"], [F.col("_j")], "_nth").select(*SCOPE, "_i", (F.col("_j") - F.col("_i") - F.col("_nth")).alias("_before"))
+    passed = found.join(nth, [*SCOPE, "_i"]).filter("_before <= _o").groupBy(*SCOPE, "_k").agg(F.count(F.lit(1)).alias("_c"))
+    found = found.join(passed, [*SCOPE, "_k"], "left").withColumn("_j", F.col("_i") + 1 + F.col("_o") + F.coalesce("_c", F.lit(0)))
+    a = no.select(*SCOPE, F.col("_no").alias("_i"), F.col(node).alias("src"))
+    b = no.select(*SCOPE, F.col("_no").alias("_j"), F.col(node).alias("dst"))
+    return found.join(a, [*SCOPE, "_i"]).join(b, [*SCOPE, "_j"]).select(*SCOPE, "src", "dst")
+

@@ -130,6 +130,12 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     )
+    return quantiles_of_counts(counts, group, value, probs, hot_rows)
+
+
+def quantiles_of_counts(counts: DataFrame, group: Sequence[str], value: str,
+                        probs: dict[str, float], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact interpolated quantiles per group, from distinct values with their counts `_c`."""
     cum = running_sums(counts, group, [F.col(value)], {"_cum": "_c"}, hot_rows)
     total = counts.groupBy(*group).agg(F.sum("_c").alias("_total"))
     cum = cum.join(total, list(group)) if group else cum.crossJoin(F.broadcast(total))
@@ -141,3 +147,11 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
         frac = F.max(pos - lo)
         aggs.append((at(lo) + (at(hi) - at(lo)) * frac).cast("double").alias(name))
     return cum.groupBy(*group).agg(*aggs)
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, _c): how often each value, null included, is in each column. One grouping for
+    all columns, combined before the shuffle."""
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    rows = df.select(F.explode(items).alias("i")).select("i.*")
+    return rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))

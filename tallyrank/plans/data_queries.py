@@ -148,15 +148,20 @@ add("stratified_batches", lambda spark, sf: shaped(s.stratified_batches(executio
     "SELECT build_id, tc_key, fail, unnest(range(i::BIGINT, (nb * 28)::BIGINT, turn::BIGINT)) // 28 FROM r WHERE fail = 0 AND i < nb * 28) "
     + sql_select("bt", "build_id; tc_key", "fail; batch"))
 add("build_batches", lambda spark, sf: shaped(s.build_batches(executions(spark, sf), 64), *KEY, "batch"),
-    f"{EV}, bb AS (SELECT project, build_id, count(*) AS n FROM ex GROUP BY 1, 2 HAVING sum(fail) >= 1), cu AS (SELECT *, (sum(n) OVER (ORDER BY "
-    f"{hash32('project', 'build_id', _Q42)}, project, build_id) - n) // 64 AS batch FROM bb) " + sql_select("ex JOIN cu USING (project, build_id)", "build_id; tc_key", "batch"))
+    f"WITH RECURSIVE {o.EV}, bb AS (SELECT project, build_id, count(*) AS n, row_number() OVER (ORDER BY {hash32('project', 'build_id', _Q42)}, project, build_id) AS pos "
+    "FROM ex GROUP BY 1, 2 HAVING sum(fail) >= 1), pk AS (SELECT pos, n AS held, 0 AS batch FROM bb WHERE pos = 1 UNION ALL SELECT bb.pos, CASE WHEN held + n <= 64 THEN held + n ELSE n END, "
+    "CASE WHEN held + n <= 64 THEN batch ELSE batch + 1 END FROM pk JOIN bb ON bb.pos = pk.pos + 1) " + sql_select("ex JOIN bb USING (project, build_id) JOIN pk USING (pos)", "build_id; tc_key", "batch"))
 _EDG = f"{EV}, {CF}, e AS (SELECT project, src, dst, weight FROM cf WHERE weight >= 0.05::DOUBLE)"
 add("split_edges", lambda spark, sf: shaped(s.split_edges(g.co_outcome_edges(executions(spark, sf), 1)), "src", "dst", "split"),
     f"{_EDG}, n AS (SELECT *, row_number() OVER (ORDER BY {hash32('src', 'dst', _Q42)}, src, dst) AS no, floor(count(*) OVER () * 0.1::DOUBLE) AS k FROM e) "
     + sql_select("n", "src; dst; CASE WHEN no <= k THEN 'test' WHEN no <= 2 * k THEN 'val' ELSE 'train' END AS split"))
 add("negative_edges", lambda spark, sf: shaped(s.negative_edges(executions(spark, sf), g.co_failure_edges(executions(spark, sf), 4, 0.1), 200), "src", "dst"),
-    f"{EV}, {_pairs('fail = 1', 'e', MEAN_W)}, {_draws(20000)}, fd AS (SELECT src, dst, min(i) AS i FROM dp GROUP BY ALL) SELECT src, dst FROM fd WHERE (src, dst) NOT IN "
-    "(SELECT (src, dst) FROM e WHERE shared >= 4 AND weight >= 0.1::DOUBLE) ORDER BY i LIMIT 200")
+    f"{EV}, {_pairs('fail = 1', 'e', MEAN_W)}, nn AS (SELECT tc_key, row_number() OVER (ORDER BY tc_key) AS no FROM (SELECT DISTINCT tc_key FROM ex)), "
+    "fr AS (SELECT x.tc_key AS src, y.tc_key AS dst, row_number() OVER (ORDER BY x.no, y.no) - 1 AS t FROM nn x JOIN nn y ON x.no < y.no WHERE (x.tc_key, y.tc_key) NOT IN "
+    "(SELECT (src, dst) FROM e WHERE shared >= 4 AND weight >= 0.1::DOUBLE)), m AS (SELECT count(*) AS m, ceil(sqrt(count(*)::DOUBLE))::BIGINT AS a FROM fr), "
+    "d0 AS (SELECT x, x // a AS l, x % a AS r, a, m FROM (SELECT m, a, unnest(range(least(200 + 2 * a + 1, a * a))) AS x FROM m)), "
+    + ", ".join(f"d{k + 1} AS (SELECT x, r AS l, (l + {hash32('r', repr(str(k)), _Q42)} % a) % a AS r, a, m FROM d{k})" for k in range(4))
+    + " SELECT src, dst FROM (SELECT l * a + r AS t FROM d4 WHERE l * a + r < m ORDER BY x LIMIT 200) JOIN fr USING (t)")
 
 
 def _smote(spark, sf):
@@ -473,13 +478,46 @@ add("ensemble_scorer", _ensemble, f"{F8S}, {_RID}, plain AS MATERIALIZED (SELECT
 
 
 def _flags(spark, sf):
-    e = executions(spark, sf)
-    nodes = feat.node_features(feat.features_deeporder8(e).drop("fail"), e.withColumn("fail", (F.col("verdict") == 1).cast("int"))).select(
-        "project", "tc_key", "failure_rate", "mean_duration", "since_failure", (F.col("failure_rate") > 0.2).cast("int").alias("label"))
-    return l.sensitivity_flags(nodes, g.co_outcome_edges(e, 1), ["failure_rate", "mean_duration", "since_failure"]).drop("project")
-
-
-add("sensitivity_flags", _flags)
+    """Features of the older builds, the label from the later ones: did the test fail there more often
+    than tests do over all?"""
+    e = split_executions(spark, sf)
+    old, late = e.filter("split = 'train'").drop("split"), e.filter("split = 'test'")
+    usual = e.agg(F.avg("fail")).first()[0]
+    after = late.groupBy("project", "tc_key").agg((F.avg("fail") > F.lit(usual)).cast("int").alias("label"))
+    nodes = feat.node_features(feat.features_deeporder8(old).drop("fail"), old).drop("label").join(after, ["project", "tc_key"]).select(
+        "project", "tc_key", *_FLAGGED, "label")
+    return shaped(l.sensitivity_flags(nodes, g.co_outcome_edges(old, 1), _FLAGGED).drop("project"))
+
+
+_FLAGGED = ["failure_rate", "mean_duration", "since_failure"]
+_PERTURBED = ", ".join(f"{c} + 0.1::DOUBLE * abs({c}) * ({hash32('project', 'tc_key', repr(c), _Q42)} / 1152921504606846976.0::DOUBLE * 2 - 1) AS {c}" for c in _FLAGGED)
+_CLASS = "SELECT rid, (round(p, 9) >= 0.5::DOUBLE)::INT AS y FROM"
+
+
+def _flags_sql():
+    old = f"exo AS (SELECT * FROM ex WHERE ({SPLIT}) = 'train')"
+    head = (f"WITH {o.EV}, {old}, {o.history('exo')}, f8 AS (SELECT project, tc_key, build_idx, "
+            + ", ".join(f"CASE WHEN n > 0 THEN {e} ELSE {other}::DOUBLE END AS {c}" for c, (e, other) in _F8_SQL.items() if c in _FLAGGED) + " FROM h), "
+            f"after AS (SELECT project, tc_key, (avg(fail) > (SELECT avg(fail) FROM ex))::INT AS y FROM ex WHERE ({SPLIT}) = 'test' GROUP BY ALL), "
+            "nd AS MATERIALIZED (SELECT f8.* EXCLUDE (build_idx), y, tc_key AS rid, 1 AS w, ('0x' || substr(md5(project || '|' || tc_key || '|row'), 1, 8))::BIGINT AS h31 FROM "
+            "(SELECT * FROM f8 QUALIFY row_number() OVER (PARTITION BY project, tc_key ORDER BY build_idx DESC) = 1) f8 JOIN after USING (project, tc_key))")
+    edges = _pairs("fail = 1 AND verdict = 1", "cfo", "shared / greatest(x.n, y.n)::DOUBLE", src="exo")
+    draws = (f"nn AS (SELECT tc_key, row_number() OVER (ORDER BY tc_key) AS no, count(*) OVER () AS sz FROM nd), dw AS (SELECT i, {hash32('i', repr('a'), _Q42)} % sz + 1 AS a, "
+             f"{hash32('i', repr('b'), _Q42)} % sz + 1 AS b FROM range(5) t(i), (SELECT max(sz) AS sz FROM nn)), "
+             "dp AS (SELECT DISTINCT least(x.tc_key, y.tc_key) AS src, greatest(x.tc_key, y.tc_key) AS dst FROM dw JOIN nn x ON x.no = a JOIN nn y ON y.no = b WHERE a <> b), "
+             "rn AS (SELECT src, dst, 1.0::DOUBLE AS weight FROM dp UNION ALL SELECT src, dst, weight FROM cfo WHERE weight >= 0.05::DOUBLE AND (src, dst) NOT IN (SELECT (src, dst) FROM dp)), "
+             "kp AS (SELECT * FROM rn WHERE src IN (SELECT tc_key FROM nd) AND dst IN (SELECT tc_key FROM nd)), "
+             "bt AS (SELECT src, dst, weight FROM kp UNION ALL SELECT dst, src, weight FROM kp), "
+             "sp AS (SELECT b.src AS tc_key, " + ", ".join(f"sum(weight * {c}) / (sum(weight) + 1e-6::DOUBLE) AS {c}" for c in _FLAGGED) + " FROM bt b JOIN nd ON nd.tc_key = b.dst GROUP BY 1), "
+             "ng AS MATERIALIZED (SELECT rid, y, w, h31, " + ", ".join(f"coalesce(sp.{c}, 0) AS {c}" for c in _FLAGGED) + " FROM nd LEFT JOIN sp USING (tc_key)), "
+             f"nf AS MATERIALIZED (SELECT rid, y, w, h31, {_PERTURBED} FROM nd)")
+    fits = ", ".join(forest_sql(rows, rows, _FLAGGED, name, n, d) for rows, name, n, d in (("nd", "fb", 20, 3), ("ng", "fg", 20, 3), ("nf", "ff", 20, 3), ("nd", "fm", 30, 6)))
+    return (f"{head}, {edges}, {draws}, {fits}, base AS ({_CLASS} fb), gr AS ({_CLASS} fg), fe AS ({_CLASS} ff), mo AS ({_CLASS} fm) "
+            "SELECT rid AS tc_key, (gr.y <> base.y)::BIGINT AS flag_graph, (fe.y <> base.y)::BIGINT AS flag_features, (mo.y <> base.y)::BIGINT AS flag_model "
+            "FROM base JOIN gr USING (rid) JOIN fe USING (rid) JOIN mo USING (rid)")
+
+
+add("sensitivity_flags", _flags, _flags_sql())
 
 
 def _selected(spark, sf):
