@@ -51,29 +51,34 @@ def folder(spark, name):
 def _with_text(spark, sf):
     """Documents as executions with gaps: no verdict without a label, no summary in French."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.when(F.col("lang") != "fr", F.concat(F.lit(" "), "source", F.lit(" "))).alias("summary"), F.when(
-        F.col("toxic") == 0, F.col("text")).alias("steps"), F.when(F.col("quality") == 1, "Pass").when(F.col("quality") == 0, "Fail").alias("result"))
+    return d.select("doc_id", F.when(F.col("lang") != "fr", F.concat(F.lit("\t "), "source", F.lit(" \r\n"))).alias("summary"), F.when(
+        F.col("toxic") == 0, F.col("text")).alias("steps"), F.when(F.col("quality") == 1, "\tPass\n").when(F.col("quality") == 0, "Fail").alias("result"))
 
 
-_TXT = ("WITH d AS (SELECT doc_id, CASE WHEN lang <> 'fr' THEN ' ' || source || ' ' END AS summary, CASE WHEN toxic = 0 THEN text END AS steps, "
+_TXT = ("WITH d AS (SELECT doc_id, CASE WHEN lang <> 'fr' THEN chr(9) || ' ' || source || ' ' || chr(13) || chr(10) END AS summary, CASE WHEN toxic = 0 THEN text END AS steps, "
         "CASE quality WHEN 1 THEN 'Pass' WHEN 0 THEN 'Fail' END AS result FROM documents LEFT JOIN labels USING (doc_id))")
-_TS = "doc_id, trim(coalesce(summary, ''), ' ') AS summary, md5(regexp_replace(coalesce(steps, ''), '^\\s+|\\s+$', '', 'g')) AS steps, coalesce(result, '') AS result"
+_TS = "doc_id, regexp_replace(coalesce(summary, ''), '^\\s+|\\s+$', '', 'g') AS summary, md5(regexp_replace(coalesce(steps, ''), '^\\s+|\\s+$', '', 'g')) AS steps, coalesce(result, '') AS result"
 add("clean_strict", lambda spark, sf: c.clean_strict(_with_text(spark, sf)).withColumn("steps", F.md5("steps")),
     _TXT + f" SELECT {_TS} FROM d WHERE summary IS NOT NULL AND result IS NOT NULL AND (steps IS NOT NULL OR (SELECT avg((regexp_replace(coalesce(steps, ''), '\\s+', '', 'g') <> '')::INT) FROM d) <= 0.1::DOUBLE)")
 add("clean_lenient", lambda spark, sf: c.clean_lenient(_with_text(spark, sf)).withColumn("steps", F.md5("steps")),
     _TXT + f" SELECT {_TS}, '' AS commit FROM d")
 
 
+def padded(spark, sf):
+    """Verdicts as files hold them, with tabs and line breaks around."""
+    return raw_events(spark, sf).withColumn("result", F.concat(F.lit("\t"), "result", F.when(F.col("exec_id") % 2 == 0, " \n").otherwise("")))
+
+
 def _rules(spark, sf):
-    e = raw_events(spark, sf)
-    bad, err = (F.col("result") == "Blocked").cast("int"), (F.col("result") == "Fail").cast("int")
+    e = padded(spark, sf)
+    bad, err = F.col("result").contains("Blocked").cast("int"), F.col("result").contains("Fail").cast("int")
     return shaped(e.select("exec_id", is_failure("fail_only", F.col("result")).alias("fail_only"), is_failure("not_pass", F.col("result")).alias("not_pass"),
                            is_failure("counts", failures=bad, errors=err).alias("counts")))
 
 
 add("failure_rules", _rules, f"{EV} " + sql_select("raw", "", "exec_id; (result = 'Fail')::INT AS fail_only; (result <> 'Pass')::INT AS not_pass; (result <> 'Pass')::INT AS counts"))
 for _k, _cond, _lab in (("pass_vs_all", "true", "Pass"), ("pass_vs_fail", "result IN ('Pass', 'Fail')", "Pass"), ("fail_vs_all", "true", "Fail")):
-    add(f"encode_{_k}", lambda spark, sf, k=_k: shaped(c.encode_binary(raw_events(spark, sf), k), "exec_id", "label"),
+    add(f"encode_{_k}", lambda spark, sf, k=_k: shaped(c.encode_binary(padded(spark, sf), k), "exec_id", "label"),
         f"{EV} " + sql_select("raw", "", f"exec_id; (result = '{_lab}')::INT AS label", where=_cond))
 add("encode_multiclass", lambda spark, sf: shaped(c.encode_multiclass(raw_events(spark, sf)), "exec_id", "label"),
     f"{EV} " + sql_select("raw", "", "exec_id; dense_rank() OVER (ORDER BY result) - 1 AS label"))
@@ -207,12 +212,13 @@ add("intersect_builds", _intersect, _TWO + " SELECT build_id FROM pa WHERE apfd
 
 
 def _new_builds(spark, sf):
-    e = ch.holdout_split(executions(spark, sf, "li"))
+    """Parts as tests: many of them come late."""
+    e = ch.holdout_split(ch.with_clock(raw_lines(spark, sf, "l_partkey")))
     names = lambda cond: e.filter(cond).select("project", "tc_key").distinct()
     return shaped(names("split = 'test'").exceptAll(names("split <> 'test'")))
 
 
-add("unseen_tests", _new_builds, f"{LI}{_NB} SELECT project, tc_key FROM ex JOIN nb USING (project) WHERE build_idx >= floor(n * 0.8::DOUBLE) EXCEPT "
+add("unseen_tests", _new_builds, f"{LI.replace(chr(39) + 's' + chr(39) + ' || l_suppkey', chr(39) + 'p' + chr(39) + ' || l_partkey')}{_NB} SELECT project, tc_key FROM ex JOIN nb USING (project) WHERE build_idx >= floor(n * 0.8::DOUBLE) EXCEPT "
     "SELECT project, tc_key FROM ex JOIN nb USING (project) WHERE build_idx < floor(n * 0.8::DOUBLE)")
 add("distinct_texts", lambda spark, sf: table(spark, sf, "conversations").select(F.md5("text").alias("text_md5")).distinct(),
     "SELECT DISTINCT md5(text) AS text_md5 FROM conversations")
@@ -271,7 +277,7 @@ add("to_canonical", lambda spark, sf: shaped(rd.to_canonical(_raw_projects(spark
 
 
 def _strategy_files(spark, sf):
-    """Rankings of four strategies in the stored layout, read back."""
+    """Rankings of all strategies in the stored layout, read back."""
     path = folder(spark, "strategies")
     rows = strategies(spark, sf).withColumns({
         "score": -F.col("index"), "build_key": F.col("build_id"), "build_id": F.concat_ws("|", "strategy", "build_id")})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyrank.functions.hashing import hash_int
 from tallyrank.operators import features as feat
 from tallyrank.operators import metrics as m
 from tallyrank.operators import ranking as r
@@ -13,6 +14,7 @@ from tallyrank.plans import oracle as o
 from tallyrank.plans.fixtures import executions, table
 from tallyrank.plans.history_queries import STATE_SQL
 from tallyrank.plans.shape import shaped, sql_select
+from tallyrank.sources.readers import STRATEGIES
 
 Q, S = {}, {}
 BT = "build_id; tc_key"
@@ -131,11 +133,16 @@ def _index_scores():
         "recently-failed": r.since_failure().cast("double"),
         "matrix-naive": -r.failure_rate_score(),
         "optimal-failure": -F.col("fail").cast("double"),
+        # failing tests first, the shortest of them first
+        "optimal-failure-duration": F.col("duration") - F.col("fail") * 1e6,
+        "random": hash_int(F.col("project"), F.col("build_id"), F.col("tc_key"), 42).cast("double"),
+        # how often the test failed lately, over fewer runs if it failed the last time
+        "matrix-conditional-prob": -F.coalesce(F.when(F.col("fail_1") == 1, F.col("rate_5")).otherwise(F.col("rate_10")), F.lit(0.0)),
     }
 
 
 def strategies(spark, sf):
-    h = history(executions(spark, sf), want=["n", "failures", "last_fail_idx"])
+    h = history(executions(spark, sf), want=["n", "failures", "last_fail_idx", "fail_1", "rate_5", "rate_10"])
     rows = h.select("project", "build_id", "tc_key", "fail", F.explode(F.array(*[
         F.struct(F.lit(k).alias("strategy"), v.alias("index")) for k, v in _index_scores().items()])).alias("s"))
     return rows.select("project", "build_id", "tc_key", "fail", "s.strategy", "s.index")
@@ -143,9 +150,11 @@ def strategies(spark, sf):
 
 _STRAT = (H.rstrip() + ", st AS (SELECT *, 'untreated' AS strategy, epoch_us(exec_ts) / 1e6::DOUBLE AS idx FROM h UNION ALL "
           f"SELECT *, 'recently-failed', ({o.SINCE})::DOUBLE FROM h UNION ALL SELECT *, 'matrix-naive', -{o.RATE} FROM h UNION ALL "
-          "SELECT *, 'optimal-failure', -fail::DOUBLE FROM h), ranked AS (SELECT *, row_number() OVER (PARTITION BY strategy, project, "
+          "SELECT *, 'optimal-failure', -fail::DOUBLE FROM h UNION ALL SELECT *, 'optimal-failure-duration', duration - fail * 1e6::DOUBLE FROM h UNION ALL "
+          "SELECT *, 'random', ('0x' || substr(md5(project || '|' || build_id || '|' || tc_key || '|42'), 1, 15))::BIGINT::DOUBLE FROM h UNION ALL "
+          "SELECT *, 'matrix-conditional-prob', -coalesce(CASE WHEN fail_1 = 1 THEN rate_5 ELSE rate_10 END, 0) FROM h), ranked AS (SELECT *, row_number() OVER (PARTITION BY strategy, project, "
           "build_id ORDER BY idx, tc_key) AS rank FROM st), " + o.apfd(by="strategy, project, build_id", plain=True))
-STRATEGY_SQL, STRATEGY_NAMES = _STRAT, ("untreated", "recently-failed", "matrix-naive", "optimal-failure")
+STRATEGY_SQL, STRATEGY_NAMES = _STRAT, STRATEGIES
 add("evaluate_strategies", lambda spark, sf: shaped(m.evaluate_strategies(strategies(spark, sf))),
     _STRAT + " " + sql_select("per", "strategy", "count(*) AS n_builds",
                               "avg(apfd) AS mean_apfd; stddev_samp(apfd) AS std_apfd; median(apfd) AS median_apfd") + " GROUP BY strategy")
