@@ -40,6 +40,7 @@ FRAGMENT = 40
 SLICE = 1 << 18
 #: Nearest codewords closer than this in share are ambiguous.
 CLOSE = 0.2
+FEATURES = "lang string, rows array<int>, shares array<float>"
 #: Odd multipliers of the hash.
 MIX = tuple(np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
@@ -134,13 +135,17 @@ def language_sample(docs: DataFrame, train: Column, most: int = MOST) -> DataFra
     """(lang, rows, shares) of at most `most` distinct training texts, in about equal numbers of each
     language, drawn by a hash of the row. Only features, at most ROWS numbers a text, reach the driver."""
     rows = docs.filter(train & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    per = F.lit(most) / F.lit(max(1, sizes.count()))
+    # a number per language; the model's codewords are as many
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return rows.select("lang", "text").mapInArrow(_features, FEATURES)
+    part = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, n * len(sizes) / most)])
     draw = F.pmod(F.xxhash64("doc_id", "lang", text_key()), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = rows.join(sizes, "lang").withColumn("draw", draw * F.col("n") / per).filter("draw < 1.5")
+    # drawn before anything moves: only the sample is shuffled
+    rows = rows.withColumn("draw", draw * F.element_at(part, F.col("lang"))).filter("draw < 1.5")
     rows = rows.groupBy("doc_id", "lang", "text").agg(F.min("draw").alias("draw"))
     rows = rows.orderBy("draw", "doc_id", "lang", "text").limit(most)
-    return rows.select("lang", "text").mapInArrow(_features, "lang string, rows array<int>, shares array<float>")
+    return rows.select("lang", "text").mapInArrow(_features, FEATURES)
 
 
 class Codes:
