@@ -459,6 +459,26 @@ def hybrid_score(df: DataFrame, p: str = "p_fail", priority: str = "priority_pre
         "_lo", "_hi", "_sd", "_hm")
 
 
+def hybrid_with_orphans(df: DataFrame, vectors: DataFrame, p: str = "p_fail", priority: str = "priority_pred", history: str = "history",
+                        lam: float = 0.5, boost: float = 0.3, **options) -> DataFrame:
+    """`hybrid_score` with its last stage: rows of tests outside the graph are scored from the nearest
+    tests inside it, whose score is the mean of their own rows, and blended with their own score.
+
+    `vectors` has tc_key and embedding; a test without one keeps its probability. Outside rows of one
+    test share its neighbours, so the search is over tests and not over rows.
+    """
+    scored = hybrid_score(df, p, priority, history, lam, boost)
+    inside = scored.filter("in_graph = 1").groupBy("tc_key").agg(F.avg("hybrid_score").alias("score")).join(vectors, "tc_key")
+    outside = scored.filter("in_graph = 0").groupBy("tc_key").agg(F.avg("hybrid_score").alias("base_score")).join(vectors, "tc_key")
+    # both are read several times
+    inside, outside = materialize(inside, "inside"), materialize(outside, "outside")
+    found = score_orphans(outside, inside, id_col="tc_key", **options).select("tc_key", F.col("score").alias("_orphan"), F.col("neighbors").alias("_near"))
+    out = scored.join(found, "tc_key", "left")
+    there = (F.col("in_graph") == 0) & F.col("_orphan").isNotNull()
+    return out.withColumns({"hybrid_score": F.when(there, F.col("_orphan")).otherwise(F.col("hybrid_score")),
+                            "neighbors": F.when(there, F.col("_near")).otherwise(F.lit(0))}).select(*scored.columns, "neighbors")
+
+
 def smote(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label", vec: str = "embedding",
           id_col: str = "vec_id") -> DataFrame:
     """Synthetic rows of the smaller class until both are equal, between a row and one of

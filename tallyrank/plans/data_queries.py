@@ -317,6 +317,29 @@ add("write_apfd_reports", _reports, f"{LI}, {o.history()}, {o.RANKED}, {o.apfd()
     "per", "project", "count(*) AS n_builds_with_failures", "avg(apfd) AS mean_apfd; stddev_pop(apfd) AS std_apfd; median(apfd) AS median_apfd") + " GROUP BY project")
 
 
+def _report_builds(spark, sf):
+    path = folder(spark, "reports")
+    wr.write_apfd_reports(m.apfd_per_build(ranked(spark, sf, "li")), path)
+    df = spark.read.option("header", True).csv(f"{path}/per_build")
+    return shaped(df.select("project", "build_id", *[F.col(x).cast("bigint").alias(x) for x in ("count_tc", "n_failures")], F.col("apfd").cast("double").alias("apfd")))
+
+
+add("write_apfd_reports_builds", _report_builds, f"{LI}, {o.history()}, {o.RANKED}, {o.apfd()} " + sql_select("per", "project; build_id", "count_tc; n_failures", "apfd"))
+
+
+def _report_aggregate(spark, sf):
+    """The aggregate document read back, a row for each project listed in it."""
+    path = folder(spark, "reports")
+    wr.write_apfd_reports(m.apfd_per_build(ranked(spark, sf, "li")), path)
+    df = spark.read.json(f"{path}/aggregate").withColumn("p", F.explode("per_project"))
+    return shaped(df.select("n_projects", "n_builds_total", "grand_mean_apfd", "grand_std_apfd", "grand_median_apfd", "p.project", "p.n_builds_with_failures", "p.median_apfd"))
+
+
+add("write_apfd_reports_aggregate", _report_aggregate, f"{LI}, {o.history()}, {o.RANKED}, {o.apfd()}, pp AS (SELECT project, count(*) AS n, avg(apfd) AS a, median(apfd) AS med FROM per GROUP BY 1), "
+    "gm AS (SELECT count(*) AS k, sum(n) AS total, avg(a) AS mean, stddev_pop(a) AS sd, median(a) AS mid FROM pp) " + sql_select(
+        "pp, gm", "project", "k AS n_projects; total AS n_builds_total; n AS n_builds_with_failures", "mean AS grand_mean_apfd; sd AS grand_std_apfd; mid AS grand_median_apfd; med AS median_apfd"))
+
+
 def _export(spark, sf):
     path = folder(spark, "rankings")
     wr.export_rankings(c.builds_with_failures(ranked(spark, sf)), path, "parquet")

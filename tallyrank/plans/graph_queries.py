@@ -11,6 +11,7 @@ from tallyrank.operators.chronology import build_table
 from tallyrank.operators.clean import last_builds
 from tallyrank.operators.history import history
 from tallyrank.operators.ranking import failure_rate_score, recent_rate_score
+from tallyrank.operators.textops import hash_embedding
 from tallyrank.plans import oracle as o
 from tallyrank.plans.fixtures import executions, raw_events, raw_lines, table
 from tallyrank.plans.ranking_queries import scored
@@ -336,12 +337,27 @@ add("sweep_alpha", lambda spark, sf: shaped(sim.sweep_alpha(two_scores(spark, sf
     "FROM per GROUP BY 1 ORDER BY round(avg(apfd), 12) DESC, alpha LIMIT 1) " + sql_select("ma", "", "n_builds", "alpha; mean_apfd"))
 
 
-def _hybrid(spark, sf):
+def _hybrid_rows(spark, sf):
     e = executions(spark, sf)
     h = history(e, want=["n", "failures", "rate_5", *[f"verdict_{k}" for k in range(1, 11)]])
     rows = h.select("build_id", "tc_key", failure_rate_score().alias("p_fail"), F.when(F.col("n") == 0, 0.5).otherwise(
         F.col("rate_5")).alias("priority_pred"), feat.priority_expr().alias("history"))
-    return shaped(sim.hybrid_score(rows), "build_id", "tc_key", "hybrid_score", "in_graph")
+    return rows
+
+
+def _hybrid(spark, sf):
+    return shaped(sim.hybrid_score(_hybrid_rows(spark, sf)), "build_id", "tc_key", "hybrid_score", "in_graph")
+
+
+def text_vectors(spark, sf):
+    """Test u7 is told by document 7."""
+    d = table(spark, sf, "documents")
+    return d.select(F.concat(F.lit("u"), "doc_id").alias("tc_key"), hash_embedding(F.col("text"), 16).alias("embedding"))
+
+
+def _hybrid_whole(spark, sf):
+    done = sim.hybrid_with_orphans(_hybrid_rows(spark, sf), text_vectors(spark, sf))
+    return shaped(done, "build_id", "tc_key", "hybrid_score", "in_graph", "neighbors")
 
 
 def _hybrid_sql():
@@ -354,3 +370,34 @@ def _hybrid_sql():
 
 
 add("hybrid_score", _hybrid, _hybrid_sql())
+
+
+def _hybrid_whole_sql():
+    inner = _hybrid_sql()
+    at = inner.rindex(" SELECT build_id")
+    return (inner[:at] + ", hy AS (SELECT build_id, tc_key, (abs(pr - 0.5::DOUBLE) >= 0.001::DOUBLE)::INT AS ing, CASE WHEN hs > 0 THEN 0.55::DOUBLE * mx + 0.45::DOUBLE * hs / hm "
+            "ELSE mx END AS s FROM m), hv AS (SELECT 'u' || doc_id AS tc_key, list_transform(range(0, 16), lambda i: ('0x' || substr(md5(key || '|' || i || '|42'), 1, 8))::BIGINT "
+            "/ 2147483648.0::DOUBLE - 1) AS v FROM (SELECT doc_id, md5(text) AS key FROM documents)), "
+            "ev AS (SELECT tc_key, list_transform(v, lambda z: z / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS e FROM hv), "
+            "ins AS (SELECT tc_key, avg(s) AS score, any_value(e) AS e FROM hy JOIN ev USING (tc_key) WHERE ing = 1 GROUP BY 1), "
+            "outs AS (SELECT tc_key, avg(s) AS base, any_value(e) AS e FROM hy JOIN ev USING (tc_key) WHERE ing = 0 GROUP BY 1), "
+            "nn AS (SELECT * FROM (SELECT a.tc_key, a.base, b.score, exp(-list_distance(a.e, b.e)) AS similarity, row_number() OVER (PARTITION BY a.tc_key ORDER BY "
+            "list_distance(a.e, b.e), b.tc_key) AS rank FROM outs a, ins b) WHERE rank <= 20), "
+            "ks AS (SELECT tc_key, any_value(base) AS base, count(*) AS nb, sum(exp(similarity / 0.7::DOUBLE) * score) / sum(exp(similarity / 0.7::DOUBLE)) AS k FROM nn WHERE similarity >= 0.05::DOUBLE "
+            "GROUP BY 1), fin AS (SELECT hy.build_id, hy.tc_key, ing, s, outs.base AS ob, nb, 0.55::DOUBLE * k + 0.45::DOUBLE * ks.base AS os FROM hy LEFT JOIN outs USING (tc_key) LEFT JOIN ks USING (tc_key)) "
+            + sql_select("fin", "build_id; tc_key", "ing AS in_graph; CASE WHEN ing = 0 AND ob IS NOT NULL THEN coalesce(nb, 0) ELSE 0 END AS neighbors",
+                         "CASE WHEN ing = 0 AND ob IS NOT NULL THEN coalesce(os, ob) ELSE s END AS hybrid_score"))
+
+
+add("hybrid_with_orphans", _hybrid_whole, _hybrid_whole_sql())
+
+
+def _defaults(spark, sf):
+    v = feat.features_v2_temporal(executions(spark, sf))
+    return shaped(sim.conservative_defaults(v, _SIX))
+
+
+_SIX = ["test_age", "failure_rate", "recent_failure_rate", "flakiness_rate", "commit_count", "test_novelty"]
+add("conservative_defaults", _defaults, o.ev_history(True).rstrip() + ", c AS (SELECT CASE WHEN n > 0 THEN coalesce(exact_failures / nullif(exact_failures + exact_passes, 0)::DOUBLE, 0) ELSE 0 END AS fr, "
+    "CASE WHEN n > 0 THEN coalesce(rate_5, 0) ELSE 0 END AS rf, CASE WHEN n > 1 THEN raw_flips_10 / least(n, 10)::DOUBLE ELSE 0 END AS fl, greatest(n_commits + n_crs, 1) AS cc FROM h) "
+    + sql_select("c", "", "", "0 AS test_age; avg(fr) AS failure_rate; avg(rf) AS recent_failure_rate; median(fl) AS flakiness_rate; avg(cc) AS commit_count; 1 AS test_novelty"))

@@ -39,12 +39,22 @@ def per_project(per_build: DataFrame) -> DataFrame:
     return g.join(exact_quantiles(per_build, ["project"], "apfd", {"median_apfd": 0.5}), "project")
 
 
+def aggregate_report(per_build: DataFrame) -> DataFrame:
+    """One row: the summary over all builds, n_projects, n_builds_total, the unweighted mean, population
+    deviation and median of the projects' means, and `per_project`, their reports in order of name."""
+    projects = per_project(per_build)
+    each = projects.agg(F.array_sort(F.collect_list(F.struct("project", "n_builds_with_failures", "mean_apfd", "std_apfd", "median_apfd"))).alias("per_project"))
+    grand = grand_mean(per_build).select("n_projects", F.col("n_builds").alias("n_builds_total"), F.col("grand_mean").alias("grand_mean_apfd"),
+                                         F.col("std").alias("grand_std_apfd"), F.col("median").alias("grand_median_apfd"))
+    return apfd_summary(per_build).crossJoin(F.broadcast(grand)).crossJoin(F.broadcast(each))  # one row each
+
+
 def write_apfd_reports(per_build: DataFrame, path: str) -> None:
-    """Per build and per project as CSV, the aggregate as JSON."""
+    """Per build and per project as CSV, the aggregate as one JSON document."""
     per_build = materialize(per_build)
     _write(per_build, f"{path}/per_build", "csv")
     _write(per_project(per_build), f"{path}/per_project", "csv")
-    _write(apfd_summary(per_build).crossJoin(grand_mean(per_build).drop("n_builds")), f"{path}/aggregate", "json")
+    _write(aggregate_report(per_build), f"{path}/aggregate", "json")
 
 
 def rankings(ranked: DataFrame) -> DataFrame:
