@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,13 +83,13 @@ def score_text(model: Logistic, vectors: DataFrame, vec: str = "embedding", out:
 def build_commit_vector(df: DataFrame, vectors: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
     """Mean vector of a build's distinct commits, zeros for a build without any.
 
-    `vectors` has one row per commit. Averages are taken per position, so they combine
-    before the shuffle; only `dim` numbers per build are put back into a list.
+    `vectors` has one row per commit. Vectors are averaged whole, in one aggregate that combines
+    before the shuffle.
     """
     builds = df.select(*BUILD).distinct()
     c = df.select(*BUILD, F.explode("commits").alias("commit")).distinct().join(vectors, "commit")
-    m = c.select(*BUILD, F.posexplode(vec).alias("pos", "x")).groupBy(*BUILD, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    v = m.groupBy(*BUILD).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("commit_vector"))
+    whole = array_to_vector(F.col(vec).cast("array<double>"))
+    v = c.groupBy(*BUILD).agg(vector_to_array(Summarizer.mean(whole)).alias("commit_vector"))
     return builds.join(v, BUILD, "left").withColumn(
         "commit_vector", F.coalesce("commit_vector", F.array_repeat(F.lit(0.0), dim)))
 

@@ -253,6 +253,22 @@ add("read_executions_csv", _read_back("csv"), _RB)
 add("read_executions_parquet", _read_back("parquet"), _RB)
 
 
+def _changes(spark, sf):
+    """Commits and change requests from stored literals, plain text and nulls, in two columns."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("TE_Key"),
+        F.when(k % 4 == 1, F.concat(F.lit("['k"), k, F.lit("', 'k"), k + 1, F.lit("', 'k"), k, F.lit("']"))).when(k % 4 != 0, F.concat(F.lit("k"), k)).alias("commit"),
+        F.when(k % 3 == 0, F.concat(F.lit('["CR_'), k % 5, F.lit('"]'))).alias("CR"), F.when(k % 2 == 0, F.concat(F.lit("CR_"), k % 7)).alias("CR_y"))
+    done = rd.to_executions(rd.with_schema(e, rd.EXECUTION_SCHEMA))
+    return shaped(done.select("exec_id", F.array_join(F.array_sort("commits"), ",").alias("commits"), F.array_join(F.array_sort("crs"), ",").alias("crs")))
+
+
+add("stored_changes", _changes, f"{EV}, i AS (SELECT exec_id, CASE WHEN k % 4 = 1 THEN ['k' || k, 'k' || (k + 1)] WHEN k % 4 <> 0 THEN ['k' || k] ELSE [] END AS c, "
+    "CASE WHEN k % 3 = 0 THEN ['CR_' || (k % 5)] ELSE [] END || CASE WHEN k % 2 = 0 THEN ['CR_' || (k % 7)] ELSE [] END AS r FROM raw) "
+    "SELECT exec_id::VARCHAR AS exec_id, array_to_string(list_sort(c), ',') AS commits, array_to_string(list_sort(list_distinct(r)), ',') AS crs FROM i")
+
+
 def _project_files(spark, sf):
     """Order lines in the raw layout, one `<project>/<project>.csv` per project."""
     path = folder(spark, "projects")

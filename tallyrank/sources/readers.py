@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.functions.text import camel_to_words, class_name
+from tallyrank.functions.text import camel_to_words, class_name, list_items
 from tallyrank.functions.verdict import is_failure
 
 # fixed values: schemas and names of the stored tables
@@ -15,7 +15,7 @@ EXECUTION_SCHEMA = (
     "Build_ID string, Build_ID_entry string, TP_Key string, TC_Key string, TE_Summary string, TE_Key string, "
     "Build_Test_Start_Date timestamp, TE_Date date, TE_Created_Date timestamp, TE_Test_Result string, TC_Steps string, "
     "TE_Updated_Date timestamp, commit string, CR string, CR_Resolution string, CR_Resolved_Date date, "
-    "CR_Component_Name string, CR_Type string")
+    "CR_Component_Name string, CR_Type string, CR_y string")
 PROJECT_SCHEMA = ("travisJobId bigint, testName string, `index` int, duration double, count int, failures int, "
                   "errors int, skipped int")
 STRATEGIES = ("untreated", "random", "recently-failed", "optimal-failure", "optimal-failure-duration",
@@ -47,13 +47,23 @@ def with_schema(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*out)
 
 
+def change_list(*columns: Column) -> Column:
+    """Distinct items of stored list literals, over several columns; text that is no list is one item."""
+    empty = F.array().cast("array<string>")
+    items = [F.coalesce(list_items(c), F.when(c.isNotNull(), F.array(c)), empty) for c in columns]
+    return F.array_compact(F.array_distinct(F.concat(*items)))
+
+
 def to_executions(df: DataFrame, project: str = "industry") -> DataFrame:
-    """Stored execution columns under the names the operators use."""
+    """Stored execution columns under the names the operators use, with commits and change requests
+    (of both columns that hold them, as far as they are there) as arrays."""
+    requests = [F.col(c) for c in ("CR", "CR_y") if c in df.columns]
     return df.select(
         F.lit(project).alias("project"), F.col("Build_ID").alias("build_id"), F.col("Build_Test_Start_Date").alias("build_start"),
         F.col("TC_Key").alias("tc_key"), F.col("TE_Test_Result").alias("result"), F.lit(None).cast("double").alias("duration"),
         F.col("TE_Created_Date").alias("exec_ts"), F.col("TE_Key").alias("exec_id"), F.col("TE_Summary").alias("summary"),
-        F.col("TC_Steps").alias("steps"), F.col("commit"), F.col("CR").alias("cr"), F.col("CR_Component_Name").alias("component"))
+        F.col("TC_Steps").alias("steps"), F.col("commit"), F.col("CR").alias("cr"), F.col("CR_Component_Name").alias("component"),
+        change_list(F.col("commit")).alias("commits"), (change_list(*requests) if requests else F.array().cast("array<string>")).alias("crs"))
 
 
 def read_projects(spark: SparkSession, root: str) -> DataFrame:
