@@ -60,10 +60,10 @@ def commit_edges(df: DataFrame, min_count: int = 1, threshold: float = 0.1, hot:
     The largest count is at least that of the busiest tests, so a pair below the threshold's
     share of theirs is no edge and need not be counted.
     """
-    members = materialize(commit_members(df), "members")
-    least = busiest_overlap(members, SCOPE).withColumn("least", F.ceil(F.col("least") * F.lit(float(threshold)) - F.lit(1e-9)))
+    least = lambda members: busiest_overlap(members, SCOPE).withColumn(
+        "least", F.ceil(F.col("least") * F.lit(float(threshold)) - F.lit(1e-9)))
     # read twice: for the largest count and for the edges
-    pairs = materialize(pair_counts(members, SCOPE, lambda n: F.lit(int(min_count)), hot, least=least))
+    pairs = materialize(pair_counts(commit_members(df), SCOPE, lambda n: F.lit(int(min_count)), hot, least=least))
     top = pairs.groupBy(*SCOPE).agg(F.max("shared").alias("_top"))
     return _edges(pairs.join(top, SCOPE), F.col("shared") / F.col("_top"), threshold)
 

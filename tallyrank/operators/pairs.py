@@ -39,7 +39,7 @@ BLOCK = 500
 #: Buckets of one stretch of the product.
 STRETCH = 4096
 #: Pair rows below which the plain join is taken without weighing the others.
-FEW = 1_000_000
+FEW = 10_000_000
 
 
 def partitions(df: DataFrame) -> int:
@@ -126,32 +126,47 @@ def _incidence(row: np.ndarray, bucket: np.ndarray, common: np.ndarray, block: i
 
 def pair_counts(members: DataFrame, scope: Sequence[str] = ("project",),
                 need: Callable[[Column], Column] | None = None,
-                hot: int = HOT_BUCKET, block: int = BLOCK, least: DataFrame | None = None,
+                hot: int = HOT_BUCKET, block: int = BLOCK, least: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
                 way: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """Columns scope, src, dst, shared, n_src, n_dst for every pair that shares at least
     `need(n)` buckets for both of its node sizes n; other pairs may be missing.
 
-    `least` (scope, least) raises the need of whole scopes. `way` fixes one of "join",
-    "prefix" and "product". Nodes and buckets are numbered by name and by scope and size
-    first, so the many pair rows hold two numbers.
+    `least` (scope, least) raises the need of whole scopes; given as a function of the members it is
+    asked for only where a higher need can save pair rows. `way` fixes one of "join", "prefix" and
+    "product". Nodes and buckets are numbered by name and by scope and size first, so the many pair
+    rows hold two numbers.
     """
     scope = list(scope)
     of_scope = (F.struct(*scope) if scope else F.lit(0)).alias("scope")
-    members = members.select(*scope, "bucket", "node")
-    totals = members.groupBy(*scope, "node").agg(F.count(F.lit(1)).alias("n"))
-    wanted = need(F.col("n")) if need else F.lit(1)
-    if least is not None:
-        totals = totals.join(least, scope)
-        wanted = F.greatest(wanted, F.col("least"))
-    totals = totals.withColumn("need", F.greatest(wanted, F.lit(1)).cast("bigint"))
-    nodes = materialize(number_rows(totals, [], [F.col(c) for c in [*scope, "node"]], "id"), "nodes")
+    members = materialize(members.select(*scope, "bucket", "node"), "members")
     sizes = members.groupBy(*scope, "bucket").agg(F.count(F.lit(1)).alias("_size"))
     sizes = number_rows(sizes, [], [*[F.col(c) for c in scope], F.col("_size"), F.col("bucket")], "_no")
-    rows = members.join(sizes, [*scope, "bucket"]).join(nodes, [*scope, "node"]).select(
-        of_scope, "id", F.col("_no").alias("bucket"), "_size", "n", "need")
-    rows = materialize(rows, "incidence")
+
+    def incidence(raised: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        totals = members.groupBy(*scope, "node").agg(F.count(F.lit(1)).alias("n"))
+        wanted = need(F.col("n")) if need else F.lit(1)
+        if raised is not None:
+            totals = totals.join(raised, scope)
+            wanted = F.greatest(wanted, F.col("least"))
+        totals = totals.withColumn("need", F.greatest(wanted, F.lit(1)).cast("bigint"))
+        nodes = materialize(number_rows(totals, [], [F.col(c) for c in [*scope, "node"]], "id"), "nodes")
+        rows = members.join(sizes, [*scope, "bucket"]).join(nodes, [*scope, "node"]).select(
+            of_scope, "id", F.col("_no").alias("bucket"), "_size", "n", "need")
+        return materialize(rows, "incidence"), nodes
+
+    rows, nodes = incidence(None if callable(least) else least)
     if way is None:
-        way, prefix = _way(rows, nodes, scope)
+        full = rows.agg(F.sum("_size") / 2).first()[0] or 0
+        per_scope = nodes.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
+        dense = per_scope.agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0] or 0
+        if full <= FEW:
+            way = "join"
+        elif 8 * dense <= full:
+            way = "product"
+        else:
+            if callable(least):
+                rows, nodes = incidence(least(members))
+            way, prefix = _way(rows, full, dense)
     else:
         prefix = prefix_rows(rows) if way == "prefix" else None
     if way == "prefix":
@@ -166,14 +181,9 @@ def pair_counts(members: DataFrame, scope: Sequence[str] = ("project",),
     return out.select(*scope, "src", "dst", "shared", "n_src", "n_dst")
 
 
-def _way(rows: DataFrame, nodes: DataFrame, scope: list[str]) -> tuple[str, DataFrame | None]:
-    """The way with the fewest pair rows."""
-    full, most = rows.agg(F.sum("_size") / 2, F.max("need")).first()
-    if not full or full <= FEW:
-        return "join", None
-    per_scope = nodes.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
-    dense = per_scope.agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0]
-    if most > 1:
+def _way(rows: DataFrame, full: float, dense: float) -> tuple[str, DataFrame | None]:
+    """The way with the fewest pair rows, and the prefixes if it is theirs."""
+    if rows.agg(F.max("need")).first()[0] > 1:
         prefix = materialize(prefix_rows(rows), "prefixes")
         short = prefix.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0] or 0
         # candidates are joined with buckets once more to be counted

@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -301,6 +303,17 @@ def zscore(df: DataFrame, columns: Sequence[str], eps: float = 1e-8) -> DataFram
         c: (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(eps)) for c in columns}).select(*df.columns)
 
 
+def _standardised(df: DataFrame, columns: Sequence[str], out: str, eps: float = 1e-8) -> DataFrame:
+    """All columns as one vector of (x - mean) / (population std + eps); statistics are of whole vectors."""
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    s = df.select(array_to_vector(x).alias("v")).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    n = F.col("s.count").cast("double")
+    spread = F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n) + F.lit(eps))
+    s = s.select(vector_to_array("s.mean").alias("_mean"), spread.alias("_spread"))
+    off = F.zip_with(x, "_mean", lambda a, b: a - b)
+    return df.crossJoin(F.broadcast(s)).withColumn(out, F.zip_with(off, "_spread", lambda a, b: a / b)).drop("_mean", "_spread")  # one row
+
+
 def minmax_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])
 
@@ -396,9 +409,7 @@ def score_orphans(orphans: DataFrame, in_graph: DataFrame, k: int = 20, alpha: f
     if structural and structural_weight > 0:
         w = min(structural_weight, 1.0)
         parts = [("embedding", "exp_euclidean", 1.0 - w), ("_struct", "cosine", w)]
-        vec = F.array(*[F.col(c).cast("double") for c in structural])
-        orphans = zscore(orphans, structural).withColumn("_struct", vec)
-        in_graph = zscore(in_graph, structural).withColumn("_struct", vec)
+        orphans, in_graph = (_standardised(df, structural, "_struct") for df in (orphans, in_graph))
     n = knn(orphans, in_graph, k, parts, id_col, block=block)
     if min_similarity > 0:
         n = n.filter(F.col("similarity") >= min_similarity)
