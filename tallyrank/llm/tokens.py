@@ -2,7 +2,8 @@
 
 A byte-level pre-tokenizer starts a new piece wherever white space follows other characters,
 so a text may be cut there and every part encoded by itself. Parts repeat far more often than
-texts do: each worker keeps the ids of parts it has met, in a table of bounded size.
+texts do: each worker keeps the ids of parts it has met, in two tables of bounded size. A full table
+becomes the older one, and what is met again there moves to the newer, so frequent parts stay.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from array import array
 import numpy as np
 
 END_ID = 2
-#: Entries kept per worker, of parts and of pieces; a full table starts anew.
+#: Entries of each of the two tables of a worker.
 CACHE = 350_000
 #: White space as the tokenizer's own pattern has it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -54,19 +55,28 @@ class Encoder:
         self.code = {2: "H", 4: "I"}[self.width.itemsize]
         self.merges = self.model.model
         self.letters = byte_letters()
+        self.space, self.line = chr(self.letters[32]), chr(self.letters[10])
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         """Ids of letters with at most one space before them, or of marks: one piece for the
         pre-tokenizer, so the merges alone decide."""
-        got = self.pieces.get(piece)
+        got = self._kept(piece)
         if got is None:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            got = self._bytes([t.id for t in self.merges.tokenize(mapped)])
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = got
+            if piece.isascii():  # of these only white space is moved in the byte-level alphabet
+                mapped = piece.replace(" ", self.space).replace("\n", self.line)
+            else:
+                mapped = piece.encode().decode("latin-1").translate(self.letters)
+            got = self.known[piece] = self._bytes([t.id for t in self.merges.tokenize(mapped)])
+        return got
+
+    def _kept(self, part: str) -> bytes | None:
+        got = self.known.get(part)
+        if got is None:
+            got = self.older.get(part)
+            if got is not None:
+                self.known[part] = got
         return got
 
     def _part(self, part: str) -> bytes:
@@ -87,15 +97,15 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Ids of the text, little-endian, `width` bytes each."""
         parts = PART.findall(text)
+        if len(self.known) >= CACHE:
+            self.known, self.older = {}, self.known
         known = self.known
-        if len(known) >= CACHE:
-            known.clear()
         got = list(map(known.get, parts))
         if None in got:
             for i, v in enumerate(got):
                 if v is None:
                     part = parts[i]
-                    v = known.get(part)
+                    v = self._kept(part)
                     if v is None:
                         v = self._part(part)
                         if len(part) <= KEEP_CHARS:

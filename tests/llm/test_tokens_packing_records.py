@@ -1,4 +1,5 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyrank.llm import packing, records
+from tallyrank.llm import packing, records, tokens
 from tallyrank.llm.tokens import encoder, tokenizer_path
 from tallyrank.session import scratch_path
 
@@ -32,6 +33,19 @@ def test_special_token_text():
         assert enc.ids(text, None).tolist() == enc.model.encode(text, add_special_tokens=False).ids
 
 
+def test_full_table_keeps_frequent_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    enc, merged = tokens.Encoder(tokenizer_path()), []
+    merges = enc.merges
+    enc.merges = SimpleNamespace(tokenize=lambda piece: merged.append(piece) or merges.tokenize(piece))
+    rare = [f" {a}{b}{c}" for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]
+    for at in range(0, len(rare), 6):
+        text = " often seen, words" + "".join(rare[at:at + 6])
+        assert enc.ids(text, None).tolist() == enc.model.encode(text, add_special_tokens=False).ids
+    assert merged.count("\u0120often") == merged.count("\u0120seen") == 1
+    assert len(enc.known) + len(enc.older) < 120
+
+
 def check_packed(rows, texts, capacity):
     by_doc = {}
     for r in rows:
