@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
+import ahocorasick
 import pytest
 
 from pyspark.sql import functions as F
@@ -94,6 +96,27 @@ def test_cut_texts_keep_the_rest(clashing):
     assert changed > 3
 
 
+@pytest.mark.parametrize("window", [1, 4, 6, 11, 35])
+def test_located_windows_with_few_states(monkeypatch, window):
+    made, real = [], ahocorasick.Automaton
+    monkeypatch.setattr(repeated_passages.ahocorasick, "Automaton", lambda *kind: made.append(real(*kind)) or made[-1])
+    draw = random.Random(window)
+    passage = [f"p{i}" for i in range(60)]
+    lines = [[draw.choice("ab") for _ in range(draw.randrange(3 * window))] for _ in range(20)]
+    lines += [passage[k:k + window + 20] for k in range(0, 12, 3)] + [["once"] * (window - 1), []]
+    contexts = [(" ".join(w).encode(), 1 + k % 3 // 2) for k, w in enumerate(lines)]
+    times = Counter()
+    for w, (_, m) in zip(lines, contexts):
+        for i in range(len(w) - window + 1):
+            times[tuple(w[i:i + window])] += m
+    for w, ranges in zip(lines, repeated_passages.locate(contexts, window)):
+        want = {j for i in range(len(w) - window + 1) if times[tuple(w[i:i + window])] > 1 for j in range(i, i + window)}
+        assert [x for a, b in ranges for x in range(a, b)] == sorted(want)
+    if window == 35:  # a state for each word would be more than twice as many
+        found, = made
+        assert found.get_stats()["nodes_count"] <= 15 * len(found) + 1
+
+
 def test_repeats_empty(empty):
     assert repeated_passages.remove_repeats(empty).collect() == []
 
